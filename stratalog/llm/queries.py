@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_ftrl
+from . import chat_collapse, contiguous_shards, quality_ftrl
 from .store import table
 
 
 def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_ftrl.query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_ftrl.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contiguous_shards.query(table(spark, sf_dir, "documents"))
+
+
+def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.query(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
+    "op6_minimax_shards": op6_minimax_shards,
+    "op3_snapshot_collapse": op3_snapshot_collapse,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_snapshot_collapse": chat_collapse.SQL,
+}
