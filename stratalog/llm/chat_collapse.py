@@ -1,18 +1,16 @@
 """Chat formatting: cumulative-snapshot collapse, then rendering.
 
 A log that is written after every turn holds each conversation many times over, as prefixes of
-its final form.  Every turn gets the hash of the conversation up to and including it: a chain
-over the turn hashes in turn order, two independent 64-bit chains.  A conversation whose last
-chain value is an earlier chain value of another conversation is a prefix of that one, and an
-anti-join on (length, chain value) drops it.  Of conversations with the same turns the one with
-the smallest id stays.  What remains is rendered as one text.
-
-Both chains are of 16 bytes a turn, so only digests meet in one row for the chain; texts meet
-again only for conversations that stay, to be rendered.  The join's right side is reduced to
-distinct chain values before it is shuffled, so a first turn that a third of all conversations
-share costs one row a task.
-
-Only DataFrame functions are used.  Defined cases: turns are ordered by (turn, role, text), nulls
+its final form.  Every turn gets the rolling hash of the conversation up to and including it, 128 bits.
+A conversation whose last value is an earlier value of another conversation is a prefix of that
+one, and an anti-join on (length, value) drops it.  Of conversations with the same turns the one
+with the smallest id stays.  What remains is rendered as one text.
+
+Only digests are shuffled for the hashes; texts are shuffled once, for conversations that stay,
+to be rendered.  The join's right side is reduced to distinct values before it is shuffled, so a
+first turn that a third of all conversations share costs one row a task.
+
+Only DataFrame functions are used.  Defined cases: turns are ordered by (turn, role, digest), nulls
 first, and repeated rows are repeated turns; a null role renders as ``unknown`` and equals only a
 null role; a null text renders as an empty one but differs from it in the chain; a row without a
 conversation id belongs to no conversation and is left out; other columns are ignored.
@@ -22,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TEMPLATE = "<|{role}|>\n{text}\n<|end|>\n"  # one turn, as rendered
 
@@ -32,37 +31,27 @@ def _turn_digest(seed: str) -> Column:
 
 
 def chains(turns: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, full, prefixes``: chain value of the whole conversation, and of each
-    proper prefix, as structs ``(n, a, b)``."""
-    step = turns.where(F.col("conv_id").isNotNull()).select(
-        "conv_id", F.struct(F.col("turn").cast("long").alias("turn"), "role", _turn_digest("a").alias("a"), _turn_digest("b").alias("b")).alias("t")
-    )
-    grouped = step.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    start = F.array(zero)
-
-    def extend(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        return F.concat(
-            done,
-            F.array(F.struct((last["n"] + 1).alias("n"), F.xxhash64(last["a"], t["a"]).alias("a"), F.xxhash64(last["b"], t["b"]).alias("b"))),
-        )
-
-    chain = F.aggregate("ts", start, extend)
-    return grouped.select("conv_id", chain.alias("c")).select(
-        "conv_id",
-        (F.size("c") - 1).alias("n_turns"),
-        F.element_at("c", -1).alias("full"),
-        F.slice("c", 2, F.greatest(F.size("c") - 2, F.lit(0))).alias("prefixes"),
-    )
+    """One row a turn: ``conv_id, n, n_turns, value``, where ``value`` is the rolling hash of the
+    conversation's first ``n`` turns.
+
+    Every turn is hashed together with its position, and the hash rolls by adding the 32-bit
+    halves of these, so a prefix's value is a running sum and no turns are gathered in a row.
+    """
+    own = turns.where(F.col("conv_id").isNotNull()).select("conv_id", F.col("turn").cast("long").alias("turn"), "role", _turn_digest("a").alias("a"), _turn_digest("b").alias("b"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "a", "b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = own.withColumn("n", F.row_number().over(order))
+    lanes = [(F.xxhash64("n", x), half) for x in ("a", "b") for half in (0, 1)]
+    sums = [F.sum(F.shiftrightunsigned(h, 32) if half else h.bitwiseAND(F.lit(0xFFFFFFFF))).over(order).alias(f"s{i}") for i, (h, half) in enumerate(lanes)]
+    n_turns = F.count("*").over(Window.partitionBy("conv_id")).alias("n_turns")
+    return placed.select("conv_id", "n", n_turns, F.struct("n", *sums).alias("value"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """``conv_id, n_turns, n_copies`` of the conversations that no other one prolongs."""
     c = chains(turns)
-    whole = c.groupBy("full").agg(F.min("conv_id").alias("conv_id"), F.max("n_turns").alias("n_turns"), F.count("*").alias("n_copies"))
-    prefixes = c.select(F.explode("prefixes").alias("full")).distinct()
-    return whole.join(prefixes, "full", "left_anti").select("conv_id", "n_turns", "n_copies")
+    whole = c.where(F.col("n") == F.col("n_turns")).groupBy("value").agg(F.min("conv_id").alias("conv_id"), F.max("n_turns").alias("n_turns"), F.count("*").alias("n_copies"))
+    prefixes = c.where(F.col("n") < F.col("n_turns")).select("value").distinct()
+    return whole.join(prefixes, "value", "left_anti").select("conv_id", "n_turns", "n_copies")
 
 
 def render(turns: DataFrame, kept: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -70,7 +59,7 @@ def render(turns: DataFrame, kept: DataFrame, template: str = TEMPLATE) -> DataF
     head, mid = template.split("{role}")
     mid, tail = mid.split("{text}")
     turn = F.concat(F.lit(head), F.coalesce("role", F.lit("unknown")), F.lit(mid), F.coalesce("text", F.lit("")), F.lit(tail))
-    rows = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), "role", "text", turn.alias("r")).alias("t"))
+    rows = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), "role", _turn_digest("a").alias("a"), _turn_digest("b").alias("b"), turn.alias("r")).alias("t"))
     own = rows.join(kept, "conv_id")
     return (
         own.groupBy("conv_id", "n_turns", "n_copies")
