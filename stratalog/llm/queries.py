@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_collapse, contiguous_shards, quality_ftrl
+from . import chat_collapse, contiguous_shards, decision_list, quality_ftrl
 from .store import table
 
 
@@ -22,10 +22,15 @@ def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_collapse.query(table(spark, sf_dir, "conversations"))
 
 
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op6_minimax_shards": op6_minimax_shards,
     "op3_snapshot_collapse": op3_snapshot_collapse,
+    "op5_decision_list": op5_decision_list,
 }
 
 ORACLES: dict[str, str] = {
