@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_collapse, contiguous_shards, decision_list, quality_ftrl
+from . import chat_collapse, contiguous_shards, decision_list, quality_ftrl, repair_tokens
 from .store import table
 
 
@@ -26,11 +26,16 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_tokens.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op6_minimax_shards": op6_minimax_shards,
     "op3_snapshot_collapse": op3_snapshot_collapse,
     "op5_decision_list": op5_decision_list,
+    "op1_repair_tokens": op1_repair_tokens,
 }
 
 ORACLES: dict[str, str] = {
