@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_collapse, contiguous_shards, decision_list, quality_ftrl, repair_tokens
+from . import chat_collapse, contiguous_shards, decision_list, quality_ftrl, repair_tokens, warc_derivatives
 from .store import table
 
 
@@ -30,12 +30,17 @@ def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_tokens.query(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derivatives.query(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op6_minimax_shards": op6_minimax_shards,
     "op3_snapshot_collapse": op3_snapshot_collapse,
     "op5_decision_list": op5_decision_list,
     "op1_repair_tokens": op1_repair_tokens,
+    "op7_warc_derivatives": op7_warc_derivatives,
 }
 
 ORACLES: dict[str, str] = {
