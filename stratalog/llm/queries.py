@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_collapse, contiguous_shards, decision_list, quality_ftrl, repair_tokens, warc_derivatives
+from . import chat_collapse, contiguous_shards, decision_list, decontaminate, quality_ftrl, repair_tokens, warc_derivatives
 from .store import table
 
 
@@ -34,6 +34,10 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.query(table(spark, sf_dir, "pages"))
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op6_minimax_shards": op6_minimax_shards,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decision_list": op5_decision_list,
     "op1_repair_tokens": op1_repair_tokens,
     "op7_warc_derivatives": op7_warc_derivatives,
+    "op2_template_decontamination": op2_template_decontamination,
 }
 
 ORACLES: dict[str, str] = {

@@ -59,8 +59,27 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def _piece(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+IS_PUNCTUATION = np.zeros(256, dtype=bool)
+IS_PUNCTUATION[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+
+
+def _stripped(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without ASCII punctuation at their ends; those of nothing else are dropped."""
+    starts, ends = starts.copy(), ends.copy()
+    for side, at, step in ((ends, -1, -1), (starts, 0, 1)):
+        live = np.arange(len(starts))
+        while len(live):
+            live = live[(starts[live] < ends[live])]
+            live = live[IS_PUNCTUATION[buf[side[live] + at]]]
+            side[live] += step
+    keep = starts < ends
+    return starts[keep], ends[keep]
+
+
+def _piece(buf: np.ndarray, table: np.ndarray, strip: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = spans(buf)
+    if strip:
+        starts, ends = _stripped(buf, starts, ends)
     if not len(starts):
         return np.empty(0, dtype=np.uint64), starts, ends
     up, down = _powers(len(buf))
@@ -70,12 +89,13 @@ def _piece(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return mix(h ^ ((ends - starts).astype(np.uint64) * _MULT)), starts, ends
 
 
-def word_hashes(data: bytes | np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, start and end of every word; ``fold`` lower-cases A-Z first."""
+def word_hashes(data: bytes | np.ndarray, fold: bool = True, strip: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, start and end of every word; ``fold`` lower-cases A-Z first, ``strip`` takes
+    punctuation off its ends and leaves out what is only that."""
     buf = data if isinstance(data, np.ndarray) else np.frombuffer(data, dtype=np.uint8)
     table = _FOLDED if fold else _EXACT
     if len(buf) <= 2 * PIECE:
-        return _piece(buf, table)
+        return _piece(buf, table, strip)
     parts, at = [], 0
     while at < len(buf):
         end = min(at + PIECE, len(buf))
@@ -85,7 +105,7 @@ def word_hashes(data: bytes | np.ndarray, fold: bool = True) -> tuple[np.ndarray
                 end = at + int(cut[-1]) + 1
                 break
             end = min(end + PIECE, len(buf))
-        h, s, e = _piece(buf[at:end], table)
+        h, s, e = _piece(buf[at:end], table, strip)
         parts.append((h, s + at, e + at))
         at = end
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
@@ -98,11 +118,11 @@ class Block:
     ``starts`` and ``ends`` are offsets into ``buf``.
     """
 
-    def __init__(self, lo: int, texts: Sequence[bytes], fold: bool):
+    def __init__(self, lo: int, texts: Sequence[bytes], fold: bool, strip: bool = False):
         self.lo, self.n = lo, len(texts)
         self.data = texts[0] if len(texts) == 1 else b"\n".join(texts)
         self.buf = np.frombuffer(self.data, dtype=np.uint8)
-        self.h, self.starts, self.ends = word_hashes(self.buf, fold)
+        self.h, self.starts, self.ends = word_hashes(self.buf, fold, strip)
         at = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=at[1:])
         self.at = at
@@ -110,19 +130,19 @@ class Block:
         self.n_words = np.diff(self.first)
 
 
-def blocks(texts: Sequence[bytes | None], fold: bool = True, target: int = PIECE) -> Iterator[Block]:
+def blocks(texts: Sequence[bytes | None], fold: bool = True, target: int = PIECE, strip: bool = False) -> Iterator[Block]:
     """The documents of a batch in blocks of about ``target`` bytes; a longer one stands alone."""
     held: list[bytes] = []
     lo = size = 0
     for i, t in enumerate(texts):
         t = t or b""
         if held and size + len(t) > target:
-            yield Block(lo, held, fold)
+            yield Block(lo, held, fold, strip)
             held, lo, size = [], i, 0
         held.append(t)
         size += len(t) + 1
     if held:
-        yield Block(lo, held, fold)
+        yield Block(lo, held, fold, strip)
 
 
 def windows(b: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
