@@ -74,6 +74,12 @@ def _among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)] == h
 
 
+def _capital(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a capital of ASCII or Latin-1 stands at these bytes."""
+    c, d = buf[at], buf[np.minimum(at + 1, len(buf) - 1)]
+    return ((c >= ord("A")) & (c <= ord("Z"))) | ((c == 0xC3) & (d >= 0x80) & (d <= 0x9E))
+
+
 def lower_blocks(texts: list[bytes | None]) -> Iterator[tuple[words.Block, np.ndarray]]:
     """Blocks of the lower-cased texts, each with the bytes before lower-casing.  The few texts
     whose length lower-casing changes are only folded in A-Z."""
@@ -92,9 +98,9 @@ def canonical(b: words.Block, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return b.h, np.zeros(0, dtype=bool)
     first = buf[b.starts]
     digit = (first >= ord("0")) & (first <= ord("9"))
-    second = buf[np.minimum(b.starts + 1, len(buf) - 1)]
-    capital = (first >= ord("A")) & (first <= ord("Z")) & ~((second >= ord("A")) & (second <= ord("Z")))  # not all capitals
-    capital |= (first == 0xC3) & (second >= 0x80) & (second <= 0x9E)
+    capital = _capital(buf, b.starts)
+    rest = b.starts + np.where(first >= 0x80, 2, 1)
+    capital &= (rest < b.ends) & ~_capital(buf, np.minimum(rest, len(buf) - 1))  # not one in capitals only
     number = digit | _among(b.h, _NUMBERS)
     after = np.zeros(n, dtype=bool)
     after[1:] = number[:-1]
