@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_collapse, contiguous_shards, decision_list, decontaminate, quality_ftrl, repair_tokens, warc_derivatives
+from . import chat_collapse, conflict_packing, contiguous_shards, decision_list, decontaminate, quality_ftrl, repair_tokens, warc_derivatives
 from .store import table
 
 
@@ -38,6 +38,10 @@ def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflict_packing.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op6_minimax_shards": op6_minimax_shards,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_tokens": op1_repair_tokens,
     "op7_warc_derivatives": op7_warc_derivatives,
     "op2_template_decontamination": op2_template_decontamination,
+    "op10_conflict_packing": op10_conflict_packing,
 }
 
 ORACLES: dict[str, str] = {
