@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_collapse, conflict_packing, contiguous_shards, decision_list, decontaminate, quality_ftrl, repair_tokens, warc_derivatives
+from . import chat_collapse, conflict_packing, contiguous_shards, decision_list, decontaminate, partenum_join, quality_ftrl, repair_tokens, warc_derivatives
 from .store import table
 
 
@@ -42,6 +42,10 @@ def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflict_packing.query(table(spark, sf_dir, "documents"))
 
 
+def op4_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum_join.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op6_minimax_shards": op6_minimax_shards,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc_derivatives": op7_warc_derivatives,
     "op2_template_decontamination": op2_template_decontamination,
     "op10_conflict_packing": op10_conflict_packing,
+    "op4_partenum_jaccard": op4_partenum_jaccard,
 }
 
 ORACLES: dict[str, str] = {
