@@ -1,7 +1,7 @@
 """Best-fit packing with conflicts.
 
 Documents are packed into bins of ``capacity`` words.  A bin never holds two documents of one
-duplicate cluster, nor more than ``per_source`` of one source (by default one).  A document longer
+duplicate cluster, nor more than ``per_source`` of one source (by default two).  A document longer
 than the capacity is cut into full pieces and a rest; its pieces are of one cluster and source,
 so they lie in different bins.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Settings:
     capacity: int = 2048
-    per_source: int = 1
+    per_source: int = 2
     group_rows: int = 16_000
 
 
