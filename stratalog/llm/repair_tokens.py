@@ -19,9 +19,8 @@ writes to, under Spark's commit protocol; a lost executor's blocks are written a
 
 Encoding gives the same ids as ``encode`` of the whole text, but encodes each distinct run of
 non-space once a worker (as long as it is remembered): the tokenizer's pieces never span white
-space, nor letters and the signs behind them.  Texts for which the two
-could differ (special tokens' strings, control characters that Python and the tokenizer split
-differently) are encoded whole.
+space, nor letters and the signs behind them.  Pieces of up to 64 bytes are remembered by a 64-bit
+hash.  Texts that hold a special token's string are encoded whole.
 
 Defined cases: a null or empty text is the end id alone; a null document id sorts first; repeated
 rows are encoded each; ties of the document id are ordered by the text's hash; an empty table
@@ -57,7 +56,68 @@ class Settings:
     share: float = 1 / 64
     min_count: int = 24
     max_rounds: int = 4
-    cached_pieces: int = 600_000
+    table_bits: int = 22  # of a worker's table of pieces
+
+
+class PieceTable:
+    """Ids by the 64-bit hash of a piece: open addressing in arrays, emptied when it fills up."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, dtype=np.uint64)
+        self.first = np.zeros(1 << bits, dtype=np.int64)
+        self.count = np.zeros(1 << bits, dtype=np.int32)
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys[:] = 0
+        self.used = self.n_pool = 0
+
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        """Slot of every hash (none is 0); -1 where it isn't known."""
+        mask = (1 << self.bits) - 1
+        slot = (h >> words.U(64 - self.bits)).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == h, slot, -1)
+        live = np.flatnonzero((key != h) & (key != 0))
+        while len(live):
+            slot[live] = (slot[live] + 1) & mask
+            key = self.keys[slot[live]]
+            hit = key == h[live]
+            out[live[hit]] = slot[live[hit]]
+            live = live[~hit & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
+        """New, distinct hashes with their ids."""
+        mask = (1 << self.bits) - 1
+        count = np.array([len(x) for x in ids], dtype=np.int64)
+        end = self.n_pool + np.cumsum(count)
+        if end[-1] > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.n_pool], np.zeros(2 * int(end[-1]) - self.n_pool, dtype=np.uint32)])
+        self.pool[self.n_pool : int(end[-1])] = np.concatenate(ids)
+        slot = (h >> words.U(64 - self.bits)).astype(np.int64)
+        live = np.arange(len(h))
+        while len(live):
+            free = live[self.keys[slot[live]] == 0]
+            claimed, who = np.unique(slot[free], return_index=True)
+            won = free[who]
+            self.keys[claimed] = h[won]
+            self.first[claimed] = end[won] - count[won]
+            self.count[claimed] = count[won]
+            live = live[self.keys[slot[live]] != h[live]]
+            slot[live] = (slot[live] + 1) & mask
+        self.used += len(h)
+        self.n_pool = int(end[-1])
+
+    def gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these slots in a row, and how many each has."""
+        count = self.count[slot].astype(np.int64)
+        end = np.cumsum(count)
+        at = np.repeat(self.first[slot] - (end - count), count)
+        at += np.arange(len(at))
+        return self.pool[at], count
 
 
 class Encoder:
@@ -65,89 +125,112 @@ class Encoder:
 
     SEPARATOR = "0"
     TAIL = ".,;:!?#$%&*|()<>=+-/"
+    LONGEST = 64  # bytes of a piece that is looked up by its hash
 
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bits: int = 22):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bound = bound
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.separator = self.whole(self.SEPARATOR)
-        # Pieces must end at white space, and letters at what follows them, for this tokenizer;
+        self.table = PieceTable(bits)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.separator = self._ids(self.SEPARATOR)
+        # Pieces must end at white space, and letters at the signs behind them, for this tokenizer;
         # with another one every text is encoded whole.
         same = all(self.whole(x + y) == self.whole(x) + self.whole(y) for x, y in (("to", " be"), ("to", "."), ("ab", "##"), ("a", "|")))
-        self.splits = same and len(self.separator) == 4
+        self.splits = same and len(self.separator) == 1
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _odd(self, text: str) -> bool:
-        return any(c in text for c in "\x1c\x1d\x1e\x1f") or any(s in text for s in self.special)
+    def whole(self, text: str) -> bytes:
+        return self._ids(text).astype("<u4").tobytes()
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, np.ndarray]:
         """Many pieces in one call, told apart by a separator's id that none of them holds."""
-        plain = []
-        for p in pieces:
-            if self.SEPARATOR in p:
-                self.known[p] = self.whole(p)
-            else:
-                plain.append(p)
-        mark = np.frombuffer(self.separator, dtype="<u4")[0]
+        out = {p: self._ids(p) for p in pieces if self.SEPARATOR in p}
+        plain = [p for p in pieces if self.SEPARATOR not in p]
         for lo in range(0, len(plain), 2000):
             some = plain[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode(f" {self.SEPARATOR} ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == mark)
+            ids = self._ids(f" {self.SEPARATOR} ".join(some))
+            cuts = np.flatnonzero(ids == self.separator[0]).tolist()
             if len(cuts) != len(some) - 1:
-                self.known.update((p, self.whole(p)) for p in some)
+                out.update((p, self._ids(p)) for p in some)
                 continue
-            data = ids.tobytes()
             at = 0
-            for p, c in zip(some, [*(cuts * 4).tolist(), len(data)], strict=True):
-                self.known[p] = data[at:c]
-                at = c + 4
-
-    def _learn(self, pieces: set[str]) -> None:
-        known, older = self.known, self.older
-        parts, new = [], []
-        for p in pieces:
-            if p in older:
-                known[p] = older[p]
-                continue
+            for p, c in zip(some, [*cuts, len(ids)], strict=True):
+                out[p] = ids[at:c]
+                at = c + 1
+        return out
+
+    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        """Pieces of letters with signs behind them share what is encoded for the letters."""
+        parts = []
+        for p in (x.decode("utf-8", "replace") for x in pieces):
             core = p.rstrip(self.TAIL)
-            if len(core) < len(p) and core.isalpha():  # letters, then one run of other signs
-                parts.append((p, core, p[len(core) :]))
+            parts.append((core, p[len(core) :]) if len(core) < len(p) and core.isalpha() else (p, ""))
+        known = self._encode_pieces(list({x for pair in parts for x in pair if x}))
+        self.table.add(h, [np.concatenate([known[core], known[tail]]) if tail else known[core] for core, tail in parts])
+
+    def _block(self, b: words.Block) -> list[bytes]:
+        """Of texts without special tokens."""
+        if self.table.used > 6 << (self.table.bits - 4):
+            self.table.clear()
+        h = np.maximum(b.h, words.U(1))
+        long = np.flatnonzero(b.ends - b.starts > self.LONGEST)
+        h[long] = words.U(1)  # they are encoded apart
+        slot = self.table.slots(h)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            new, who = np.unique(h[missing], return_index=True)
+            where = missing[who]
+            self._learn(new, [b"" if k == 1 else b.data[s:e] for k, s, e in zip(new.tolist(), b.starts[where].tolist(), b.ends[where].tolist(), strict=True)])
+            slot[missing] = self.table.slots(h[missing])
+        ids, count = self.table.gather(slot)
+        if len(long):
+            apart = [self._ids(b.data[b.starts[i] : b.ends[i]].decode("utf-8", "replace")) for i in long]
+            ids = np.insert(ids, np.repeat(np.cumsum(count)[long], [len(x) for x in apart]), np.concatenate(apart))
+            count[long] = [len(x) for x in apart]
+        data = ids.astype("<u4").tobytes()
+        end = np.append(0, np.cumsum(count))[b.first] * 4
+        return [data[x:y] for x, y in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        held, odd = [], {}
+        for i, t in enumerate(texts):
+            t = t or b""
+            if not self.splits or any(s in t for s in self.special):
+                odd[i] = self.whole(t.decode("utf-8", "replace"))
+                t = b""
+            elif not t.isascii():
+                # Lower-casing A-Z first saves pieces; it is the same where nothing is composed.
+                low = t.lower()
+                plain = unicodedata.is_normalized("NFC", t.decode("utf-8", "replace")) and unicodedata.is_normalized("NFC", low.decode("utf-8", "replace"))
+                t = low if plain else t
             else:
-                new.append(p)
-        cores = {x for _, core, tail in parts for x in (core, tail)} - known.keys() - set(new)
-        for x in list(cores):
-            if x in older:
-                known[x] = older[x]
-                cores.discard(x)
-        self._encode_pieces([*new, *cores])
-        for p, core, tail in parts:
-            known[p] = known[core] + known[tail]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.bound:
-            self.known, self.older = {}, self.known
-        pieces: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            if not self.splits or self._odd(t):
-                pieces.append(None)
-                continue
-            if unicodedata.is_normalized("NFC", t):
-                low = t.encode().lower().decode()  # ASCII letters only
-                if unicodedata.is_normalized("NFC", low):
-                    t = low
-            pieces.append(t.split())
-        new = set().union(*(p for p in pieces if p)) - self.known.keys()
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [self.whole(t or "") if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces, strict=True)]
+                t = t.lower()
+            held.append(t)
+        out = [x for b in words.blocks(held, fold=False) for x in self._block(b)]
+        for i, x in odd.items():
+            out[i] = x
+        return out
+
+
+def _places(some: np.ndarray, values: np.ndarray, bits: int = 18) -> np.ndarray:
+    """Index in ``some`` (distinct) of every value, or -1: by hash tables, the next one for what
+    lost its place in the one before."""
+    out = np.full(len(values), -1, dtype=np.int32)
+    left = np.arange(len(some), dtype=np.int32)
+    factor = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
+    while len(left):
+        table = np.zeros(1 << bits, dtype=np.int32)
+        slot = (some[left].astype(np.uint64) * factor >> words.U(64 - bits)).astype(np.int64)
+        table[slot] = left
+        found = table[(values.astype(np.uint64) * factor >> words.U(64 - bits)).astype(np.int64)]
+        hit = some[found] == values
+        out[hit] = found[hit]
+        left = left[table[slot] != left]
+        factor = factor * words.U(0xD6E8FEB86659FD93) | words.U(1)
+    return out
 
 
 def compress(ids: np.ndarray, last: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -159,13 +242,15 @@ def compress(ids: np.ndarray, last: np.ndarray, s: Settings = Settings()) -> tup
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
-        common = np.bincount(seq) >= s.min_count  # no pair is more frequent than its sides
-        pos = np.flatnonzero(common[left] & common[right] & ~last[:-1])
-        if not len(pos):
-            break
-        bits, kind = (16, np.uint32) if base + n_rules <= 1 << 16 else (32, np.uint64)
-        pair = (left[pos].astype(kind) << kind(bits)) | right[pos].astype(kind)
+        bits, kind = (16, np.uint32) if base + n_rules < 1 << 16 else (32, np.uint64)
+        pair = left.astype(kind)
+        pair <<= kind(bits)
+        pair |= right.astype(kind)
+        pair[last[:-1]] = none = kind(np.iinfo(kind).max)  # no pair of symbols has this code
         ordered = np.sort(pair)
+        ordered = ordered[: np.searchsorted(ordered, none)]
+        if not len(ordered):
+            break
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(edge, len(ordered)))
         chosen = np.flatnonzero(count >= max(s.min_count, s.share * count.max()))
@@ -174,13 +259,13 @@ def compress(ids: np.ndarray, last: np.ndarray, s: Settings = Settings()) -> tup
         some, times = ordered[edge[chosen]], count[chosen]
         rank_of = np.empty(len(some), dtype=np.int32)
         rank_of[np.lexsort((some, -times))] = np.arange(len(some), dtype=np.int32)
-        begins, ends = np.zeros(len(common), dtype=bool), np.zeros(len(common), dtype=bool)
+        begins, ends = np.zeros((2, int(seq.max()) + 1), dtype=bool)
         begins[(some >> kind(bits)).astype(np.int64)] = True
         ends[(some & kind((1 << bits) - 1)).astype(np.int64)] = True
-        some_at = np.flatnonzero(begins[left[pos]] & ends[right[pos]])
-        at = np.minimum(np.searchsorted(some, pair[some_at]), len(some) - 1)
-        hit = some[at] == pair[some_at]
-        at, pos = at[hit], pos[some_at[hit]]
+        pos = np.flatnonzero(begins[left] & ends[right])
+        at = _places(some, pair[pos])
+        hit = at >= 0
+        at, pos = at[hit], pos[hit]
         free = np.int32(len(some))
         rank = np.full(len(seq) + 1, free, dtype=np.int32)  # one more at the end, before the first
         rank[pos] = rank_of[at]
@@ -312,14 +397,14 @@ _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 def _encoder(s: Settings) -> Encoder:
     """One a worker process, so that its known pieces serve all its tasks."""
-    key = (s.vocabulary, s.cached_pieces)
+    key = (s.vocabulary, s.table_bits)
     if key not in _ENCODERS:
         import os
 
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[key] = Encoder(s.vocabulary if "/" in s.vocabulary else public_tokenizers.path(s.vocabulary), s.cached_pieces)
+        _ENCODERS[key] = Encoder(s.vocabulary if "/" in s.vocabulary else public_tokenizers.path(s.vocabulary), s.table_bits)
     return _ENCODERS[key]
 
 
@@ -349,7 +434,7 @@ def encode(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("block", pa.binary())]))
 
         for batch in batches:
-            for d, e in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for d, e in zip(batch.column(0).to_pylist(), encoder.encode(words.column_bytes(batch, "text")), strict=True):
                 if held and size + len(e) + 4 > 4 * s.block_tokens:
                     yield block()
                 ids.append(d)
