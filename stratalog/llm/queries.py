@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_collapse, conflict_packing, contiguous_shards, decision_list, decontaminate, partenum_join, quality_ftrl, repair_tokens, warc_derivatives
+from . import chat_collapse, conflict_packing, contiguous_shards, decision_list, decontaminate, partenum_join, quality_ftrl, repair_tokens, toxicity_rnn, warc_derivatives
 from .store import table
 
 
@@ -46,6 +46,10 @@ def op4_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum_join.query(table(spark, sf_dir, "documents"))
 
 
+def op8_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_rnn.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op6_minimax_shards": op6_minimax_shards,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_template_decontamination": op2_template_decontamination,
     "op10_conflict_packing": op10_conflict_packing,
     "op4_partenum_jaccard": op4_partenum_jaccard,
+    "op8_bigru_toxicity": op8_bigru_toxicity,
 }
 
 ORACLES: dict[str, str] = {
