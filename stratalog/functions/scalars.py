@@ -41,7 +41,7 @@ def fixed(x: Column, digits: int) -> Column:
     n = F.floor(x)
     part = ((x - n) * F.lit(float(unit))).cast("long") * F.lit(p)
     q, r = F.shiftright(part, 52), part.bitwiseAND(F.lit(unit - 1))
-    up = (r > unit >> 1) | ((r == unit >> 1) & (q % 2 == 1))
+    up = (r > unit >> 1) | ((r == unit >> 1) & ((n * p + q) % 2 == 1))
     total = n * p + q + up.cast("long")
     whole = F.floor(total / p).cast("string") if digits else total.cast("string")
     return F.concat(whole, F.lit("."), F.lpad((total % p).cast("string"), digits, "0")) if digits else whole

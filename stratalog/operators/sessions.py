@@ -19,6 +19,14 @@ def _groups(log: DataFrame) -> list[str]:
     return ["grp"] if "grp" in log.columns else []
 
 
+def _with_session(log: DataFrame) -> DataFrame:
+    """``log`` with ``_client`` and ``_epoch``: registering an id that is in use starts its session
+    anew."""
+    own = log.withColumn("_client", _client())
+    order = Window.partitionBy(*_groups(log), "_client").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumn("_epoch", F.sum((F.col("op") == "register").cast("int")).over(order))
+
+
 def mark_duplicates(log: DataFrame) -> DataFrame:
     """``log`` with ``dup``: the client has a session whose last sequence number is not below
     this one.
@@ -28,17 +36,17 @@ def mark_duplicates(log: DataFrame) -> DataFrame:
     carried but a running maximum.
     """
     seq = F.when(F.col("op") == "register", F.lit(0)).otherwise(F.col("req_seq"))
-    before = Window.partitionBy(*_groups(log), "_client").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    own = log.withColumn("_client", _client()).withColumn("_seq", seq)
+    before = Window.partitionBy(*_groups(log), "_client", "_epoch").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    own = _with_session(log).withColumn("_seq", seq)
     dup = F.coalesce(F.col("_seq") <= F.max("_seq").over(before), F.lit(False)) & (F.col("op") != "register")
-    return own.withColumn("dup", dup).drop("_client", "_seq")
+    return own.withColumn("dup", dup).drop("_client", "_epoch", "_seq")
 
 
 def sessions(log: DataFrame) -> DataFrame:
     """``client_id, seq`` of every session after the log."""
     seq = F.when(F.col("op") == "register", F.lit(0)).otherwise(F.col("req_seq"))
-    own = log.select(_client().alias("client_id"), seq.alias("seq")).where("client_id > 0")
-    return own.groupBy("client_id").agg(F.max("seq").alias("seq"))
+    own = _with_session(log).select(*_groups(log), F.col("_client").alias("client_id"), "_epoch", seq.alias("seq")).where("client_id > 0")
+    return own.groupBy(*_groups(log), "client_id").agg(F.max_by("seq", F.struct("_epoch", "seq")).alias("seq"))
 
 
 def replies(log: DataFrame, results: DataFrame, columns: tuple[str, ...] = ("found", "value", "success")) -> DataFrame:
@@ -47,8 +55,8 @@ def replies(log: DataFrame, results: DataFrame, columns: tuple[str, ...] = ("fou
 
     ``log`` is marked (``mark_duplicates``); ``results`` has the results of the commands that ran.
     """
-    order = Window.partitionBy(*_groups(log), "_client").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    own = log.select(*_groups(log), "idx", "dup", _client().alias("_client"))
+    order = Window.partitionBy(*_groups(log), "_client", "_epoch").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    own = _with_session(log).select(*_groups(log), "idx", "dup", "_client", "_epoch")
     own = own.join(results.select("idx", F.struct(*columns).alias("_r")), "idx", "left")
     latest = F.last(F.when(~F.col("dup"), F.col("_r")), ignorenulls=True).over(order)
     at = [*_groups(log), "idx", "dup"]
