@@ -17,11 +17,15 @@ needed, linked sets still share a signature of some elements if one of the two h
 ``spare`` parts where a choice is empty; only sets with more of them also emit their empty
 choices.  So nothing is lost, and no signature of nothing gathers a share of all documents.
 
-Pairs.  Documents that share a signature are a bucket.  All members of a bucket are compared with
-a few hubs, linked ones are merged into components, and hubs are retired, until the members left
-in every bucket are of one component; no pair of two components is left unchecked, and a bucket
-of m copies costs m pairs.  The check is exact, on the whole sets.  Copies with equal sets are one
-class: each task emits the signatures of a class once, and equality links them.
+Pairs.  Documents that share a signature are a bucket; copies with equal sets are one member.  An
+element that only one bucketed document has lies in no intersection, so only the others are ever
+compared, and documents with too few of them to link with anything leave the buckets.  What is
+left of a bucket is compared with a hub, linked members are merged into components, and further
+hubs are taken and retired, until the members left in every bucket are of one component.  Of two
+components only those pairs are compared whose intersection may be large enough, given what each
+has in common with the bucket's first hub and how many shared elements it has besides.  No pair
+that could link is left unchecked, and a bucket of m copies costs about m pairs.  The check is
+exact, on whole sets.
 
 Only documents that share a signature have their sets shipped; they are found again by a 128-bit
 key of id and text, broadcast if they are at most ``max_broadcast`` rows and joined by shuffle
@@ -41,7 +45,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,7 +60,7 @@ U = words.U
 class Settings:
     words: int = 4  # of a shingle
     percent: int = 85
-    hubs: int = 16  # of a bucket in one round
+    hubs: int = 64  # of a bucket in one round
     max_broadcast: int = 400_000
 
 
@@ -90,7 +94,13 @@ def band_edges(size: int, percent: int) -> list[tuple[int, int]]:
 
 def _tail(n: int, p: float, most: int) -> float:
     """Probability of more than ``most`` successes among n."""
-    return max(0.0, 1.0 - sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(min(most, n) + 1)))
+    if p >= 1:
+        return float(n > most)
+    term, total = (1 - p) ** n, 0.0
+    for i in range(min(most, n) + 1):
+        total += term
+        term *= (n - i) / (i + 1) * p / (1 - p)
+    return max(0.0, 1.0 - total)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -100,7 +110,7 @@ def instance(number: int, lo: int, hi: int, percent: int, least: float = 3.5, ra
     k = 2 * hi * (100 - percent) // (100 + percent)
     best = None
     for k2 in range(4):
-        for spare in range(0, 2 + k // 8):
+        for spare in sorted({int(1.2**i) - 1 for i in range(60) if 1.2**i <= 3 + k / 8}):
             n1 = k // (k2 + 1) + 1 + spare
             for n2 in range(k2 + 1, k2 + (9 if n1 == 1 else 4)):
                 share = (n2 - k2) / (n1 * n2)
@@ -110,7 +120,7 @@ def instance(number: int, lo: int, hi: int, percent: int, least: float = 3.5, ra
                 rank = (-sum(ok), cost, -share)
                 if best is None or rank < best[0]:
                     best = rank, Instance(number, lo, hi, k, k2, spare, n1, n2)
-            if k > 200 and best and spare > 3 and best[0][0] == -2:
+            if best[0][0] == -2:
                 break  # more spare parts only cost more
     return best[1]
 
@@ -227,7 +237,7 @@ def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return own.mapInArrow(run, SIGNED)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+def _elements(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """``rid, elements`` of the wanted rows (rid, k1, k2)."""
     own = docs.select("doc_id", "text").select(_key("1").alias("k1"), _key("2").alias("k2"), "text")
     few = wanted.limit(s.max_broadcast + 1).count() <= s.max_broadcast
@@ -245,75 +255,126 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return own.mapInArrow(run, "rid long, elements array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    a = sets.select(F.col("rid").alias("a"), F.col("elements").alias("x"))
-    b = sets.select(F.col("rid").alias("b"), F.col("elements").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - F.col("both")
-    return pairs.join(b, "b").join(a, "a").withColumn("both", both).where(100 * F.col("both") >= s.percent * union).select("a", "b")
+def _shared(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """``rid, shared``: of each wanted row's elements those that another wanted row has too.
+
+    No other element can lie in an intersection, so the shared ones are all that is ever compared;
+    and a set with fewer shared ones than ``percent`` of its size links with nothing."""
+    near = Window.partitionBy("element").orderBy("rid")
+    other = F.lag("rid").over(near).isNotNull() | F.lead("rid").over(near).isNotNull()
+    each = _elements(docs, wanted, s).select("rid", F.explode("elements").alias("element")).select("rid", "element", other.alias("other"))
+    # Rows with equal id and text are one row here, as they have one key.
+    return each.where("other").groupBy("rid").agg(F.collect_set("element").alias("shared"))
+
+
+def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b, na, nb`` with ``both``, the size of the intersection."""
+    a = sets.select(F.col("rid").alias("a"), F.col("shared").alias("x"))
+    b = sets.select(F.col("rid").alias("b"), F.col("shared").alias("y"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("both"))
+
+
+def _linked(counted: DataFrame, s: Settings) -> DataFrame:
+    return counted.where(100 * F.col("both") >= s.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def _may_link(most: Column, na: Column, nb: Column, s: Settings) -> Column:
+    """Whether sets of these sizes can link if at most ``most`` elements are in both."""
+    return (100 + s.percent) * most >= s.percent * (na + nb)
 
 
 def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, k1, k2`` of every document; ``component_id`` is the
-    smallest id that links lead to.  k1 and k2 are a key of the row's id and text."""
+    """``doc_id, n_shingles, component_id, component, k1, k2`` of every document; ``component_id``
+    is the smallest id that links lead to, ``component`` a number of its own for every component
+    (null for an empty set), and k1 and k2 are a key of the row's id and text."""
     spark = docs.sparkSession
     path = new_path(spark, "signed")
     signed(docs, s).write.parquet(path)
     all_signed = spark.read.schema(SIGNED).parquet(path)
     rows = written(all_signed.select("rid", "doc_id", "k1", "k2", "n_shingles", "c1", "c2", F.col("sigs").isNotNull().alias("emits")), "documents-signed")
 
-    # Buckets of two members or more; the first member is the hub of the first round.
+    # A class of equal sets is known by its first document that emits signatures.
+    classes = rows.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min(F.when(F.col("emits"), F.col("rid"))).alias("rid"), F.min("doc_id").alias("least"))
+    classes = written(classes, "classes")
+    first = rows.where("emits").select("rid", "k1", "k2", F.col("n_shingles").alias("n")).join(classes.select("rid"), "rid")
+
+    # Buckets of two classes or more.
     ordered = Window.partitionBy("sig").orderBy("rid")
-    sig = all_signed.select(F.explode("sigs").alias("sig"), "rid")
-    sig = sig.select("sig", "rid", F.first("rid").over(ordered).alias("hub"), F.lead("rid").over(ordered).alias("next"))
-    members = written(sig.where((F.col("hub") != F.col("rid")) | F.col("next").isNotNull()).select("sig", "rid", "hub"), "buckets")
-    drop_path(spark, path)
 
-    emitting = rows.where("emits").select("rid", "k1", "k2", "n_shingles", "c1", "c2")
-    wanted = written(members.select("rid").distinct().join(emitting, "rid"), "bucketed-documents")
-    sets = written(_sets(docs, wanted.select("rid", "k1", "k2"), s).dropDuplicates(["rid"]), "sets")
-
-    first = rows.where("emits").groupBy("c1", "c2", "n_shingles").agg(F.min("rid").alias("a"))
-    equal = emitting.join(first, ["c1", "c2", "n_shingles"]).where(F.col("a") != F.col("rid")).select("a", F.col("rid").alias("b"))
-    facts = wanted.select("rid", "n_shingles", "c1", "c2")
-
-    def worth_checking(pairs: DataFrame) -> DataFrame:
-        """Pairs of different classes whose sizes allow a link."""
-        x = facts.select(*(F.col(c).alias(c2) for c, c2 in zip(facts.columns, ("a", "na", "a1", "a2"))))
-        y = facts.select(*(F.col(c).alias(c2) for c, c2 in zip(facts.columns, ("b", "nb", "b1", "b2"))))
-        near = 100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb")
-        other = (F.col("na") != F.col("nb")) | (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-        return pairs.join(x, "a").join(y, "b").where(near & other).select("a", "b")
-
-    pairs = written(worth_checking(members.where("rid != hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()), "pairs")
-    checked = pairs
-    links = written(equal.unionByName(_linked(pairs, sets, s)), "links")
-    active = members.where("rid != hub").select("sig", "rid")
+    def repeated(members: DataFrame) -> DataFrame:
+        alone = F.lag("rid").over(ordered).isNull() & F.lead("rid").over(ordered).isNull()
+        return members.withColumn("_alone", alone).where(~F.col("_alone")).drop("_alone")
+
+    members = written(repeated(all_signed.select(F.explode("sigs").alias("sig"), "rid")), "buckets")
+    drop_path(spark, path)
+    members = members.join(first.select("rid"), "rid", "left_semi")
+    wanted = written(members.select("rid").distinct().join(first, "rid"), "bucketed-documents")
+    sets = written(_shared(docs, wanted.select("rid", "k1", "k2"), s), "shared-elements")
+    facts = wanted.select("rid", "n").join(sets.select("rid", F.size("shared").alias("m")), "rid").where(100 * F.col("m") >= s.percent * F.col("n"))
+
+    # Of a bucket, the member with most bucket places is the hub of the first round: a text that
+    # others were made from has more of them than its copies have.
+    facts = written(facts.join(members.groupBy("rid").agg(F.count("*").alias("places")), "rid"), "facts")
+    best = Window.partitionBy("sig").orderBy(F.desc("places"), "rid")
+    able = repeated(members.join(facts, "rid")).withColumn("hub", F.first(F.struct("rid", "n")).over(best)).withColumn("of", F.count("*").over(Window.partitionBy("sig")))
+    able = written(able.where("rid != hub.rid").select("sig", "rid", "n", "m", "of", F.col("hub.rid").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+
+    pairs = able.select(F.col("hub").alias("a"), F.col("rid").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).distinct()
+    counted = written(_counted(written(pairs, "pairs"), sets), "counted")
+    links = written(_linked(counted, s), "links")
+    # In buckets of two nothing is left.  In others, elements that two members have in common are
+    # among those that each has in common with the hub (``i``), or are shared ones besides (``o``).
+    with_hub = counted.select(F.col("a").alias("hub"), F.col("b").alias("rid"), F.col("both").alias("i"))
+    active = able.where("of > 2").join(with_hub, ["hub", "rid"]).select("sig", "rid", "n", "i", (F.col("m") - F.col("i")).alias("o"))
+    whole = Window.partitionBy("sig")
     while True:
         labels = components(links)
-        at = active.join(labels, active.rid == labels.node, "left").select("sig", "rid", F.coalesce("component", "rid").alias("component"))
-        whole = Window.partitionBy("sig")
-        open_ = at.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo != hi")
-        open_ = open_.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("rid")))
-        open_ = written(open_.select("sig", "rid", "component", "rank"), "open-buckets")
+        at = active.join(labels, active.rid == labels.node, "left").select(*active.columns, F.coalesce("component", "rid").alias("component"))
+        most = F.col("i") + F.least("o", F.max("o").over(whole))
+        at = at.withColumn("_some", _may_link(most, F.col("n"), F.min("n").over(whole), s)).where("_some").drop("_some")
+        open_ = at.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo != hi").drop("lo", "hi")
+        # Members of small components are the next hubs.
+        open_ = open_.withColumn("size", F.count("*").over(Window.partitionBy("sig", "component")))
+        open_ = written(open_.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("size", "component", "rid"))), "open-buckets")
         if open_.isEmpty():
             break
-        hubs = open_.where(F.col("rank") <= s.hubs).select("sig", F.col("rid").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        more = open_.join(hubs, "sig").where((F.col("rank") > F.col("ra")) & (F.col("component") != F.col("ca")))
-        more = more.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
-        more = written(worth_checking(more.join(checked, ["a", "b"], "left_anti")), "pairs")
-        checked = checked.unionByName(more)
-        links = written(links.unionByName(_linked(more, sets, s)), "links")
-        active = open_.where(F.col("rank") > s.hubs).select("sig", "rid")
+        # A pair is taken from the first of the open buckets that hold both.
+        places = open_.groupBy("rid").agg(F.collect_set("sig").alias("sigs"))
+        own = open_.join(places, "rid")
+        x = own.where(F.col("rank") <= s.hubs).select("sig", *(F.col(c).alias(f"{c}_x") for c in ("rid", "n", "i", "o", "component", "rank", "sigs")))
+        apart = (F.col("rank") > F.col("rank_x")) & (F.col("component") != F.col("component_x"))
+        near = _may_link(F.least("i", "i_x") + F.least("o", "o_x"), F.col("n_x"), F.col("n"), s)
+        here = F.when(apart & near, F.array_min(F.array_intersect("sigs", "sigs_x")) == F.col("here"))
+        more = own.withColumn("here", F.col("sig")).join(x, (own.sig == x.sig) & here)
+        more = more.select(F.col("rid_x").alias("a"), F.col("rid").alias("b"), F.col("n_x").alias("na"), F.col("n").alias("nb"))
+        links = written(links.unionByName(_linked(_counted(written(more, "pairs"), sets), s)), "links")
+        active = open_.where(F.col("rank") > s.hubs).select(*active.columns)
 
     # Every class to its component, and every document to its class.
-    classes = rows.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min(F.when(F.col("emits"), F.col("rid"))).alias("rid"), F.min("doc_id").alias("least"))
     classes = classes.join(labels, classes.rid == labels.node, "left").withColumn("component", F.coalesce("component", "rid"))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = classes.join(smallest, "component").select("c1", "c2", "n_shingles", "component_id")
+    classes = classes.join(smallest, "component").select("c1", "c2", "n_shingles", "component_id", "component")
     out = rows.join(classes, ["c1", "c2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "k1", "k2")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "k1", "k2")
+
+
+def deduplicate(docs: DataFrame, s: Settings = Settings(words=5, percent=80)) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all columns of ``docs``;
+    documents with an empty set stay."""
+    c = written(clusters(docs, s).where(F.col("component").isNotNull()), "clusters")
+    rows = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    best = c.groupBy("component").agg(F.min(rows).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
+    others = c.join(best, "component").where(~((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2")))).select("k1", "k2").distinct()
+    others = written(others, "copies")
+    keyed = docs.withColumns({"_k1": _key("1"), "_k2": _key("2")})
+    other = others.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    few = other.limit(s.max_broadcast + 1).count() <= s.max_broadcast
+    kept = keyed.join(F.broadcast(other) if few else other, ["_k1", "_k2"], "left_anti")
+    repeated = written(c.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "repeated-rows")
+    if not repeated.isEmpty():  # rows with equal id and text: one of them
+        once = kept.join(repeated, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+        kept = kept.join(repeated, ["_k1", "_k2"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -168,7 +168,7 @@ class Encoder:
         for p in (x.decode("utf-8", "replace") for x in pieces):
             core = p.rstrip(self.TAIL)
             parts.append((core, p[len(core) :]) if len(core) < len(p) and core.isalpha() else (p, ""))
-        known = self._encode_pieces(list({x for pair in parts for x in pair if x}))
+        known = self._encode_pieces(list({x for pair in parts for x in pair if x})) | {"": np.empty(0, dtype=np.uint32)}
         self.table.add(h, [np.concatenate([known[core], known[tail]]) if tail else known[core] for core, tail in parts])
 
     def _block(self, b: words.Block) -> list[bytes]:
