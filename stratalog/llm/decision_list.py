@@ -132,7 +132,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_pairs", F.when(F.col("_repeats") & ~F.col("_fast"), pairs))
     starts = F.when(F.col("_fast"), _starts(F.col("_o"), near, start)).when(F.col("_repeats"), _starts(F.col("_pairs"), lambda x, y: x["h"] == y["h"], lambda x: x["i"]))
     df = df.withColumn("_starts", starts)
-    df = df.withColumn("n_repeat_words", F.when(F.col("_repeats"), _covered(F.col("_starts"))).otherwise(F.lit(0).cast("long")))
+    # The condition on the row's number always holds; as it isn't deterministic to the optimizer, no
+    # filter above is rewritten into copies of the expressions below.
+    covered = F.when(F.col("_repeats"), _covered(F.col("_starts"))).otherwise(F.lit(0).cast("long"))
+    df = df.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, covered))
     words, rows = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("_lines"), F.lit(1))
     return df.select(
         *kept,
@@ -247,10 +250,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    # The id is not deterministic for the optimizer, which therefore does not copy the
-    # statistics' expressions into the filter below them.
-    s = statistics(own, "_text").select("_row", (~base_failed() & (verdict(rules) == 0)).alias("_kept"), F.monotonically_increasing_id().alias("_barrier"))
-    return s.where(F.col("_kept") & (F.col("_barrier") >= 0)).select("_row.*")
+    return statistics(own, "_text").where(~base_failed() & (verdict(rules) == 0)).select("_row.*")
 
 
 def query(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
