@@ -115,11 +115,11 @@ class Store:
 
     # -- writes ----------------------------------------------------------------------------
 
-    def write(self, batch: DataFrame) -> Manifest:
+    def write(self, batch: DataFrame, base: Manifest | None = None) -> Manifest:
         """Commit a batch ``pos, key, value`` (null value deletes) at once; its i-th row in the
         order of ``pos`` gets the i-th next sequence number.  An empty batch commits nothing, an
-        empty key fails the batch."""
-        m = self.manifest()
+        empty key fails the batch.  With ``base``, only directly behind that commit."""
+        m = base or self.manifest()
         empty = self.spark.createDataFrame([], SCHEMA).drop("shard")
         bad = batch.where(F.col("key").isNull() | (F.length("key") == 0)).limit(1).count()
         if bad:
@@ -137,6 +137,16 @@ class Store:
         """Succeeds for a key that is not there."""
         return self.write(self.spark.createDataFrame([(0, key, None)], "pos long, key string, value string"))
 
+    def cas(self, key: str, value: str, expected: str | None = None) -> tuple[bool, str | None]:
+        """Put if the key's value is ``expected`` (None: if it is absent); whether it was, and the
+        value found.  A commit between the read and the write is a ``Conflict``."""
+        m = self.manifest()
+        got = versions.newest(keyed(self.versions(m), key)).collect()
+        found = got[0].value if got else None
+        if found == expected:
+            self.write(self.spark.createDataFrame([(0, key, value)], "pos long, key string, value string"), m)
+        return found == expected, found
+
     def append(self, rows: DataFrame) -> Manifest:
         """Commit versions ``key, seq, kind, value`` that have their sequence numbers already, as a
         log's replay gives them."""

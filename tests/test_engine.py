@@ -310,3 +310,31 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     whole = log(spark, [(i, 0, 0, op, k, v, e) for i, op, k, v, e in data])
     assert rows(out, "idx", "found", "value", "success") == rows(fold.results(whole), "idx", "found", "value", "success")
     assert rows(apply.last_states(out)) == rows(fold.state(whole))
+
+
+def test_command_line(spark, tmp_path):
+    from stratalog import cli
+
+    def call(*a):
+        return cli.run(spark, cli.parser().parse_args([f"file://{tmp_path}/t", *a]))
+
+    assert call("put", "a", "1") == ["seq 1"] and call("cas", "a", "2", "--expected", "1") == ["success true", "found 1"]
+    assert call("cas", "a", "3") == ["success false", "found 2"] and call("get", "a") == ["2"] and call("get", "a", "--as-of", "1") == ["1"]
+    assert call("delete", "zz") == ["seq 3"] and call("scan", "--limit", "5") == ["a\t2"] and call("get", "zz") == ["not found"]
+    assert len(call("shards")) == 1 and call("compact") == ["segments 3"] and "segments\t3" in call("stats")
+
+
+def test_bench_result_files(spark, tmp_path):
+    import json
+
+    from stratalog.sources import bench_results
+
+    for name, x in {"b": {"name": "b", "op": "put", "ops": 10, "throughput": 2.5, "p50": 7}, "a": {"name": "a", "op": "get", "ops": 5, "throughput": 1.0}, "failover": {"killed_at": 1, "timeline": [1]}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(x, indent=1))
+    got = bench_results.read(spark, f"file://{tmp_path}/*.json").collect()
+    assert [(r.name, r.ops) for r in got] == [("a", 5), ("b", 10)]
+
+
+def test_fit_batch_first_entry_always_goes(spark):
+    e = spark.createDataFrame([(1, 1, 500), (1, 2, 10), (2, 1, 5), (2, 2, 6), (2, 3, 90)], "grp long, idx long, size long")
+    assert rows(scans.fit_batch(e, 10, 100), "grp", "idx") == [(1, 1), (2, 1), (2, 2)]
