@@ -40,6 +40,7 @@ gives no rows; other columns are ignored by ``join`` and kept by ``deduplicate``
 from __future__ import annotations
 
 import functools
+import gc
 import math
 from dataclasses import dataclass
 from itertools import combinations
@@ -60,7 +61,8 @@ U = words.U
 class Settings:
     words: int = 4  # of a shingle
     percent: int = 85
-    hubs: int = 64  # of a bucket in one round
+    slices: int = 2  # of the signatures' space
+    hubs: int = 512  # of a bucket in one round
     max_broadcast: int = 400_000
 
 
@@ -104,7 +106,7 @@ def _tail(n: int, p: float, most: int) -> float:
 
 
 @functools.lru_cache(maxsize=4096)
-def instance(number: int, lo: int, hi: int, percent: int, least: float = 3.5, rare: float = 1e-4) -> Instance:
+def instance(number: int, lo: int, hi: int, percent: int, least: float = 2.5, rare: float = 1e-4) -> Instance:
     """The fewest signatures such that one covers ``least`` elements of the smallest set on
     average (if k allows) and sets that must emit empty choices are ``rare``."""
     k = 2 * hi * (100 - percent) // (100 + percent)
@@ -305,7 +307,16 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         alone = F.lag("rid").over(ordered).isNull() & F.lead("rid").over(ordered).isNull()
         return members.withColumn("_alone", alone).where(~F.col("_alone")).drop("_alone")
 
-    members = written(repeated(all_signed.select(F.explode("sigs").alias("sig"), "rid")), "buckets")
+    # The signatures' space is taken in slices, so that only a part of all signatures lies in
+    # shuffle files at once: those of a slice go when the driver's JVM finds them unused.
+    buckets = new_path(spark, "buckets")
+    for i in range(s.slices):
+        own = all_signed.select(F.explode("sigs").alias("sig"), "rid").where(F.pmod("sig", F.lit(s.slices)) == i)
+        repeated(own).write.mode("append").parquet(buckets)
+        del own
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    members = spark.read.schema("sig long, rid long").parquet(buckets)
     drop_path(spark, path)
     members = members.join(first.select("rid"), "rid", "left_semi")
     wanted = written(members.select("rid").distinct().join(first, "rid"), "bucketed-documents")
