@@ -17,7 +17,9 @@ needed, linked sets still share a signature of some elements if one of the two h
 ``spare`` parts where a choice is empty; only sets with more of them also emit their empty
 choices.  So nothing is lost, and no signature of nothing gathers a share of all documents.
 
-Pairs.  Documents that share a signature are a bucket; copies with equal sets are one member.  An
+Pairs.  Documents that share a signature are a bucket; copies with equal sets are one member.  With
+spare parts a linked set shares several signatures, and documents that share fewer than they must
+leave first.  An
 element that only one bucketed document has lies in no intersection, so only the others are ever
 compared, and documents with too few of them to link with anything leave the buckets.  What is
 left of a bucket is compared with a hub, linked members are merged into components, and further
@@ -162,10 +164,17 @@ def shingle_sets(b: words.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(h: np.ndarray, cut: np.ndarray, s: Settings = Settings()) -> list[np.ndarray]:
     """Signatures of every set."""
+    return signatures_and_needs(h, cut, s)[0]
+
+
+def signatures_and_needs(h: np.ndarray, cut: np.ndarray, s: Settings = Settings()) -> tuple[list[np.ndarray], np.ndarray]:
+    """Signatures of every set, and how many of them at least it shares with any set that it
+    links with: 1 and the spare parts, less the parts where it has an empty choice."""
     n = np.diff(cut)
     out = [np.empty(0, dtype=np.uint64)] * len(n)
+    needs = np.ones(len(n), dtype=np.int64)
     if not len(h):
-        return out
+        return out, needs
     edges = band_edges(int(n.max()) * 2 + 2, s.percent)
     band = np.searchsorted([hi for _, hi in edges], n)
     weight = words.mix(h ^ U(0x5851F42D4C957F2D))
@@ -174,7 +183,7 @@ def signatures(h: np.ndarray, cut: np.ndarray, s: Settings = Settings()) -> list
         own = np.repeat(cut[docs], n[docs]) + np.arange(int(n[docs].sum())) - np.repeat(np.cumsum(n[docs]) - n[docs], n[docs])
         which = np.repeat(np.arange(len(docs)), n[docs])
         total = np.append(U(0), np.cumsum(weight[own], dtype=np.uint64))
-        parts = []
+        parts, need = [], []
         for x in instances_of(int(number), edges, s.percent):
             m = x.n1 * x.n2
             place = ((h[own] >> U(32)) * U(m) >> U(32)).astype(np.int64) + which * m
@@ -182,7 +191,9 @@ def signatures(h: np.ndarray, cut: np.ndarray, s: Settings = Settings()) -> list
             end = np.cumsum(count)
             value = (total[end] - total[end - count]).reshape(len(docs), x.n1, x.n2)
             count = count.reshape(len(docs), x.n1, x.n2)
-            empty = ((count == 0).sum(axis=2) >= x.n2 - x.k2).sum(axis=1) > x.spare
+            n_empty = ((count == 0).sum(axis=2) >= x.n2 - x.k2).sum(axis=1)
+            empty = n_empty > x.spare
+            need.append(np.maximum(1, 1 + x.spare - n_empty))
             part = words.mix(np.arange(x.n1, dtype=np.uint64) + U(x.number << 32))
             for c, choice in enumerate(x.choices):
                 v = value[:, :, choice].sum(axis=2, dtype=np.uint64)
@@ -192,14 +203,15 @@ def signatures(h: np.ndarray, cut: np.ndarray, s: Settings = Settings()) -> list
         used = np.concatenate([p[1] for p in parts], axis=1)
         for i, d in enumerate(docs):
             out[d] = sig[i][used[i]]
-    return out
+        needs[docs] = np.minimum(*need)
+    return out, needs
 
 
 def _key(seed: str):
     return F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
 
 
-SIGNED = "rid long, doc_id long, k1 long, k2 long, n_shingles long, c1 long, c2 long, sigs array<long>"
+SIGNED = "rid long, doc_id long, k1 long, k2 long, n_shingles long, c1 long, c2 long, need long, sigs array<long>"
 
 
 def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -213,7 +225,7 @@ def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
         seen: set[int] = set()
         for batch in batches:
-            n, c1, c2, sigs = [], [], [], []
+            n, c1, c2, needs, sigs = [], [], [], [], []
             for b in words.blocks(words.column_bytes(batch, "text")):
                 h, cut = shingle_sets(b, s.words)
                 size = np.diff(cut)
@@ -229,11 +241,14 @@ def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 fresh = np.array(fresh)
                 some = np.flatnonzero(fresh)
                 take = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in some]) if len(some) else np.empty(0, dtype=np.int64)
-                got = iter(signatures(h[take], np.append(0, np.cumsum(size[some])), s))
+                got, need = signatures_and_needs(h[take], np.append(0, np.cumsum(size[some])), s)
+                needs.append(np.zeros(len(size), dtype=np.int64))
+                needs[-1][some] = need
+                got = iter(got)
                 sigs += [next(got).view(np.int64) if f else None for f in fresh]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], *(pa.array(np.concatenate(x), pa.int64()) for x in (n, c1, c2)), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["rid", "doc_id", "k1", "k2", "n_shingles", "c1", "c2", "sigs"],
+                [*batch.columns[:4], *(pa.array(np.concatenate(x), pa.int64()) for x in (n, c1, c2, needs)), pa.array(sigs, pa.list_(pa.int64()))],
+                names=["rid", "doc_id", "k1", "k2", "n_shingles", "c1", "c2", "need", "sigs"],
             )
 
     return own.mapInArrow(run, SIGNED)
@@ -293,12 +308,12 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     path = new_path(spark, "signed")
     signed(docs, s).write.parquet(path)
     all_signed = spark.read.schema(SIGNED).parquet(path)
-    rows = written(all_signed.select("rid", "doc_id", "k1", "k2", "n_shingles", "c1", "c2", F.col("sigs").isNotNull().alias("emits")), "documents-signed")
+    rows = written(all_signed.select("rid", "doc_id", "k1", "k2", "n_shingles", "c1", "c2", "need", F.col("sigs").isNotNull().alias("emits")), "documents-signed")
 
     # A class of equal sets is known by its first document that emits signatures.
     classes = rows.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min(F.when(F.col("emits"), F.col("rid"))).alias("rid"), F.min("doc_id").alias("least"))
     classes = written(classes, "classes")
-    first = rows.where("emits").select("rid", "k1", "k2", F.col("n_shingles").alias("n")).join(classes.select("rid"), "rid")
+    first = rows.where("emits").select("rid", "k1", "k2", F.col("n_shingles").alias("n"), "need").join(classes.select("rid"), "rid")
 
     # Buckets of two classes or more.
     ordered = Window.partitionBy("sig").orderBy("rid")
@@ -318,8 +333,11 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         spark.sparkContext._jvm.System.gc()
     members = spark.read.schema("sig long, rid long").parquet(buckets)
     drop_path(spark, path)
-    members = members.join(first.select("rid"), "rid", "left_semi")
-    wanted = written(members.select("rid").distinct().join(first, "rid"), "bucketed-documents")
+    # A set that links with another shares at least ``need`` signatures with it; those that share
+    # fewer with all others together do so by chance.
+    places = members.groupBy("rid").agg(F.count("*").alias("places"))
+    wanted = written(first.join(places, "rid").where(F.col("places") >= F.col("need")), "bucketed-documents")
+    members = members.join(wanted.select("rid"), "rid", "left_semi")
     sets = written(_shared(docs, wanted.select("rid", "k1", "k2"), s), "shared-elements")
     facts = wanted.select("rid", "n").join(sets.select("rid", F.size("shared").alias("m")), "rid").where(100 * F.col("m") >= s.percent * F.col("n"))
 
