@@ -63,7 +63,8 @@ U = words.U
 class Settings:
     words: int = 4  # of a shingle
     percent: int = 85
-    slices: int = 2  # of the signatures' space
+    slices: int = 4  # of the signatures' space
+    least: float = 2.5  # elements that a signature of the smallest set covers on average
     hubs: int = 512  # of a bucket in one round
     max_broadcast: int = 400_000
 
@@ -129,12 +130,12 @@ def instance(number: int, lo: int, hi: int, percent: int, least: float = 2.5, ra
     return best[1]
 
 
-def instances_of(band: int, edges: list[tuple[int, int]], percent: int) -> list[Instance]:
+def instances_of(band: int, edges: list[tuple[int, int]], percent: int, least: float = 2.5) -> list[Instance]:
     """The two instances that a set of this band takes part in."""
     out = []
     for i in (band, band + 1):
         lo = edges[max(0, i - 1)][0]
-        out.append(instance(i, lo, edges[i][1], percent))
+        out.append(instance(i, lo, edges[i][1], percent, least))
     return out
 
 
@@ -184,7 +185,7 @@ def signatures_and_needs(h: np.ndarray, cut: np.ndarray, s: Settings = Settings(
         which = np.repeat(np.arange(len(docs)), n[docs])
         total = np.append(U(0), np.cumsum(weight[own], dtype=np.uint64))
         parts, need = [], []
-        for x in instances_of(int(number), edges, s.percent):
+        for x in instances_of(int(number), edges, s.percent, s.least):
             m = x.n1 * x.n2
             place = ((h[own] >> U(32)) * U(m) >> U(32)).astype(np.int64) + which * m
             count = np.bincount(place, minlength=len(docs) * m)
@@ -300,6 +301,12 @@ def _may_link(most: Column, na: Column, nb: Column, s: Settings) -> Column:
     return (100 + s.percent) * most >= s.percent * (na + nb)
 
 
+def _let_go(spark) -> None:
+    """Shuffle files go when the driver's JVM finds that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``doc_id, n_shingles, component_id, component, k1, k2`` of every document; ``component_id``
     is the smallest id that links lead to, ``component`` a number of its own for every component
@@ -329,8 +336,7 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         own = all_signed.select(F.explode("sigs").alias("sig"), "rid").where(F.pmod("sig", F.lit(s.slices)) == i)
         repeated(own).write.mode("append").parquet(buckets)
         del own
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        _let_go(spark)
     members = spark.read.schema("sig long, rid long").parquet(buckets)
     drop_path(spark, path)
     # A set that links with another shares at least ``need`` signatures with it; those that share
@@ -339,6 +345,7 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     wanted = written(first.join(places, "rid").where(F.col("places") >= F.col("need")), "bucketed-documents")
     members = members.join(wanted.select("rid"), "rid", "left_semi")
     sets = written(_shared(docs, wanted.select("rid", "k1", "k2"), s), "shared-elements")
+    _let_go(spark)
     facts = wanted.select("rid", "n").join(sets.select("rid", F.size("shared").alias("m")), "rid").where(100 * F.col("m") >= s.percent * F.col("n"))
 
     # Of a bucket, the member with most bucket places is the hub of the first round: a text that
@@ -378,6 +385,7 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         more = more.select(F.col("rid_x").alias("a"), F.col("rid").alias("b"), F.col("n_x").alias("na"), F.col("n").alias("nb"))
         links = written(links.unionByName(_linked(_counted(written(more, "pairs"), sets), s)), "links")
         active = open_.where(F.col("rank") > s.hubs).select(*active.columns)
+        _let_go(spark)
 
     # Every class to its component, and every document to its class.
     classes = classes.join(labels, classes.rid == labels.node, "left").withColumn("component", F.coalesce("component", "rid"))
@@ -387,7 +395,7 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "k1", "k2")
 
 
-def deduplicate(docs: DataFrame, s: Settings = Settings(words=5, percent=80)) -> DataFrame:
+def deduplicate(docs: DataFrame, s: Settings = Settings(words=5, percent=80, least=3.5)) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns of ``docs``;
     documents with an empty set stay."""
     c = written(clusters(docs, s).where(F.col("component").isNotNull()), "clusters")
