@@ -20,7 +20,7 @@ writes to, under Spark's commit protocol; a lost executor's blocks are written a
 Encoding gives the same ids as ``encode`` of the whole text, but encodes each distinct run of
 non-space once a worker (as long as it is remembered): the tokenizer's pieces never span white
 space, nor letters and the signs behind them.  Pieces of up to 64 bytes are remembered by a 64-bit
-hash.  Texts that hold a special token's string are encoded whole.
+hash.  Texts that hold a special token's string, in letters of either case, are encoded whole.
 
 Defined cases: a null or empty text is the end id alone; a null document id sorts first; repeated
 rows are encoded each; ties of the document id are ordered by the text's hash; an empty table
@@ -167,7 +167,9 @@ class Encoder:
         parts = []
         for p in (x.decode("utf-8", "replace") for x in pieces):
             core = p.rstrip(self.TAIL)
-            parts.append((core, p[len(core) :]) if len(core) < len(p) and core.isalpha() else (p, ""))
+            # Signs stand apart only from what is letters as the tokenizer sees it.
+            letters = len(core) < len(p) and core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha()
+            parts.append((core, p[len(core) :]) if letters else (p, ""))
         known = self._encode_pieces(list({x for pair in parts for x in pair if x})) | {"": np.empty(0, dtype=np.uint32)}
         self.table.add(h, [np.concatenate([known[core], known[tail]]) if tail else known[core] for core, tail in parts])
 
@@ -198,16 +200,16 @@ class Encoder:
         held, odd = [], {}
         for i, t in enumerate(texts):
             t = t or b""
-            if not self.splits or any(s in t for s in self.special):
+            folded = t.lower()  # only A-Z
+            if not self.splits or any(s in t or s in folded for s in self.special):
                 odd[i] = self.whole(t.decode("utf-8", "replace"))
                 t = b""
             elif not t.isascii():
                 # Lower-casing A-Z first saves pieces; it is the same where nothing is composed.
-                low = t.lower()
-                plain = unicodedata.is_normalized("NFC", t.decode("utf-8", "replace")) and unicodedata.is_normalized("NFC", low.decode("utf-8", "replace"))
-                t = low if plain else t
+                plain = unicodedata.is_normalized("NFC", t.decode("utf-8", "replace")) and unicodedata.is_normalized("NFC", folded.decode("utf-8", "replace"))
+                t = folded if plain else t
             else:
-                t = t.lower()
+                t = folded
             held.append(t)
         out = [x for b in words.blocks(held, fold=False) for x in self._block(b)]
         for i, x in odd.items():

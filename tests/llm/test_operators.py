@@ -79,6 +79,18 @@ def test_token_files_round_trip(spark, docs, rows):
     assert repair_tokens.query(awkward.empty(spark, docs)).count() == 0
 
 
+def test_pieces_have_the_ids_of_the_whole_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|> b", "<|StartOfText|>é", "x<|endoftext|>Y", "TAKSİ.", "taksİ, TAKSİ! İ.", "\u0915\u093c. \u0958.", "\u212a. \u212b.", "Straße. ÉCOLE, ﬁ;"]
+    got = repair_tokens.Encoder(path, 12).encode([x.encode() for x in texts])
+    for x, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_re_pair_expands_to_what_it_compressed(seed):
     rng = np.random.default_rng(seed)
