@@ -4,7 +4,9 @@ Words are canonicalised: punctuation at their ends is dropped, letters are lower
 ``<number>``, a unit behind a number ``<unit>``, and a capitalised word (not one in capitals only)
 that does not begin a sentence ``<name>``; what a placeholder stands for is its slot's value.  Every window of
 ``Settings.window`` canonical words of a document is looked up among the windows of the benchmark
-items; windows with fewer than ``min_literal`` plain words are not used on either side.
+items.  A window with fewer than ``min_literal`` plain words says too little as a template; it is
+looked up by its words themselves, slots included, so a verbatim copy of a list of names and
+numbers is found and a re-parameterised one is not.
 
 Matching windows of one document and one item on one alignment (same distance between the two
 positions) make an occurrence.  It is contamination if
@@ -21,8 +23,8 @@ of their id, so that no block has more than ``max_index_words`` words, and every
 over the documents.  Nothing of the documents is shuffled, so a source or passage with a third of
 all rows is no more work than another.
 
-Defined cases: null or empty texts match nothing; an item of fewer than ``min_literal`` words, or
-without a usable window, is never found; an item shorter than the window is one window of its own
+Defined cases: null or empty texts match nothing; an item of fewer than ``min_literal`` words is
+never found, verbatim copies included; an item shorter than the window is one window of its own
 length; equal items are each reported; repeated rows are reported each; no items means no rows;
 other columns are ignored by ``find`` and kept by ``clean``.
 """
@@ -120,17 +122,25 @@ def canonical(b: words.Block, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def template_windows(b: words.Block, h: np.ndarray, slot: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the usable windows of k canonical words."""
+    """Hashes and first words of the windows of k words: of the canonical words where enough of them
+    are plain, else of the words themselves."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     doc = np.repeat(np.arange(b.n), b.n_words)
     plain = np.append(0, np.cumsum(~slot))
-    at = np.flatnonzero((doc[:n] == doc[k - 1 :]) & (plain[k:] - plain[:n] >= s.min_literal))
+    at = np.flatnonzero(doc[:n] == doc[k - 1 :])
+    dense = np.flatnonzero(plain[at + k] - plain[at] < s.min_literal)
     x = np.full(n, k, dtype=np.uint64)
     for j in range(k):
         x = x * U(0xA0761D6478BD642F) + h[j : j + n]
-    return words.mix(x[at]), at
+    x = x[at]
+    if len(dense):
+        own = np.full(len(dense), k + 0x100, dtype=np.uint64)
+        for j in range(k):
+            own = own * U(0xA0761D6478BD642F) + b.h[at[dense] + j]
+        x[dense] = own
+    return words.mix(x), at
 
 
 @dataclass

@@ -138,6 +138,16 @@ def test_slots_must_be_consistent():
     assert judged == {same: [True], mixed: [False]}
 
 
+def test_verbatim_copies_of_items_dense_in_slots_are_found():
+    listed = "Weights: " + ", ".join(f"{n} {i + 11} kg" for i, n in enumerate("Anna Bernd Carla Dora Emil Fritz Gerda Hans Ida Jonas Karl Lena Max".split()))
+    items = ["Compute 12 + 7 + 9", listed, "Add 3 4 5 6 7 8 9 10 and then 11"]
+    x = decontaminate.Index.build([1, 2, 3], items, decontaminate.Settings())
+    other = listed.replace("1", "2").replace("3", "4")
+    texts = ["Please compute 12 + 7 + 9 now.", f"So it was said. {listed}; and so on.", "we add 3 4 5 6 7 8 9 10 and then 11 of them", "Compute 13 + 8 + 9", other]
+    got = [(r[0], r[1], r[-1]) for r in decontaminate.occurrences([t.encode() for t in texts], x, decontaminate.Settings())]
+    assert got == [(0, 1, True), (1, 2, True), (2, 3, True)]
+
+
 def test_benchmark_blocks_give_the_same(spark, docs):
     items = spark.createDataFrame([(i, awkward.prose(3, 400)[i * 40 : i * 40 + 300]) for i in range(20)], "item_id long, text string")
     a = decontaminate.query(docs, items).collect()
