@@ -33,8 +33,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of 2,048 words for all documents that are left."""
-    return conflict_packing.query(docs)
+    """Bins of 2,048 words for all documents that are left.  No two of them link, as
+    ``near_duplicates`` has kept one of each group, so no near copies are looked for again."""
+    return conflict_packing.pack(conflict_packing.measured(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,7 +1,7 @@
 """Best-fit packing with conflicts.
 
 Documents are packed into bins of ``capacity`` words.  A bin never holds two documents of one
-duplicate cluster, nor more than ``per_source`` of one source (by default two).  A document longer
+duplicate cluster (near copies by links of 0.8 over five-word shingles, see ``partenum_join``), nor more than ``per_source`` of one source (by default two).  A document longer
 than the capacity is cut into full pieces and a rest; its pieces are of one cluster and source,
 so they lie in different bins.
 
@@ -33,6 +33,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import partenum_join
+from .store import written
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -130,14 +133,27 @@ def pack(items: DataFrame, s: Settings = Settings()) -> DataFrame:
     return own.groupBy("pack_group").applyInArrow(run, PACKED)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, source, cluster``: words of the whole text, and as cluster the digest of the
-    text with case and white space evened out, so exact copies but for these share one."""
+def measured(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """``doc_id, size, source, cluster``: words of the whole text, and as cluster that of ``near``
+    (``k1, k2, cluster``: rows by the key of id and text), or else the digest of the text with case
+    and white space evened out, so exact copies but for these share one."""
     text = F.coalesce("text", F.lit(""))
     even = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     words = F.when(even == "", 0).otherwise(F.char_length(even) - F.char_length(F.replace(even, F.lit(" "), F.lit(""))) + 1)
-    return docs.select("doc_id", words.cast("long").alias("size"), "source", F.md5(even).alias("cluster"))
+    own = docs.select("doc_id", words.cast("long").alias("size"), "source", F.md5(even).alias("cluster"), partenum_join.key("1").alias("k1"), partenum_join.key("2").alias("k2"))
+    if near is not None:
+        own = own.join(near.withColumnRenamed("cluster", "near"), ["k1", "k2"], "left").withColumn("cluster", F.coalesce("near", "cluster"))
+    return own.select("doc_id", "size", "source", "cluster")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``k1, k2, cluster`` of the documents that have a near copy.  A cluster is named by the
+    smallest key of its documents, which no order of rows changes."""
+    c = written(partenum_join.clusters(docs, partenum_join.NEAR).where(F.col("component").isNotNull()).select("component", "k1", "k2"), "clusters")
+    named = c.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    named = named.select("component", F.concat_ws(" ", "least.k1", "least.k2").alias("cluster"))
+    return written(c.join(named, "component").select("k1", "k2", "cluster").distinct(), "near-copies")
 
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    return pack(measured(docs), s)
+    return pack(measured(docs, near_copies(docs)), s)

@@ -208,7 +208,8 @@ def signatures_and_needs(h: np.ndarray, cut: np.ndarray, s: Settings = Settings(
     return out, needs
 
 
-def _key(seed: str):
+def key(seed: str):
+    """One half of a row's key of id and text."""
     return F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
 
 
@@ -219,7 +220,7 @@ def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``SIGNED`` of every document: keys of the row, set size, digest of the set, signatures
     (null if this task has emitted those of an equal set)."""
     words.small_batches(docs.sparkSession)
-    own = docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), "doc_id", _key("1").alias("k1"), _key("2").alias("k2"), "text")
+    own = docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), "doc_id", key("1").alias("k1"), key("2").alias("k2"), "text")
 
     def run(batches):
         import pyarrow as pa
@@ -257,7 +258,7 @@ def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def _elements(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """``rid, elements`` of the wanted rows (rid, k1, k2)."""
-    own = docs.select("doc_id", "text").select(_key("1").alias("k1"), _key("2").alias("k2"), "text")
+    own = docs.select("doc_id", "text").select(key("1").alias("k1"), key("2").alias("k2"), "text")
     few = wanted.limit(s.max_broadcast + 1).count() <= s.max_broadcast
     own = own.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("rid", "text")
 
@@ -395,7 +396,11 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "k1", "k2")
 
 
-def deduplicate(docs: DataFrame, s: Settings = Settings(words=5, percent=80, least=3.5)) -> DataFrame:
+#: Near copies, as the pipeline takes them.
+NEAR = Settings(words=5, percent=80, least=3.5)
+
+
+def deduplicate(docs: DataFrame, s: Settings = NEAR) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns of ``docs``;
     documents with an empty set stay."""
     c = written(clusters(docs, s).where(F.col("component").isNotNull()), "clusters")
@@ -403,7 +408,7 @@ def deduplicate(docs: DataFrame, s: Settings = Settings(words=5, percent=80, lea
     best = c.groupBy("component").agg(F.min(rows).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
     others = c.join(best, "component").where(~((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2")))).select("k1", "k2").distinct()
     others = written(others, "copies")
-    keyed = docs.withColumns({"_k1": _key("1"), "_k2": _key("2")})
+    keyed = docs.withColumns({"_k1": key("1"), "_k2": key("2")})
     other = others.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     few = other.limit(s.max_broadcast + 1).count() <= s.max_broadcast
     kept = keyed.join(F.broadcast(other) if few else other, ["_k1", "_k2"], "left_anti")

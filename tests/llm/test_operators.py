@@ -495,3 +495,17 @@ def test_bins_hold_all_documents_without_conflicts(spark, docs, rows):
         assert not most or max(most.values()) <= 2
         assert sum(r.doc_id in (0, 1) for r in own) <= 1  # copies
     assert conflict_packing.query(awkward.empty(spark, docs)).count() == 0
+
+
+def test_near_copies_share_no_bin(spark):
+    rows = []
+    for g in range(4):
+        text = awkward.prose(50 + g, 80).split()
+        for i in range(6):  # all links lead to the first: one word changed
+            rows.append((len(rows), " ".join([*text[: 10 + i], f"other{i}", *text[11 + i :]] if i else text), None))
+    rows += [(100, "", None), (101, None, None), (102, "alone here", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = conflict_packing.query(df, conflict_packing.Settings(capacity=2048)).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
+    seen = Counter((r.pack_group, r.bin, r.doc_id // 6) for r in got if r.doc_id < 24)
+    assert max(seen.values()) == 1
