@@ -109,17 +109,63 @@ def linearizable(history: DataFrame, most_states: int = 200_000) -> DataFrame:
     """``key, operations, verdict`` (ok, violation or unknown) of a history of put, delete, get and
     cas operations: whether some order that respects real time explains every reply.
 
-    The problem is exponential in a key's overlapping operations; a key whose search would hold
-    more than ``most_states`` states is reported as unknown, never as ok.
+    A key's operations stream through in order of their calls and are decided in pieces, cut where
+    no operation is pending; the states that a piece may end in are carried into the next, so a
+    worker holds one piece however long the history is.  The problem is exponential in overlapping
+    operations: a key whose search would hold more than ``most_states`` states at once is reported
+    as unknown, never as ok.
     """
+    names = ["key", *(c for c in history.columns if c != "key")]
+    ordered = history.select(*names).repartition("key").sortWithinPartitions("key", "call_ns", "return_ns")
 
-    def check(key, table):
+    def run(batches):
         import pyarrow as pa
 
-        rows = sorted(table.to_pylist(), key=lambda r: (r["call_ns"], r["return_ns"]))
-        return pa.table({"key": [key[0].as_py()], "operations": pa.array([len(rows)], pa.int64()), "verdict": [_explain(rows, most_states)]})
-
-    return history.groupBy("key").applyInArrow(check, "key string, operations long, verdict string")
+        schema = pa.schema([("key", pa.string()), ("operations", pa.int64()), ("verdict", pa.string())])
+        one, done = None, []
+        for batch in batches:
+            for op in batch.to_pylist():
+                if one is None or op["key"] != one.key:
+                    if one is not None:
+                        done.append((one.key, one.operations, one.verdict()))
+                    one = _Search(op["key"], most_states)
+                one.add(op)
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in done], schema=schema)
+                done = []
+        if one is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (one.key, one.operations, one.verdict()), strict=True))], schema=schema)
+
+    return ordered.mapInArrow(run, "key string, operations long, verdict string")
+
+
+class _Search:
+    """Of one key: the states that its operations up to the last cut may leave, and those since."""
+
+    def __init__(self, key: str | None, most: int):
+        self.key, self.most = key, most
+        self.operations = 0
+        self.states: set[str] | None = {""}  # None: unknown
+        self.piece: list[dict] = []
+        self.last_return = None
+
+    def add(self, op: dict) -> None:
+        self.operations += 1
+        if not self.states:
+            return
+        if self.piece and op["call_ns"] > self.last_return:
+            self._cut()
+        self.last_return = op["return_ns"] if not self.piece else max(self.last_return, op["return_ns"])
+        self.piece.append(op)
+
+    def _cut(self) -> None:
+        self.states = _explain(self.piece, self.states, self.most)
+        self.piece = []
+
+    def verdict(self) -> str:
+        if self.states and self.piece:
+            self._cut()
+        return "unknown" if self.states is None else "ok" if self.states else "violation"
 
 
 def _apply(state: str, op: dict) -> str | None:
@@ -138,27 +184,35 @@ def _apply(state: str, op: dict) -> str | None:
     return op["value"] if holds else state
 
 
-def _explain(ops: list[dict], most: int) -> str:
-    """Breadth-first over (set of operations done, state); a step may take any operation that was
-    called before every operation left has returned."""
-    full = (1 << len(ops)) - 1
-    level = {(0, "")}
-    seen = 0
-    while level:
-        seen += len(level)
-        if seen > most:
-            return "unknown"
+def _explain(ops: list[dict], states: set[str], most: int) -> set[str] | None:
+    """States after all operations (ordered by call), from any of ``states``: none if no order
+    explains the replies, None if a level and the one that follows it, which are held together,
+    have more than ``most`` states.
+
+    Breadth-first over (operations done, state), a level an operation; a step may take any that was
+    called before every operation left has returned.  What is done is all before ``first``, and the
+    bits of ``done`` from there on.
+    """
+    n = len(ops)
+    level = {(0, 0, x) for x in states}
+    for _ in range(n):
         following = set()
-        for done, state in level:
-            if done == full:
-                return "ok"
-            left = [i for i in range(len(ops)) if not done >> i & 1]
-            first_return = min(ops[i]["return_ns"] for i in left)
+        for first, done, state in level:
+            left, i, first_return = [], first, None
+            while i < n and (first_return is None or ops[i]["call_ns"] <= first_return):
+                if not done >> (i - first) & 1:
+                    left.append(i)
+                    first_return = ops[i]["return_ns"] if first_return is None else min(first_return, ops[i]["return_ns"])
+                i += 1
             for i in left:
                 if ops[i]["call_ns"] > first_return:
                     break
                 after = _apply(state, ops[i])
                 if after is not None:
-                    following.add((done | 1 << i, after))
+                    now = done | 1 << (i - first)
+                    skip = (~now & (now + 1)).bit_length() - 1  # done ones in a row from first on
+                    following.add((first + skip, now >> skip, after))
+            if len(level) + len(following) > most:
+                return None
         level = following
-    return "violation" if ops else "ok"
+    return {state for _, _, state in level}

@@ -277,6 +277,54 @@ def test_linearizability(spark):
     assert rows(audit.linearizable(h, 1), "verdict") == [("unknown",), ("unknown",)]
 
 
+def test_long_histories_are_decided_by_the_states_held(spark):
+    names = "key string, kind string, value string, expected string, absent boolean, out_value string, out_found boolean, out_ok boolean, call_ns long, return_ns long"
+    ops = []
+    for k, wrong in (("late", 2999), ("long", None)):
+        for i in range(3000):  # puts and gets in turn; every tenth pair overlaps
+            get = i % 2
+            value = f"v{i - get}" if i != wrong else "lost"
+            ops.append((k, "get" if get else "put", None if get else value, None, None, value if get else None, bool(get), None, 10 * i, 10 * i + (12 if i % 20 == 0 else 5)))
+    h = spark.createDataFrame(ops, names)
+    assert rows(audit.linearizable(h, 20), "key", "operations", "verdict") == [("late", 3000, "violation"), ("long", 3000, "ok")]
+
+
+def test_linearizability_equals_all_orders():
+    import itertools
+    import random
+
+    rng = random.Random(0)
+    seen = set()
+    for _ in range(400):
+        ops = []
+        for i in range(rng.randint(1, 6)):
+            call = rng.randrange(20)
+            kind = rng.choice(["put", "get", "delete", "cas"])
+            out = rng.choice(["", "a", "b"])
+            absent = rng.random() < 0.3
+            expected = None if absent else rng.choice(["a", "b"])
+            ok = out == "" if absent else out == expected
+            ops.append({"key": "k", "kind": kind, "value": rng.choice("ab"), "expected": expected, "absent": absent, "out_value": out, "out_found": out != "", "out_ok": ok, "call_ns": call, "return_ns": call + rng.randrange(1, 8)})
+
+        def explains(order):
+            state = ""
+            for j, op in enumerate(order):
+                if any(later["return_ns"] < op["call_ns"] for later in order[j + 1 :]):
+                    return False
+                state = audit._apply(state, op)
+                if state is None:
+                    return False
+            return True
+
+        search = audit._Search("k", 10_000)
+        for op in sorted(ops, key=lambda r: (r["call_ns"], r["return_ns"])):
+            search.add(op)
+        want = "ok" if any(explains(p) for p in itertools.permutations(ops)) else "violation"
+        assert search.verdict() == want
+        seen.add(want)
+    assert len(seen) == 2
+
+
 def test_rank_percentiles_are_floor_ranks(spark):
     s = spark.createDataFrame([("m", i) for i in range(100)], "m string, v long")
     assert rows(benchstats.latency(s, "m", "v")) == [("m", 100, 50, 99, 99)]
