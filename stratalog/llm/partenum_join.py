@@ -26,8 +26,13 @@ left of a bucket is compared with a hub, linked members are merged into componen
 hubs are taken and retired, until the members left in every bucket are of one component.  Of two
 components only those pairs are compared whose intersection may be large enough, given what each
 has in common with the bucket's first hub and how many shared elements it has besides.  No pair
-that could link is left unchecked, and a bucket of m copies costs about m pairs.  The check is
-exact, on whole sets.
+that could join two components is left unchecked, and a bucket of m copies costs about m pairs.
+The check is exact, on whole sets.
+
+Links.  Linked sets lie in one component, so ``join`` and ``linked`` find all of them by comparing
+all classes of equal sets within every component.  A component is dealt by hash into blocks of
+about ``block`` classes, and every pair of blocks is a group of its own, so no worker holds more than
+two blocks.  A component of m classes costs m * m / 2 comparisons, as it may have as many links.
 
 Only documents that share a signature have their sets shipped; they are found again by a 128-bit
 key of id and text, broadcast if they are at most ``max_broadcast`` rows and joined by shuffle
@@ -36,7 +41,7 @@ otherwise.  Components are found by label propagation over written tables.
 Defined cases: a null or empty text, or one without words, has an empty set and links with
 nothing; a text of fewer words than a shingle has one shingle of all its words; repeated rows are
 copies; a null id never is a component's id unless all its documents have none; an empty table
-gives no rows; other columns are ignored by ``join`` and kept by ``deduplicate``.
+gives no rows; other columns are ignored by all but ``deduplicate``, which keeps them.
 """
 
 from __future__ import annotations
@@ -46,6 +51,7 @@ import gc
 import math
 from dataclasses import dataclass
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -66,6 +72,7 @@ class Settings:
     slices: int = 4  # of the signatures' space
     least: float = 2.5  # elements that a signature of the smallest set covers on average
     hubs: int = 512  # of a bucket in one round
+    block: int = 256  # classes of a component that are compared with as many others at once
     max_broadcast: int = 400_000
 
 
@@ -308,10 +315,14 @@ def _let_go(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, component, k1, k2`` of every document; ``component_id``
-    is the smallest id that links lead to, ``component`` a number of its own for every component
-    (null for an empty set), and k1 and k2 are a key of the row's id and text."""
+class Resolved(NamedTuple):
+    rows: DataFrame  # of SIGNED but the signatures
+    classes: DataFrame  # c1, c2, n_shingles, rid, least, docs, component
+    members: DataFrame  # rid, n, shared, docs, component of the classes that link with another
+
+
+def _resolve(docs: DataFrame, s: Settings) -> Resolved:
+    """Components of all classes of equal sets."""
     spark = docs.sparkSession
     path = new_path(spark, "signed")
     signed(docs, s).write.parquet(path)
@@ -319,7 +330,7 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = written(all_signed.select("rid", "doc_id", "k1", "k2", "n_shingles", "c1", "c2", "need", F.col("sigs").isNotNull().alias("emits")), "documents-signed")
 
     # A class of equal sets is known by its first document that emits signatures.
-    classes = rows.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min(F.when(F.col("emits"), F.col("rid"))).alias("rid"), F.min("doc_id").alias("least"))
+    classes = rows.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min(F.when(F.col("emits"), F.col("rid"))).alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("docs"))
     classes = written(classes, "classes")
     first = rows.where("emits").select("rid", "k1", "k2", F.col("n_shingles").alias("n"), "need").join(classes.select("rid"), "rid")
 
@@ -388,12 +399,107 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         active = open_.where(F.col("rank") > s.hubs).select(*active.columns)
         _let_go(spark)
 
-    # Every class to its component, and every document to its class.
-    classes = classes.join(labels, classes.rid == labels.node, "left").withColumn("component", F.coalesce("component", "rid"))
-    smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = classes.join(smallest, "component").select("c1", "c2", "n_shingles", "component_id", "component")
-    out = rows.join(classes, ["c1", "c2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "k1", "k2")
+    classes = classes.join(labels, classes.rid == labels.node, "left").withColumn("component", F.coalesce("component", "rid")).drop("node")
+    own = classes.join(labels.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "docs", "component")
+    # Sets of near copies are small as files, but not in memory: they are never broadcast.
+    return Resolved(rows, classes, own.join(wanted.select("rid", "n"), "rid").join(sets.hint("merge"), "rid"))
+
+
+def _documents(r: Resolved, *more: str) -> DataFrame:
+    """Every class to its component, and every document to its class."""
+    smallest = r.classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = r.classes.join(smallest, "component").select("c1", "c2", "n_shingles", "component_id", "component", *more)
+    out = r.rows.join(classes, ["c1", "c2", "n_shingles"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "k1", "k2", *more)
+
+
+def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, component, k1, k2`` of every document; ``component_id``
+    is the smallest id that links lead to, ``component`` a number of its own for every component
+    (null for an empty set), and k1 and k2 are a key of the row's id and text."""
+    return _documents(_resolve(docs, s))
+
+
+def _compare(table, percent: int):
+    """Indexes of the rows of two blocks that link (each pair once), and their common elements."""
+    import pyarrow as pa
+
+    lists = table.column("shared").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    values, cut = lists.values.to_numpy(), lists.offsets.to_numpy()
+    n, rid, block, lo, hi = (table.column(c).to_numpy() for c in ("n", "rid", "block", "lo", "hi"))
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    size = cut[right + 1] - cut[right]
+    elements = np.concatenate([values[cut[i] : cut[i + 1]] for i in right]) if len(right) else values[:0]
+    owner = np.repeat(np.arange(len(right)), size)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    out = []
+    for i in left:
+        own = values[cut[i] : cut[i + 1]]
+        begin, end = np.searchsorted(elements, own), np.searchsorted(elements, own, side="right")
+        times = end - begin
+        at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
+        both = np.bincount(owner[at], minlength=len(right))
+        hit = 100 * both >= percent * (n[i] + n[right] - both)
+        if lo[0] == hi[0]:
+            hit &= rid[right] > rid[i]
+        some = np.flatnonzero(hit)
+        out.append((np.full(len(some), i), right[some], both[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
+
+
+def _blocks(members: DataFrame, s: Settings):
+    """The members of every pair of blocks of a component, grouped."""
+    _let_go(members.sparkSession)
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("n_blocks"))
+    own = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n_blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    own = own.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    return own.select("component", "lo", "hi", "block", "rid", "n", "docs", "shared").groupBy("component", "lo", "hi")
+
+
+def join(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """All links between classes of equal sets: ``a, b, n_a, n_b, n_both`` (a < b, set sizes and
+    intersection), and the class of every document: ``doc_id, n_shingles, class, k1, k2`` (null for
+    an empty set).  Documents of one class, and of two linked ones, are all that link."""
+    r = _resolve(docs, s)
+
+    def run(table):
+        import pyarrow as pa
+
+        i, j, both = _compare(table, s.percent)
+        rid, n = table.column("rid").to_numpy(), table.column("n").to_numpy()
+        first = rid[i] < rid[j]
+        a, b = np.where(first, i, j), np.where(first, j, i)
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", rid[a]), ("b", rid[b]), ("n_a", n[a]), ("n_b", n[b]), ("n_both", both))})
+
+    links = written(_blocks(r.members, s).applyInArrow(run, "a long, b long, n_a long, n_b long, n_both long"), "all-links")
+    of = r.classes.select("c1", "c2", "n_shingles", F.col("rid").alias("class"))
+    return links, r.rows.join(of, ["c1", "c2", "n_shingles"], "left").select("doc_id", "n_shingles", "class", "k1", "k2")
+
+
+def linked(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` of every document; ``n_links`` is the number of
+    other documents that it links with, copies included."""
+    r = _resolve(docs, s)
+
+    def run(table):
+        import pyarrow as pa
+
+        i, j, _ = _compare(table, s.percent)
+        rid, weight = table.column("rid").to_numpy(), table.column("docs").to_numpy()
+        n = np.zeros(len(rid), dtype=np.int64)
+        np.add.at(n, i, weight[j])
+        np.add.at(n, j, weight[i])
+        return pa.table({"rid": pa.array(rid, pa.int64()), "links": pa.array(n, pa.int64())})
+
+    counts = _blocks(r.members, s).applyInArrow(run, "rid long, links long").groupBy("rid").agg(F.sum("links").alias("links"))
+    counts = written(counts, "link-counts")
+    classes = r.classes.join(counts, "rid", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("links", F.lit(0)))
+    out = _documents(r._replace(classes=classes), "n_links")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 #: Near copies, as the pipeline takes them.

@@ -43,7 +43,7 @@ def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum_join.query(table(spark, sf_dir, "documents"))
+    return partenum_join.linked(table(spark, sf_dir, "documents"))
 
 
 def op8_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,42 @@ def test_join_of_near_copies_in_chains_and_at_the_threshold(spark, hubs):
     assert 12 < len({r[2] for r in got}) < len(rows)
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_all_links_within_components_are_found(spark, block):
+    rng = random.Random(block)
+    rows = [(1000, ""), (1001, None), (1002, "alone here")]
+    for g in range(5):
+        base = awkward.prose(200 + g, 160).split()
+        for i in range(9):
+            own = list(base)
+            for _ in range(i % 4):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
+            rows += [(len(rows), " ".join(own))] * (2 if i == 5 else 1)
+    sets = [shingles(t, 4) for _, t in rows]
+
+    def links(x, y):
+        both = len(x & y)
+        return bool(x and y) and 100 * both >= 85 * (len(x) + len(y) - both)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    s = partenum_join.Settings(block=block)
+    want = [(d, len(x), sum(links(x, y) for j, y in enumerate(sets) if j != i)) for i, ((d, _), x) in enumerate(zip(rows, sets, strict=True))]
+    got = partenum_join.linked(df, s).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got) == sorted(want)
+    pairs, members = partenum_join.join(df, s)
+    of = {r.doc_id: r["class"] for r in members.collect()}
+    found = {(r.a, r.b, r.n_a + r.n_b, r.n_both) for r in pairs.collect()}
+    assert pairs.count() == len(found)
+    expected = set()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            a, b = of[rows[i][0]], of[rows[j][0]]
+            if links(x, y) and a < b:
+                expected.add((a, b, len(x) + len(y), len(x & y)))
+    assert found == expected and len(found) > 40
+    assert all(r[2] == 0 for r in want[:3]) and of[1000] is None
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(0)
     linked = 0
