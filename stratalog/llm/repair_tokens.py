@@ -5,7 +5,7 @@ written in ascending order of document id.  A file row is a *block*: consecutive
 a grammar of their own.  Re-Pair replaces frequent pairs of neighbouring symbols by new symbols;
 here it works in rounds, each of which replaces every pair that occurs at least ``share`` times
 as often as the most frequent one (where two such pairs overlap, the more frequent one), until
-no pair occurs ``min_count`` times or ``max_rounds`` are done.  A symbol never spans two
+no pair occurs ``min_count`` times (or ``max_rounds`` are done, where it is set).  A symbol never spans two
 documents.  The block stores the rules, the number of ids that each rule expands to, the
 documents' ids and lengths, and the remaining symbols, so any range of a document's ids is
 decoded without expanding the rest (``decode_range``).
@@ -55,7 +55,7 @@ class Settings:
     block_tokens: int = 1 << 20
     share: float = 1 / 64
     min_count: int = 24
-    max_rounds: int = 4
+    max_rounds: int | None = None
     table_bits: int = 22  # of a worker's table of pieces
 
 
@@ -240,7 +240,9 @@ def compress(ids: np.ndarray, last: np.ndarray, s: Settings = Settings()) -> tup
     ids that end a document."""
     base = int(ids.max()) + 1 if len(ids) else 1
     seq, rules, n_rules = ids.astype(np.uint32), [], 0
-    for _ in range(s.max_rounds):
+    rounds = 0
+    while s.max_rounds is None or rounds < s.max_rounds:
+        rounds += 1
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]

@@ -108,6 +108,19 @@ def test_re_pair_expands_to_what_it_compressed(seed):
         assert (r.decode_range(i, a, z) == d[a:z]).all()
 
 
+def test_re_pair_goes_on_until_no_pair_is_frequent():
+    passage = np.random.default_rng(7).integers(0, 500, 256)
+    docs = [np.append(passage, 1).astype("<u4") for _ in range(200)]
+    s = repair_tokens.Settings()
+    last = np.cumsum([len(d) for d in docs]) - 1
+    marks = np.zeros(last[-1] + 1, dtype=bool)
+    marks[last] = True
+    seq, ends, rules, base = repair_tokens.compress(np.concatenate(docs), marks, s)
+    pairs = Counter((a, b) for a, b, e in zip(seq[:-1].tolist(), seq[1:].tolist(), ends[:-1].tolist(), strict=True) if not e)
+    assert max(pairs.values(), default=0) < s.min_count
+    assert len(seq) <= 2 * len(docs) and int(repair_tokens.expansion_lengths(rules, base).max()) > 16
+
+
 # -- 2: decontamination
 
 
