@@ -17,26 +17,32 @@ needed, linked sets still share a signature of some elements if one of the two h
 ``spare`` parts where a choice is empty; only sets with more of them also emit their empty
 choices.  So nothing is lost, and no signature of nothing gathers a share of all documents.
 
-Pairs.  Documents that share a signature are a bucket; copies with equal sets are one member.  With
-spare parts a linked set shares several signatures, and documents that share fewer than they must
-leave first.  An
-element that only one bucketed document has lies in no intersection, so only the others are ever
-compared, and documents with too few of them to link with anything leave the buckets.  What is
-left of a bucket is compared with a hub, linked members are merged into components, and further
-hubs are taken and retired, until the members left in every bucket are of one component.  Of two
-components only those pairs are compared whose intersection may be large enough, given what each
-has in common with the bucket's first hub and how many shared elements it has besides.  No pair
-that could join two components is left unchecked, and a bucket of m copies costs about m pairs.
-The check is exact, on whole sets.
-
-Links.  Linked sets lie in one component, so ``join`` and ``linked`` find all of them by comparing
-all classes of equal sets within every component.  A component is dealt by hash into blocks of
-about ``block`` classes, and every pair of blocks is a group of its own, so no worker holds more than
-two blocks.  A component of m classes costs m * m / 2 comparisons, as it may have as many links.
-
-Only documents that share a signature have their sets shipped; they are found again by a 128-bit
-key of id and text, broadcast if they are at most ``max_broadcast`` rows and joined by shuffle
-otherwise.  Components are found by label propagation over written tables.
+Candidates.  A signature's hash picks a bucket; the rest of it and a short id of the set's class
+(all documents with equal sets) are one 64-bit number, and a bucket is an array of these, sorted
+to find the signatures that several classes share.  Classes whose short ids agree are candidates
+of each other.  Signatures with the same classes, as near copies have by the dozen, are one list.
+
+Every class has a sketch: bits, a few for each element, that tell whether an odd number of elements
+falls on them.  Sets differ in at least as many elements as their sketches in bits, so sketches
+rule pairs out exactly.  Within each list all pairs are compared by sketch but those that earlier
+ones have connected already; a list of near copies costs about one comparison a class, and lists of
+more than ``longest`` classes are cut into blocks of which every two are a list.
+
+Links.  Linked sets lie in one component of the candidates.  Only there sets are shipped and
+compared, by products of their incidence matrices over the elements that two of them have.  A
+component of more than ``block`` classes is cut into blocks.  For components alone, each block is
+compared within and with some hubs of the component; then the classes that the largest part has
+not taken in are compared with all others that they may still join, so a family of m copies costs
+about m * block comparisons.  ``join`` and ``linked`` compare every two blocks, as a component of
+m classes may have m * m / 2 links.
+
+Only documents of candidates have their sets shipped; they are found again by a 128-bit key of id
+and text, broadcast if they are at most ``max_broadcast`` rows and joined by shuffle otherwise.
+Components are found by label propagation over written tables.  Written tables are dropped once
+nothing reads them any more.
+
+Memory: a worker holds a bucket (about ``bucket`` signatures), a bin of lists, or two blocks.  A
+signature that many classes share lies in one bucket: 8 bytes a class.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with
 nothing; a text of fewer words than a shingle has one shingle of all its words; repeated rows are
@@ -47,20 +53,18 @@ gives no rows; other columns are ignored by all but ``deduplicate``, which keeps
 from __future__ import annotations
 
 import functools
-import gc
 import math
 from dataclasses import dataclass
 from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import words
 from .components import components
-from .store import drop_path, new_path, written
+from .store import Tables, written
 
 U = words.U
 
@@ -69,10 +73,14 @@ U = words.U
 class Settings:
     words: int = 4  # of a shingle
     percent: int = 85
-    slices: int = 4  # of the signatures' space
     least: float = 2.5  # elements that a signature of the smallest set covers on average
-    hubs: int = 512  # of a bucket in one round
-    block: int = 256  # classes of a component that are compared with as many others at once
+    bucket: int = 1 << 20  # signatures of a bucket
+    flush: int = 1 << 21  # signatures that a task holds before it hands them on
+    longest: int = 1 << 14  # classes of a list
+    bin: int = 1 << 17  # places in lists that are compared by sketch at once
+    block: int = 1024  # classes that are compared with one another at once
+    elements: int = 1 << 20  # of a block
+    hubs: int = 16  # of a component of several blocks, about
     max_broadcast: int = 400_000
 
 
@@ -172,17 +180,17 @@ def shingle_sets(b: words.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(h: np.ndarray, cut: np.ndarray, s: Settings = Settings()) -> list[np.ndarray]:
     """Signatures of every set."""
-    return signatures_and_needs(h, cut, s)[0]
+    flat, owner = owned_signatures(h, cut, s)
+    order = np.argsort(owner, kind="stable")
+    return np.split(flat[order], np.searchsorted(owner[order], np.arange(1, len(cut) - 1)))
 
 
-def signatures_and_needs(h: np.ndarray, cut: np.ndarray, s: Settings = Settings()) -> tuple[list[np.ndarray], np.ndarray]:
-    """Signatures of every set, and how many of them at least it shares with any set that it
-    links with: 1 and the spare parts, less the parts where it has an empty choice."""
+def owned_signatures(h: np.ndarray, cut: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of all sets, and the index of the set of each."""
     n = np.diff(cut)
-    out = [np.empty(0, dtype=np.uint64)] * len(n)
-    needs = np.ones(len(n), dtype=np.int64)
+    flat, owner = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
     if not len(h):
-        return out, needs
+        return flat[0], owner[0]
     edges = band_edges(int(n.max()) * 2 + 2, s.percent)
     band = np.searchsorted([hi for _, hi in edges], n)
     weight = words.mix(h ^ U(0x5851F42D4C957F2D))
@@ -191,28 +199,50 @@ def signatures_and_needs(h: np.ndarray, cut: np.ndarray, s: Settings = Settings(
         own = np.repeat(cut[docs], n[docs]) + np.arange(int(n[docs].sum())) - np.repeat(np.cumsum(n[docs]) - n[docs], n[docs])
         which = np.repeat(np.arange(len(docs)), n[docs])
         total = np.append(U(0), np.cumsum(weight[own], dtype=np.uint64))
-        parts, need = [], []
+        top = h[own] >> U(32)
         for x in instances_of(int(number), edges, s.percent, s.least):
             m = x.n1 * x.n2
-            place = ((h[own] >> U(32)) * U(m) >> U(32)).astype(np.int64) + which * m
+            place = (top * U(m) >> U(32)).astype(np.int64) + which * m
             count = np.bincount(place, minlength=len(docs) * m)
             end = np.cumsum(count)
             value = (total[end] - total[end - count]).reshape(len(docs), x.n1, x.n2)
             count = count.reshape(len(docs), x.n1, x.n2)
-            n_empty = ((count == 0).sum(axis=2) >= x.n2 - x.k2).sum(axis=1)
-            empty = n_empty > x.spare
-            need.append(np.maximum(1, 1 + x.spare - n_empty))
+            empty = ((count == 0).sum(axis=2) >= x.n2 - x.k2).sum(axis=1) > x.spare
             part = words.mix(np.arange(x.n1, dtype=np.uint64) + U(x.number << 32))
             for c, choice in enumerate(x.choices):
                 v = value[:, :, choice].sum(axis=2, dtype=np.uint64)
-                some = count[:, :, choice].sum(axis=2) > 0
-                parts.append((words.mix(v * U(0x9E3779B97F4A7C15) + part + U(c << 8)), some | empty[:, None]))
-        sig = np.concatenate([p[0] for p in parts], axis=1)
-        used = np.concatenate([p[1] for p in parts], axis=1)
-        for i, d in enumerate(docs):
-            out[d] = sig[i][used[i]]
-        needs[docs] = np.minimum(*need)
-    return out, needs
+                used = (count[:, :, choice].sum(axis=2) > 0) | empty[:, None]
+                flat.append(words.mix(v * U(0x9E3779B97F4A7C15) + part + U(c << 8))[used])
+                owner.append(np.repeat(docs, used.sum(axis=1)))
+    return np.concatenate(flat), np.concatenate(owner)
+
+
+def most_signatures(n: np.ndarray, s: Settings) -> np.ndarray:
+    """How many signatures sets of these sizes have at most."""
+    if not len(n) or not n.max():
+        return np.zeros(len(n), dtype=np.int64)
+    edges = band_edges(int(n.max()) * 2 + 2, s.percent)
+    band = np.searchsorted([hi for _, hi in edges], n)
+    out = np.zeros(len(n), dtype=np.int64)
+    for number in np.unique(band[n > 0]):
+        out[(band == number) & (n > 0)] = sum(x.n1 * len(x.choices) for x in instances_of(int(number), edges, s.percent, s.least))
+    return out
+
+
+def sketches(h: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """A sketch of every set, of two bits an element at least."""
+    n = np.diff(cut)
+    width = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).astype(np.int64).clip(0))
+    out: list[bytes] = [b""] * len(n)
+    for w in np.unique(width[n > 0]):
+        docs = np.flatnonzero((width == w) & (n > 0))
+        own = np.repeat(cut[docs], n[docs]) + np.arange(int(n[docs].sum())) - np.repeat(np.cumsum(n[docs]) - n[docs], n[docs])
+        bit = (h[own] & U(64 * w - 1)).astype(np.int64) + np.repeat(np.arange(len(docs)), n[docs]) * (64 * w)
+        odd = (np.bincount(bit, minlength=len(docs) * 64 * w) & 1).astype(bool)
+        data = np.packbits(odd, bitorder="little").tobytes()
+        for i, d in enumerate(docs.tolist()):
+            out[d] = data[8 * w * i : 8 * w * (i + 1)]
+    return out
 
 
 def key(seed: str):
@@ -220,244 +250,589 @@ def key(seed: str):
     return F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
 
 
-SIGNED = "rid long, doc_id long, k1 long, k2 long, n_shingles long, c1 long, c2 long, need long, sigs array<long>"
+def _digests(h: np.ndarray, cut: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit digest of every set."""
+    total = np.append(U(0), np.cumsum(words.mix(h + U((2 * seed + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)), dtype=np.uint64))
+    return words.mix(total[cut[1:]] - total[cut[:-1]] + np.diff(cut).astype(np.uint64))
+
+
+class _Fresh:
+    """Which sets a task sees for the first time, as far as it remembers."""
+
+    def __init__(self, most: int = 2_000_000):
+        self.seen: set[int] = set()
+        self.most = most
+
+    def __call__(self, digests: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(digests), dtype=bool)
+        for i, d in enumerate(digests.tolist()):
+            out[i] = size[i] > 0 and d not in self.seen
+            if len(self.seen) < self.most:
+                self.seen.add(d)
+        return np.flatnonzero(out)
+
+
+def _some(h: np.ndarray, cut: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some documents."""
+    size = np.diff(cut)[docs]
+    own = np.repeat(cut[docs], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return h[own], np.append(0, np.cumsum(size))
+
 
+ROWS = "doc_id long, k1 long, k2 long, n_shingles long, class long, check long, n_sigs long, sketch binary"
 
-def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``SIGNED`` of every document: keys of the row, set size, digest of the set, signatures
-    (null if this task has emitted those of an equal set)."""
+
+def _rows(docs: DataFrame, s: Settings, seed: int) -> DataFrame:
+    """``ROWS`` of every document: the row's key, set size, two digests of the set, and, where the
+    task sees the set for the first time, how many signatures it has at most and its sketch."""
     words.small_batches(docs.sparkSession)
-    own = docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), "doc_id", key("1").alias("k1"), key("2").alias("k2"), "text")
+    own = docs.select("doc_id", "text").select("doc_id", key("1").alias("k1"), key("2").alias("k2"), "text")
 
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()
+        first = _Fresh()
         for batch in batches:
-            n, c1, c2, needs, sigs = [], [], [], [], []
+            out: list[list] = [[], [], [], [], []]
             for b in words.blocks(words.column_bytes(batch, "text")):
                 h, cut = shingle_sets(b, s.words)
                 size = np.diff(cut)
-                for c, seed in ((c1, 0x11), (c2, 0x22)):
-                    total = np.append(U(0), np.cumsum(words.mix(h + U(seed)), dtype=np.uint64))
-                    c.append((total[cut[1:]] - total[cut[:-1]]).view(np.int64))
-                n.append(size)
-                fresh = []
-                for i, d in enumerate(c1[-1].tolist()):
-                    fresh.append(size[i] > 0 and d not in seen)
-                    if len(seen) < 2_000_000:
-                        seen.add(d)
-                fresh = np.array(fresh)
-                some = np.flatnonzero(fresh)
-                take = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in some]) if len(some) else np.empty(0, dtype=np.int64)
-                got, need = signatures_and_needs(h[take], np.append(0, np.cumsum(size[some])), s)
-                needs.append(np.zeros(len(size), dtype=np.int64))
-                needs[-1][some] = need
-                got = iter(got)
-                sigs += [next(got).view(np.int64) if f else None for f in fresh]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], *(pa.array(np.concatenate(x), pa.int64()) for x in (n, c1, c2, needs)), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["rid", "doc_id", "k1", "k2", "n_shingles", "c1", "c2", "need", "sigs"],
-            )
-
-    return own.mapInArrow(run, SIGNED)
+                digest = _digests(h, cut, 2 * seed)
+                fresh = first(digest, size)
+                n_sigs = np.zeros(len(size), dtype=np.int64)
+                n_sigs[fresh] = most_signatures(size[fresh], s)
+                sketch: list[bytes | None] = [None] * len(size)
+                for i, x in zip(fresh.tolist(), sketches(*_some(h, cut, fresh)), strict=True):
+                    sketch[i] = x
+                for held, x in zip(out, (size, digest.view(np.int64), _digests(h, cut, 2 * seed + 1).view(np.int64), n_sigs), strict=False):
+                    held.append(x)
+                out[4] += sketch
+            columns = [pa.array(np.concatenate(x), pa.int64()) for x in out[:4]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(out[4], pa.binary())], names=["doc_id", "k1", "k2", "n_shingles", "class", "check", "n_sigs", "sketch"])
+
+    return own.mapInArrow(run, ROWS)
+
+
+class Short(NamedTuple):
+    """Short ids of classes, and the numbers that hold such an id and a part of a signature."""
+
+    bits: int
+    buckets: int
+
+    def ids(self, classes: np.ndarray) -> np.ndarray:
+        return classes & U((1 << self.bits) - 1)
+
+
+def _buckets(docs: DataFrame, s: Settings, seed: int, short: Short) -> DataFrame:
+    """``bucket, payload``: signatures with short ids, as arrays of 64-bit numbers."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        first = _Fresh()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def flush():
+            numbers, bucket = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            data = np.ascontiguousarray(numbers[order]).astype("<u8").tobytes()
+            for lo in range(0, len(edge), 1 << 12):
+                some = edge[lo : lo + (1 << 12)]
+                end = edge[lo + len(some)] if lo + len(some) < len(edge) else len(order)
+                at = (np.append(some, end) - some[0]) * 8
+                payload = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data[some[0] * 8 : end * 8])])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[some].astype(np.int64)), payload], names=["bucket", "payload"])
+
+        for batch in batches:
+            for b in words.blocks(words.column_bytes(batch, "text")):
+                h, cut = shingle_sets(b, s.words)
+                digest = _digests(h, cut, 2 * seed)
+                fresh = first(digest, np.diff(cut))
+                sig, owner = owned_signatures(*_some(h, cut, fresh), s)
+                bucket = (sig >> U(32)) * U(short.buckets) >> U(32)
+                held.append(((sig << U(short.bits)) | short.ids(digest[fresh])[owner], bucket.astype(np.uint16 if short.buckets <= 1 << 16 else np.uint32)))
+                n += len(sig)
+                if n >= s.flush:
+                    yield from flush()
+                    held, n = [], 0
+        if n:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "bucket long, payload binary")
+
+
+def _payload_numbers(column) -> np.ndarray:
+    """All numbers of a binary column."""
+    out = [np.empty(0, dtype="<u8")]
+    for c in column.chunks:
+        at = np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1, dtype=np.int32)
+        if len(c):
+            out.append(np.frombuffer(c.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].view("<u8"))
+    return np.concatenate(out)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each number once."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+LISTS = "hash long, hub long, ids array<long>"
+
+
+def _lists(buckets: DataFrame, s: Settings, bits: int) -> DataFrame:
+    """``LISTS``: the different lists of short ids that share a signature; ``hub`` is the first."""
+
+    def run(table):
+        import pyarrow as pa
+
+        numbers = _distinct(_payload_numbers(table.column("payload")))
+        sig = numbers >> U(bits)
+        edge = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, dtype=np.int64)
+        size = np.diff(np.append(edge, len(sig)))
+        edge, size = edge[size > 1], size[size > 1]
+        ids = numbers & U((1 << bits) - 1)
+        total = np.append(U(0), np.cumsum(words.mix(ids * U(0x9E3779B97F4A7C15) + U(1)), dtype=np.uint64))
+        digest = words.mix(total[edge + size] - total[edge] + size.astype(np.uint64))
+        _, who = np.unique(digest, return_index=True)
+        digest, edge, size = digest[who], edge[who], size[who]
+        out, hashes = [], []
+        for e, n, d in zip(edge[size > s.longest].tolist(), size[size > s.longest].tolist(), digest[size > s.longest].tolist(), strict=True):
+            parts = np.array_split(ids[e : e + n], -(-2 * n // s.longest))
+            pairs = [np.concatenate([parts[i], parts[j]]) for i, j in combinations(range(len(parts)), 2)]
+            out += pairs
+            hashes += words.mix(U(d) + np.arange(1, len(pairs) + 1, dtype=np.uint64)).tolist()
+        plain = size <= s.longest
+        digest, edge, size = digest[plain], edge[plain], size[plain]
+        own = np.repeat(edge, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        flat = np.concatenate([ids[own], *out]).view(np.int64)
+        at = np.append(0, np.cumsum(np.append(size, [len(x) for x in out]).astype(np.int64)))
+        return pa.table({
+            "hash": pa.array(np.append(digest, np.array(hashes, dtype=np.uint64)).view(np.int64)), "hub": pa.array(flat[at[:-1]]),
+            "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
+        })
+
+    return buckets.groupBy("bucket").applyInArrow(run, LISTS)
+
+
+class _Forest:
+    """Union-find over numbered classes that remembers the edges that joined two parts."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def roots(self, some: np.ndarray) -> np.ndarray:
+        out = self.parent[some]
+        while True:
+            up = self.parent[out]
+            if (up == out).all():
+                self.parent[some] = out
+                return out
+            out = up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins the two of each pair."""
+        x, y = self.roots(a), self.roots(b)
+        live = np.flatnonzero(x != y)
+        nodes, at = np.unique(np.concatenate([x[live], y[live]]), return_inverse=True)
+        i, j = at[: len(live)], at[len(live) :]
+        label = np.arange(len(nodes))
+        while True:
+            least = label.copy()
+            np.minimum.at(least, i, label[j])
+            np.minimum.at(least, j, label[i])
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        self.parent[nodes[moved]] = nodes[label[moved]]
+        self.edges += zip(nodes[moved].tolist(), nodes[label[moved]].tolist(), strict=True)
+
+
+class _Sketches:
+    """Lower bounds of the differences of numbered classes."""
+
+    def __init__(self, n: np.ndarray, data: list[bytes], percent: int):
+        self.n, self.percent = n, percent
+        self.width = np.array([len(x) // 8 for x in data], dtype=np.int64)
+        self.place = np.zeros(len(data), dtype=np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            who = np.flatnonzero(self.width == w)
+            self.place[who] = np.arange(len(who))
+            self.rows[w] = np.frombuffer(b"".join(data[i] for i in who.tolist()), dtype="<u8").reshape(-1, w)
+
+    @staticmethod
+    def _folded(rows: np.ndarray, w: int) -> np.ndarray:
+        while rows.shape[1] > w:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        return rows
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of classes."""
+        most = (self.n[a] + self.n[b]) * (100 - self.percent)
+        out = np.abs(self.n[a] - self.n[b]) * (100 + self.percent) <= most
+        live = np.flatnonzero(out)
+        code = self.width[a[live]] * (1 << 32) + self.width[b[live]]
+        for c in np.unique(code).tolist():
+            x, y = c >> 32, c & 0xFFFFFFFF
+            w = min(x, y)
+            at = live[code == c]
+            for lo in range(0, len(at), 1 + (1 << 22) // w):
+                some = at[lo : lo + 1 + (1 << 22) // w]
+                p, q = (self._folded(self.rows[v][self.place[z[some]]], w) for v, z in ((x, a), (y, b)))
+                out[some] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) * (100 + self.percent) <= most[some]
+        return out
+
+
+SMALL, PAIRS = 24, 1 << 20  # classes of a list all of whose pairs are taken at once; pairs held
+
+
+def connect(lists: list[np.ndarray], sketch: _Sketches, forest: _Forest) -> None:
+    """Joins the classes of each list that may link, directly or through others."""
+    codes, held, n = [], 0, len(sketch.n)
+
+    def settle(more: np.ndarray | None = None):
+        nonlocal held
+        if more is not None:
+            codes.append(more)
+            held += len(more)
+        if codes and (more is None or held > PAIRS):
+            code = _distinct(np.concatenate(codes))
+            a, b = code // n, code % n
+            hit = sketch.may_link(a, b)
+            forest.join(a[hit], b[hit])
+            codes.clear()
+            held = 0
+
+    def codes_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(a, b) * n + np.maximum(a, b)
+
+    for own in sorted((x for x in lists if len(x) > SMALL), key=len, reverse=True):
+        # With the first one, which joins near copies at once; then what is still apart, in pairs
+        # whose sizes allow a link.
+        for k in (0, len(own) // 2):
+            part = forest.roots(own)
+            others = own[part != part[k]]
+            hit = others[sketch.may_link(np.full(len(others), own[k]), others)]
+            forest.join(np.full(len(hit), own[k]), hit)
+        part = forest.roots(own)
+        if (part == part[0]).all():
+            continue
+        order = np.argsort(sketch.n[own], kind="stable")
+        own, part = own[order], part[order]
+        size = sketch.n[own]
+        end = np.searchsorted(size, size * 100 // sketch.percent, side="right")
+        count = end - np.arange(len(own)) - 1
+        for lo, hi in _spans(count, PAIRS):
+            i = np.repeat(np.arange(lo, hi), count[lo:hi])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[lo:hi]) - count[lo:hi], count[lo:hi])
+            apart = part[i] != part[j]
+            settle(codes_of(own[i[apart]], own[j[apart]]))
+    size = np.array([len(x) for x in lists], dtype=np.int64)
+    for k in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+        i, j = np.triu_indices(k, 1)
+        some = np.flatnonzero(size == k)
+        for lo in range(0, len(some), 1 + PAIRS // len(i)):
+            own = np.stack([lists[x] for x in some[lo : lo + 1 + PAIRS // len(i)].tolist()])
+            settle(codes_of(own[:, i], own[:, j]).ravel())
+    settle()
+
+
+def _spans(count: np.ndarray, most: int):
+    """Ranges of rows with about ``most`` in all."""
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+EDGES = "a long, b long"
+
+
+def _candidates(lists: DataFrame, classes: DataFrame, s: Settings, tables: Tables) -> DataFrame:
+    """``EDGES`` that join all classes that share a signature and may link."""
+    n_places = lists.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n")).collect()[0].n
+    bins = max(1, -(-n_places // s.bin))
+    # Lists of one hub are compared together; those of a hub with very many places are spread.
+    hot = lists.groupBy("hub").agg(F.ceil(F.sum(F.size("ids")) / F.lit(s.bin)).alias("parts")).where("parts > 1")
+    own = lists.join(hot, "hub", "left").withColumn("bin", F.pmod(F.xxhash64("hub", F.pmod("hash", F.coalesce("parts", F.lit(1)))), F.lit(bins)))
+    own = tables.written(own.select("bin", "hash", "ids"), "lists")
+    places = own.select(F.col("bin").alias("of"), F.explode("ids").alias("id")).distinct()
+    members = places.join(classes.select("id", "class", "n_shingles", "sketch"), "id")
+
+    def run(left, right):
+        import pyarrow as pa
+
+        ids, cls, n = (right.column(c).to_numpy() for c in ("id", "class", "n_shingles"))
+        data = right.column("sketch").to_pylist()
+        order = np.argsort(ids, kind="stable")
+        lists, seen = [], set()
+        flat_ids = ids[order]
+        for h, x in zip(left.column("hash").to_pylist(), left.column("ids"), strict=True):
+            if h in seen:
+                continue
+            seen.add(h)
+            x = x.values.to_numpy()
+            begin, end = np.searchsorted(flat_ids, x), np.searchsorted(flat_ids, x, side="right")
+            size = end - begin
+            lists.append(order[np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)])
+        forest = _Forest(len(cls))
+        connect(lists, _Sketches(n, data, s.percent), forest)
+        edges = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(cls[edges[:, 0]], pa.int64()), "b": pa.array(cls[edges[:, 1]], pa.int64())})
+
+    found = own.groupBy("bin").cogroup(members.groupBy("of")).applyInArrow(run, EDGES)
+    # Classes with one short id are one in the lists.
+    same = classes.groupBy("id").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").select("id", "a")
+    clash = classes.join(same, "id").select("a", F.col("class").alias("b")).where("a != b")
+    return tables.written(found.unionByName(clash), "candidates")
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """``rid, elements`` of the wanted rows (rid, k1, k2)."""
+    """``class, elements`` of the wanted rows (class, k1, k2)."""
     own = docs.select("doc_id", "text").select(key("1").alias("k1"), key("2").alias("k2"), "text")
     few = wanted.limit(s.max_broadcast + 1).count() <= s.max_broadcast
-    own = own.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("rid", "text")
+    own = own.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("class", "text")
 
     def run(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()  # repeated rows have one key
         for batch in batches:
+            cls = batch.column(0).to_numpy()
             for b in words.blocks(words.column_bytes(batch, "text")):
                 h, cut = shingle_sets(b, s.words)
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.n), lists], names=["rid", "elements"])
+                new = []
+                for i, c in enumerate(cls[b.lo : b.lo + b.n].tolist()):
+                    if c not in seen:
+                        seen.add(c)
+                        new.append(i)
+                new = np.array(new, dtype=np.int64)
+                flat, at = _some(h, cut, new)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[b.lo + new], pa.int64()), lists], names=["class", "elements"])
+
+    return own.mapInArrow(run, "class long, elements array<long>")
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left`` (rows) with the sets ``right``."""
+    if len(left) == 1 and len(right) <= 4:
+        own = sets[left[0]]
+        return np.array([[len(own) if j == left[0] else len(np.intersect1d(own, sets[j], assume_unique=True)) for j in right]], dtype=np.int64)
+    both = np.unique(np.concatenate([left, right]))
+    flat = np.concatenate([sets[i] for i in both])
+    owner = np.repeat(np.arange(len(both)), [len(sets[i]) for i in both])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    edge = np.append(True, flat[1:] != flat[:-1])
+    times = np.diff(np.append(np.flatnonzero(edge), len(flat)))
+    shared = np.repeat(times > 1, times)  # others lie in no intersection but a set's with itself
+    owner, column = owner[shared], (np.cumsum(edge[shared]) - 1)
+    x, y = np.searchsorted(both, left), np.searchsorted(both, right)
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, n_columns, columns):
+        a, z = np.searchsorted(column, [lo, lo + columns])
+        block = np.zeros((len(both), min(columns, n_columns - lo)), dtype=np.float32)
+        block[owner[a:z], column[a:z] - lo] = 1
+        out += (block[x] @ block[y].T).astype(np.int64)
+    return out
 
-    return own.mapInArrow(run, "rid long, elements array<long>")
 
+def _compare(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of the linked sets of side 0 among each other, or of side 1 with those of side 2
+    (each pair once), and the sizes of their intersections."""
+    square = np.flatnonzero(side == 0)
+    left, right = (square, square) if len(square) else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    if not len(left) or not len(right) or (len(square) == 1):
+        return (np.empty(0, dtype=np.int64),) * 3
+    if len(square) == 2:
+        left, right = square[:1], square[1:]
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    both = intersections(sets, left, right)
+    hit = (100 + percent) * both >= percent * (n[left][:, None] + n[right][None, :])
+    if len(square) > 2:
+        hit &= np.arange(len(right)) > np.arange(len(left))[:, None]
+    i, j = np.nonzero(hit)
+    return left[i], right[j], both[i, j]
 
-def _shared(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """``rid, shared``: of each wanted row's elements those that another wanted row has too.
 
-    No other element can lie in an intersection, so the shared ones are all that is ever compared;
-    and a set with fewer shared ones than ``percent`` of its size links with nothing."""
-    near = Window.partitionBy("element").orderBy("rid")
-    other = F.lag("rid").over(near).isNotNull() | F.lead("rid").over(near).isNotNull()
-    each = _elements(docs, wanted, s).select("rid", F.explode("elements").alias("element")).select("rid", "element", other.alias("other"))
-    # Rows with equal id and text are one row here, as they have one key.
-    return each.where("other").groupBy("rid").agg(F.collect_set("element").alias("shared"))
+GROUP = ["g", "lo", "hi"]
 
 
-def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b, na, nb`` with ``both``, the size of the intersection."""
-    a = sets.select(F.col("rid").alias("a"), F.col("shared").alias("x"))
-    b = sets.select(F.col("rid").alias("b"), F.col("shared").alias("y"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("both"))
+def _groups(table):
+    """Of a group's table: component, indexes of its rows, their sets and sides."""
+    import pyarrow as pa
 
+    lists = table.column("elements")
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    values, cut = lists.values.to_numpy(), lists.offsets.to_numpy()
+    comp, cls, side = (table.column(c).to_numpy() for c in ("component", "class", "side"))
+    order = np.lexsort((side, cls, comp))
+    c, k, x = comp[order], cls[order], side[order]
+    fresh = np.append(True, (c[1:] != c[:-1]) | (k[1:] != k[:-1]) | (x[1:] != x[:-1])) if len(c) else np.empty(0, dtype=bool)
+    order = order[fresh]  # a class may have been shipped by several tasks, and a hub is in a block too
+    for own in np.split(order, np.flatnonzero(comp[order][1:] != comp[order][:-1]) + 1) if len(order) else []:
+        yield own, [values[cut[i] : cut[i + 1]] for i in own], side[own]
+
+
+def _sized(members: DataFrame, s: Settings) -> DataFrame:
+    """The members (class, n_shingles, component) with ``n_blocks`` of their component."""
+    size = F.greatest(F.ceil(F.count("*") / F.lit(s.block)), F.ceil(F.sum("n_shingles") / F.lit(s.elements))).cast("int")
+    return members.join(members.groupBy("component").agg(size.alias("n_blocks")), "component")
+
+
+def _placed(sized: DataFrame, s: Settings, every: bool) -> DataFrame:
+    """The sized members in groups to be compared: small components together; large ones by blocks
+    with some hubs, or by every two blocks."""
+    total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).collect()[0].n
+    bins = max(1, -(-total // s.elements))
+    keep = ["class", "component", "n_shingles"]
+    small = sized.where("n_blocks = 1").select(*keep, F.pmod(F.xxhash64("component"), F.lit(bins)).alias("g"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0).alias("side"))
+    block = F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int")
+    large = sized.where("n_blocks > 1").withColumn("block", block)
+    each = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
+    if every:
+        side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+        large = large.select(*keep, "block", each).select(*keep, F.col("component").alias("g"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), side.alias("side"))
+        return small.unionByName(large)
+    hub = F.pmod(F.xxhash64("class", F.lit("hub")), F.col("n_blocks") * s.block) < s.hubs
+    own = large.select(*keep, F.col("component").alias("g"), F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"))
+    hubs = large.where(hub).select(*keep, "block", each).where("block != other").select(*keep, F.col("component").alias("g"), F.col("other").alias("lo"), F.col("other").alias("hi"), F.lit(0).alias("side"))
+    return small.unionByName(own).unionByName(hubs)
+
+
+def _forest(placed: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """``class, links, root``: links of the class with others of its group, and a class that they
+    lead to (itself if none)."""
 
-def _linked(counted: DataFrame, s: Settings) -> DataFrame:
-    return counted.where(100 * F.col("both") >= s.percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    def run(table):
+        import pyarrow as pa
 
+        cls = table.column("class").to_numpy()
+        out: list[list[np.ndarray]] = [[], [], []]
+        for own, sets_, side in _groups(table):
+            i, j, _ = _compare(sets_, side, s.percent)
+            forest = _Forest(len(own))
+            forest.join(i, j)
+            weight = table.column("docs").to_numpy()[own] if "docs" in table.column_names else np.ones(len(own), dtype=np.int64)
+            links = np.zeros(len(own), dtype=np.int64)
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            for held, x in zip(out, (cls[own], links, cls[own][forest.roots(np.arange(len(own)))]), strict=True):
+                held.append(x)
+        return pa.table({c: pa.array(np.concatenate(x) if x else [], pa.int64()) for c, x in zip(("class", "links", "root"), out, strict=True)})
 
-def _may_link(most: Column, na: Column, nb: Column, s: Settings) -> Column:
-    """Whether sets of these sizes can link if at most ``most`` elements are in both."""
-    return (100 + s.percent) * most >= s.percent * (na + nb)
+    return placed.join(sets.hint("merge"), "class").groupBy(*GROUP).applyInArrow(run, "class long, links long, root long")
 
 
-def _let_go(spark) -> None:
-    """Shuffle files go when the driver's JVM finds that nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Resolved(NamedTuple):
+    rows: DataFrame  # of ROWS but the signatures and sketches
+    classes: DataFrame  # class, n_shingles, least, docs, best, component[, links]
+    members: DataFrame  # class, n_shingles, docs, component of the candidates
+    sets: DataFrame  # class, elements of the candidates
+    tables: Tables
 
 
-class Resolved(NamedTuple):
-    rows: DataFrame  # of SIGNED but the signatures
-    classes: DataFrame  # c1, c2, n_shingles, rid, least, docs, component
-    members: DataFrame  # rid, n, shared, docs, component of the classes that link with another
-
-
-def _resolve(docs: DataFrame, s: Settings) -> Resolved:
-    """Components of all classes of equal sets."""
-    spark = docs.sparkSession
-    path = new_path(spark, "signed")
-    signed(docs, s).write.parquet(path)
-    all_signed = spark.read.schema(SIGNED).parquet(path)
-    rows = written(all_signed.select("rid", "doc_id", "k1", "k2", "n_shingles", "c1", "c2", "need", F.col("sigs").isNotNull().alias("emits")), "documents-signed")
-
-    # A class of equal sets is known by its first document that emits signatures.
-    classes = rows.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min(F.when(F.col("emits"), F.col("rid"))).alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("docs"))
-    classes = written(classes, "classes")
-    first = rows.where("emits").select("rid", "k1", "k2", F.col("n_shingles").alias("n"), "need").join(classes.select("rid"), "rid")
-
-    # Buckets of two classes or more.
-    ordered = Window.partitionBy("sig").orderBy("rid")
-
-    def repeated(members: DataFrame) -> DataFrame:
-        alone = F.lag("rid").over(ordered).isNull() & F.lead("rid").over(ordered).isNull()
-        return members.withColumn("_alone", alone).where(~F.col("_alone")).drop("_alone")
-
-    # The signatures' space is taken in slices, so that only a part of all signatures lies in
-    # shuffle files at once: those of a slice go when the driver's JVM finds them unused.
-    buckets = new_path(spark, "buckets")
-    for i in range(s.slices):
-        own = all_signed.select(F.explode("sigs").alias("sig"), "rid").where(F.pmod("sig", F.lit(s.slices)) == i)
-        repeated(own).write.mode("append").parquet(buckets)
-        del own
-        _let_go(spark)
-    members = spark.read.schema("sig long, rid long").parquet(buckets)
-    drop_path(spark, path)
-    # A set that links with another shares at least ``need`` signatures with it; those that share
-    # fewer with all others together do so by chance.
-    places = members.groupBy("rid").agg(F.count("*").alias("places"))
-    wanted = written(first.join(places, "rid").where(F.col("places") >= F.col("need")), "bucketed-documents")
-    members = members.join(wanted.select("rid"), "rid", "left_semi")
-    sets = written(_shared(docs, wanted.select("rid", "k1", "k2"), s), "shared-elements")
-    _let_go(spark)
-    facts = wanted.select("rid", "n").join(sets.select("rid", F.size("shared").alias("m")), "rid").where(100 * F.col("m") >= s.percent * F.col("n"))
-
-    # Of a bucket, the member with most bucket places is the hub of the first round: a text that
-    # others were made from has more of them than its copies have.
-    facts = written(facts.join(members.groupBy("rid").agg(F.count("*").alias("places")), "rid"), "facts")
-    best = Window.partitionBy("sig").orderBy(F.desc("places"), "rid")
-    able = repeated(members.join(facts, "rid")).withColumn("hub", F.first(F.struct("rid", "n")).over(best)).withColumn("of", F.count("*").over(Window.partitionBy("sig")))
-    able = written(able.where("rid != hub.rid").select("sig", "rid", "n", "m", "of", F.col("hub.rid").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-
-    pairs = able.select(F.col("hub").alias("a"), F.col("rid").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).distinct()
-    counted = written(_counted(written(pairs, "pairs"), sets), "counted")
-    links = written(_linked(counted, s), "links")
-    # In buckets of two nothing is left.  In others, elements that two members have in common are
-    # among those that each has in common with the hub (``i``), or are shared ones besides (``o``).
-    with_hub = counted.select(F.col("a").alias("hub"), F.col("b").alias("rid"), F.col("both").alias("i"))
-    active = able.where("of > 2").join(with_hub, ["hub", "rid"]).select("sig", "rid", "n", "i", (F.col("m") - F.col("i")).alias("o"))
-    whole = Window.partitionBy("sig")
+def _classed(docs: DataFrame, s: Settings, tables: Tables) -> tuple[DataFrame, DataFrame, int]:
+    """Rows and classes, with a seed of the digests that tells all sets apart."""
+    seed = 0
     while True:
-        labels = components(links)
-        at = active.join(labels, active.rid == labels.node, "left").select(*active.columns, F.coalesce("component", "rid").alias("component"))
-        most = F.col("i") + F.least("o", F.max("o").over(whole))
-        at = at.withColumn("_some", _may_link(most, F.col("n"), F.min("n").over(whole), s)).where("_some").drop("_some")
-        open_ = at.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo != hi").drop("lo", "hi")
-        # Members of small components are the next hubs.
-        open_ = open_.withColumn("size", F.count("*").over(Window.partitionBy("sig", "component")))
-        open_ = written(open_.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("size", "component", "rid"))), "open-buckets")
-        if open_.isEmpty():
-            break
-        # A pair is taken from the first of the open buckets that hold both.
-        places = open_.groupBy("rid").agg(F.collect_set("sig").alias("sigs"))
-        own = open_.join(places, "rid")
-        x = own.where(F.col("rank") <= s.hubs).select("sig", *(F.col(c).alias(f"{c}_x") for c in ("rid", "n", "i", "o", "component", "rank", "sigs")))
-        apart = (F.col("rank") > F.col("rank_x")) & (F.col("component") != F.col("component_x"))
-        near = _may_link(F.least("i", "i_x") + F.least("o", "o_x"), F.col("n_x"), F.col("n"), s)
-        here = F.when(apart & near, F.array_min(F.array_intersect("sigs", "sigs_x")) == F.col("here"))
-        more = own.withColumn("here", F.col("sig")).join(x, (own.sig == x.sig) & here)
-        more = more.select(F.col("rid_x").alias("a"), F.col("rid").alias("b"), F.col("n_x").alias("na"), F.col("n").alias("nb"))
-        links = written(links.unionByName(_linked(_counted(written(more, "pairs"), sets), s)), "links")
-        active = open_.where(F.col("rank") > s.hubs).select(*active.columns)
-        _let_go(spark)
-
-    classes = classes.join(labels, classes.rid == labels.node, "left").withColumn("component", F.coalesce("component", "rid")).drop("node")
-    own = classes.join(labels.select(F.col("node").alias("rid")), "rid", "left_semi").select("rid", "docs", "component")
-    # Sets of near copies are small as files, but not in memory: they are never broadcast.
-    return Resolved(rows, classes, own.join(wanted.select("rid", "n"), "rid").join(sets.hint("merge"), "rid"))
+        rows = tables.written(_rows(docs, s, seed), "documents")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best")
+        size = F.max("n_shingles").alias("n_shingles")
+        other = ((F.min("check") != F.max("check")) | (F.min("n_shingles") != F.max("n_shingles"))).alias("mixed")
+        classes = rows.where("n_shingles > 0").groupBy("class").agg(size, F.min("doc_id").alias("least"), F.count("*").alias("docs"), F.max("n_sigs").alias("n_sigs"), best, F.max("sketch").alias("sketch"), other)
+        classes = tables.written(classes, "classes")
+        if classes.where("mixed").isEmpty():
+            return rows.select("doc_id", "k1", "k2", "n_shingles", "class"), classes, seed
+        tables.drop(rows, classes)
+        seed += 1
+
+
+def _resolve(docs: DataFrame, s: Settings, every: bool = False) -> Resolved:
+    """Components of all classes of equal sets, and the links of each if ``every`` is set."""
+    tables = Tables(docs.sparkSession)
+    rows, classes, seed = _classed(docs, s, tables)
+    n_classes, n_sigs = classes.agg(F.count("*"), F.coalesce(F.sum("n_sigs"), F.lit(0))).collect()[0]
+    short = Short(max(32, n_classes.bit_length() + 8), max(1, -(-n_sigs // s.bucket)))
+    classes = classes.withColumn("id", F.col("class").bitwiseAND(F.lit((1 << short.bits) - 1)))
+
+    lists = tables.written(_lists(_buckets(docs, s, seed, short), s, short.bits), "shared-signatures")
+    edges = _candidates(lists, classes, s, tables)
+    labels = components(edges)
+    of = classes.join(labels, classes["class"] == labels.node)
+    members = tables.written(of.select("class", "n_shingles", "docs", "component", "best.k1", "best.k2"), "candidate-classes")
+    tables.drop(lists)
+    sets = tables.written(_elements(docs, members.select("class", "k1", "k2"), s), "sets")
+    sized = _sized(members.select("class", "n_shingles", "docs", "component"), s)
+    placed = _placed(sized, s, every)
+    if every:
+        placed = placed.join(members.select("class", "docs"), "class")
+    found = tables.written(_forest(placed, sets, s), "links")
+    links = found.where("class != root").select(F.col("class").alias("a"), F.col("root").alias("b"))
+    if not every:
+        links = _remaining(sized.where("n_blocks > 1").drop("docs"), sets, links, s, tables)
+    labels = components(links)
+    classes = classes.drop("component").join(labels, classes["class"] == labels.node, "left").withColumn("component", F.coalesce("component", "class")).drop("node")
+    if every:
+        counts = found.groupBy("class").agg(F.sum("links").alias("links"))
+        classes = classes.join(counts, "class", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    classes = tables.written(classes.drop("sketch", "mixed", "n_sigs", "id"), "components")
+    return Resolved(rows, classes, members, sets, tables)
+
+
+def _remaining(large: DataFrame, sets: DataFrame, links: DataFrame, s: Settings, tables: Tables) -> DataFrame:
+    """The links, and those that are missing to connect large components: classes outside a
+    component's largest part are compared with all of its classes."""
+    if large.isEmpty():
+        return links
+    labels = components(links)
+    parts = large.join(labels.withColumnRenamed("component", "part"), large["class"] == labels.node, "left").withColumn("part", F.coalesce("part", "class")).drop("node")
+    parts = tables.written(parts, "parts")
+    sizes = parts.groupBy("component", "part").agg(F.count("*").alias("n"))
+    rest = sizes.groupBy("component").agg(F.max(F.struct("n", "part")).alias("largest"), F.sum("n").alias("n"))
+    rest = rest.where("largest.n < n").select("component", F.col("largest.part").alias("main"), (F.col("n") - F.col("largest.n")).alias("others"), "n")
+    own = tables.written(parts.join(rest, "component"), "open-components")
+    if own.isEmpty():
+        return links
+    # As many blocks of the others as their share of the component's blocks.
+    n_left = F.ceil(F.col("others") / F.col("n") * F.col("n_blocks")).cast("int")
+    own = own.withColumns({"block": F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"), "n_left": n_left})
+    own = own.withColumn("row", F.pmod(F.xxhash64("class", F.lit("left")), F.col("n_left")).cast("int"))
+    keep = ["class", "component", "n_shingles", F.col("component").alias("g")]
+    left = own.where("part != main").select(*keep, F.col("row").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("hi"), F.lit(1).alias("side"))
+    right = own.select(*keep, F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("lo"), F.col("block").alias("hi"), F.lit(2).alias("side"))
+    found = tables.written(_forest(left.unionByName(right), sets, s), "more-links")
+    return links.unionByName(found.where("class != root").select(F.col("class").alias("a"), F.col("root").alias("b")))
 
 
 def _documents(r: Resolved, *more: str) -> DataFrame:
     """Every class to its component, and every document to its class."""
     smallest = r.classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = r.classes.join(smallest, "component").select("c1", "c2", "n_shingles", "component_id", "component", *more)
-    out = r.rows.join(classes, ["c1", "c2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "k1", "k2", *more)
+    classes = r.classes.join(smallest, "component").select("class", "component_id", "component", *more)
+    none = F.col("n_shingles") == 0
+    out = r.rows.withColumn("class", F.when(~none, F.col("class"))).join(classes, "class", "left")
+    return out.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "k1", "k2", *more)
 
 
 def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``doc_id, n_shingles, component_id, component, k1, k2`` of every document; ``component_id``
     is the smallest id that links lead to, ``component`` a number of its own for every component
     (null for an empty set), and k1 and k2 are a key of the row's id and text."""
-    return _documents(_resolve(docs, s))
-
-
-def _compare(table, percent: int):
-    """Indexes of the rows of two blocks that link (each pair once), and their common elements."""
-    import pyarrow as pa
-
-    lists = table.column("shared").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
-    values, cut = lists.values.to_numpy(), lists.offsets.to_numpy()
-    n, rid, block, lo, hi = (table.column(c).to_numpy() for c in ("n", "rid", "block", "lo", "hi"))
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    size = cut[right + 1] - cut[right]
-    elements = np.concatenate([values[cut[i] : cut[i + 1]] for i in right]) if len(right) else values[:0]
-    owner = np.repeat(np.arange(len(right)), size)
-    order = np.argsort(elements, kind="stable")
-    elements, owner = elements[order], owner[order]
-    out = []
-    for i in left:
-        own = values[cut[i] : cut[i + 1]]
-        begin, end = np.searchsorted(elements, own), np.searchsorted(elements, own, side="right")
-        times = end - begin
-        at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
-        both = np.bincount(owner[at], minlength=len(right))
-        hit = 100 * both >= percent * (n[i] + n[right] - both)
-        if lo[0] == hi[0]:
-            hit &= rid[right] > rid[i]
-        some = np.flatnonzero(hit)
-        out.append((np.full(len(some), i), right[some], both[some]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
-
-
-def _blocks(members: DataFrame, s: Settings):
-    """The members of every pair of blocks of a component, grouped."""
-    _let_go(members.sparkSession)
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(s.block)).cast("int").alias("n_blocks"))
-    own = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n_blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    own = own.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    return own.select("component", "lo", "hi", "block", "rid", "n", "docs", "shared").groupBy("component", "lo", "hi")
+    r = _resolve(docs, s)
+    r.tables.drop(r.sets, r.members)
+    return _documents(r)
 
 
 def join(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -469,56 +844,50 @@ def join(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFram
     def run(table):
         import pyarrow as pa
 
-        i, j, both = _compare(table, s.percent)
-        rid, n = table.column("rid").to_numpy(), table.column("n").to_numpy()
-        first = rid[i] < rid[j]
-        a, b = np.where(first, i, j), np.where(first, j, i)
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", rid[a]), ("b", rid[b]), ("n_a", n[a]), ("n_b", n[b]), ("n_both", both))})
+        cls = table.column("class").to_numpy()
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for own, sets_, side in _groups(table):
+            i, j, both = _compare(sets_, side, s.percent)
+            n = np.array([len(x) for x in sets_], dtype=np.int64)
+            swap = cls[own][i] > cls[own][j]
+            a, b = np.where(swap, j, i), np.where(swap, i, j)
+            for held, x in zip(out, (cls[own][a], cls[own][b], n[a], n[b], both), strict=True):
+                held.append(x)
+        return pa.table({c: pa.array(np.concatenate(x) if x else [], pa.int64()) for c, x in zip(("a", "b", "n_a", "n_b", "n_both"), out, strict=True)})
 
-    links = written(_blocks(r.members, s).applyInArrow(run, "a long, b long, n_a long, n_b long, n_both long"), "all-links")
-    of = r.classes.select("c1", "c2", "n_shingles", F.col("rid").alias("class"))
-    return links, r.rows.join(of, ["c1", "c2", "n_shingles"], "left").select("doc_id", "n_shingles", "class", "k1", "k2")
+    placed = _placed(_sized(r.members.select("class", "n_shingles", "component"), s), s, True)
+    links = placed.join(r.sets.hint("merge"), "class").groupBy(*GROUP).applyInArrow(run, "a long, b long, n_a long, n_b long, n_both long")
+    of = F.when(F.col("n_shingles") > 0, F.col("class")).alias("class")
+    return r.tables.written(links, "all-links"), r.rows.select("doc_id", "n_shingles", of, "k1", "k2")
 
 
 def linked(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every document; ``n_links`` is the number of
     other documents that it links with, copies included."""
-    r = _resolve(docs, s)
-
-    def run(table):
-        import pyarrow as pa
-
-        i, j, _ = _compare(table, s.percent)
-        rid, weight = table.column("rid").to_numpy(), table.column("docs").to_numpy()
-        n = np.zeros(len(rid), dtype=np.int64)
-        np.add.at(n, i, weight[j])
-        np.add.at(n, j, weight[i])
-        return pa.table({"rid": pa.array(rid, pa.int64()), "links": pa.array(n, pa.int64())})
-
-    counts = _blocks(r.members, s).applyInArrow(run, "rid long, links long").groupBy("rid").agg(F.sum("links").alias("links"))
-    counts = written(counts, "link-counts")
-    classes = r.classes.join(counts, "rid", "left").withColumn("n_links", F.col("docs") - 1 + F.coalesce("links", F.lit(0)))
-    out = _documents(r._replace(classes=classes), "n_links")
+    r = _resolve(docs, s, every=True)
+    r.tables.drop(r.sets, r.members)
+    out = _documents(r._replace(classes=r.classes.withColumn("n_links", F.col("docs") - 1 + F.col("links"))), "n_links")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 #: Near copies, as the pipeline takes them.
-NEAR = Settings(words=5, percent=80, least=3.5)
+NEAR = Settings(words=5, percent=80)
 
 
 def deduplicate(docs: DataFrame, s: Settings = NEAR) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns of ``docs``;
     documents with an empty set stay."""
-    c = written(clusters(docs, s).where(F.col("component").isNotNull()), "clusters")
-    rows = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    best = c.groupBy("component").agg(F.min(rows).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
-    others = c.join(best, "component").where(~((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2")))).select("k1", "k2").distinct()
-    others = written(others, "copies")
+    r = _resolve(docs, s)
+    r.tables.drop(r.sets, r.members)
+    # The first row of every component, found over classes: no group is one task.
+    first = r.classes.groupBy("component").agg(F.min("best").alias("best")).select("best.k1", "best.k2")
+    shown = r.rows.where("n_shingles > 0").select("k1", "k2")
+    others = written(shown.join(first, ["k1", "k2"], "left_anti").distinct(), "copies")
+    repeated = written(shown.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "repeated-rows")
     keyed = docs.withColumns({"_k1": key("1"), "_k2": key("2")})
     other = others.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     few = other.limit(s.max_broadcast + 1).count() <= s.max_broadcast
     kept = keyed.join(F.broadcast(other) if few else other, ["_k1", "_k2"], "left_anti")
-    repeated = written(c.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "repeated-rows")
     if not repeated.isEmpty():  # rows with equal id and text: one of them
         once = kept.join(repeated, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
         kept = kept.join(repeated, ["_k1", "_k2"], "left_anti").unionByName(once)

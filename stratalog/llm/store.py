@@ -42,6 +42,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Tables:
+    """Written tables of one job, dropped when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            drop_path(self.spark, self.paths.pop(id(t))[1])
+
+
 def fold(remainder_of: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo ``remainder_of``: the fold of a row."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(remainder_of)
