@@ -1,9 +1,10 @@
 """Best-fit packing with conflicts.
 
 Documents are packed into bins of ``capacity`` words.  A bin never holds two documents of one
-duplicate cluster (near copies by links of 0.8 over five-word shingles, see ``partenum_join``), nor more than ``per_source`` of one source (by default two).  A document longer
-than the capacity is cut into full pieces and a rest; its pieces are of one cluster and source,
-so they lie in different bins.
+duplicate cluster (near copies by links of 0.8 over five-word shingles, see ``partenum_join``), nor
+more than ``per_source`` of one source (by default one).  A document longer than the capacity is
+cut into full pieces and a rest; its pieces are of one cluster and source, so they lie in different
+bins.
 
 Within a packing group the pieces are placed in descending order of size (ties: cluster, then
 document, then piece).  Open bins stand in one list ordered by what is left in them, and carry
@@ -15,9 +16,10 @@ Long runs of incompatible bins are skipped exactly: bins are also kept in one or
 each set of sources, and a set that already holds the piece's source is not searched at all; only
 clusters remain to be compared bin by bin.
 
-The groups are packed in parallel.  A document's group is the hash of its id, so a source or a
-cluster with a third of all rows is spread over all groups, which are of about ``group_rows`` rows
-however large the input is.  A group costs at most a few bins that could be fuller.
+The groups are packed in parallel.  A row's group is the hash of its id, size, source and cluster, so
+the bins are a function of the table, whatever its order and partitions.  A source or a cluster with
+a third of all rows is spread over all groups, which are of about ``group_rows`` rows however large
+the input is.  A group costs at most a few bins that could be fuller.
 
 Defined cases: a null or empty text is a piece of size 0; a null source conflicts with no other; a
 null cluster (``conflicts`` input) conflicts with none; repeated rows share a cluster; an empty
@@ -40,8 +42,8 @@ from .store import written
 @dataclass(frozen=True)
 class Settings:
     capacity: int = 2048
-    per_source: int = 2
-    group_rows: int = 16_000
+    per_source: int = 1
+    group_rows: int = 4_000
 
 
 def best_fit(sizes: list[int], sources: list[int | None], clusters: list[int | None], capacity: int, per_source: int = 1) -> tuple[list[int], list[int]]:
@@ -116,7 +118,7 @@ def pack(items: DataFrame, s: Settings = Settings()) -> DataFrame:
     n = sum(r.n for r in items.groupBy().agg(F.count("*").alias("n")).collect())
     groups = max(1, -(-n // s.group_rows))
     own = items.select("doc_id", F.col("size").cast("long").alias("size"), "source", F.col("cluster").cast("string").alias("cluster"))
-    own = own.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id() % 64), F.lit(groups)).cast("int"))
+    own = own.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "size", "source", "cluster"), F.lit(groups)).cast("int"))
 
     def run(key, table):
         import pyarrow as pa
@@ -147,12 +149,10 @@ def measured(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """``k1, k2, cluster`` of the documents that have a near copy.  A cluster is named by the
-    smallest key of its documents, which no order of rows changes."""
-    c = written(partenum_join.clusters(docs, partenum_join.NEAR).where(F.col("component").isNotNull()).select("component", "k1", "k2"), "clusters")
-    named = c.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    named = named.select("component", F.concat_ws(" ", "least.k1", "least.k2").alias("cluster"))
-    return written(c.join(named, "component").select("k1", "k2", "cluster").distinct(), "near-copies")
+    """``k1, k2, cluster`` of the documents with words.  A cluster is named by the smallest digest
+    of its sets of shingles, which no order of rows changes."""
+    c = partenum_join.clusters(docs, partenum_join.NEAR).where(F.col("component").isNotNull())
+    return written(c.select("k1", "k2", F.col("component").cast("string").alias("cluster")).distinct(), "near-copies")
 
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

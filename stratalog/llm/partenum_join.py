@@ -871,7 +871,7 @@ def linked(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 #: Near copies, as the pipeline takes them.
-NEAR = Settings(words=5, percent=80)
+NEAR = Settings(words=5, percent=80, least=4.5)
 
 
 def deduplicate(docs: DataFrame, s: Settings = NEAR) -> DataFrame:
