@@ -135,17 +135,21 @@ def pack(items: DataFrame, s: Settings = Settings()) -> DataFrame:
     return own.groupBy("pack_group").applyInArrow(run, PACKED)
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def measured(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """``doc_id, size, source, cluster``: words of the whole text, and as cluster that of ``near``
-    (``k1, k2, cluster``: rows by the key of id and text), or else the digest of the text with case
-    and white space evened out, so exact copies but for these share one."""
+    (``k1, k2, cluster``: all rows with words by the key of id and text; the others share one), or
+    else the digest of the text with case and white space evened out, so exact copies but for these
+    share one."""
     text = F.coalesce("text", F.lit(""))
-    even = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
-    words = F.when(even == "", 0).otherwise(F.char_length(even) - F.char_length(F.replace(even, F.lit(" "), F.lit(""))) + 1)
-    own = docs.select("doc_id", words.cast("long").alias("size"), "source", F.md5(even).alias("cluster"), partenum_join.key("1").alias("k1"), partenum_join.key("2").alias("k2"))
-    if near is not None:
-        own = own.join(near.withColumnRenamed("cluster", "near"), ["k1", "k2"], "left").withColumn("cluster", F.coalesce("near", "cluster"))
-    return own.select("doc_id", "size", "source", "cluster")
+    own = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), "source", "text")
+    if near is None:
+        even = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
+        return own.select("doc_id", "size", "source", F.md5(even).alias("cluster"))
+    own = own.select("doc_id", "size", "source", partenum_join.key("1").alias("k1"), partenum_join.key("2").alias("k2"))
+    return own.join(near, ["k1", "k2"], "left").select("doc_id", "size", "source", F.coalesce("cluster", F.lit("none")).alias("cluster"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
