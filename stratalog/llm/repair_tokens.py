@@ -5,14 +5,16 @@ written in ascending order of document id.  A file row is a *block*: consecutive
 a grammar of their own.  Re-Pair replaces frequent pairs of neighbouring symbols by new symbols;
 here it works in rounds, each of which replaces every pair that occurs at least ``share`` times
 as often as the most frequent one (where two such pairs overlap, the more frequent one), until
-no pair occurs ``min_count`` times (or ``max_rounds`` are done, where it is set).  A symbol never spans two
-documents.  The block stores the rules, the number of ids that each rule expands to, the
-documents' ids and lengths, and the remaining symbols, so any range of a document's ids is
-decoded without expanding the rest (``decode_range``).
+no pair occurs ``min_count`` times: rarer ones cost more as a rule than they save (or
+``max_rounds`` are done, where it is set).  A symbol never spans two documents.  The block stores
+its ids, the rules, the number of ids that each rule expands to, the documents' ids and lengths, and
+the remaining symbols, so any range of a document's ids is decoded without expanding the rest
+(``decode_range``).
 
-Layout of a block, little-endian: magic ``RPR1``; uint32 documents, rules, symbols, first
-nonterminal, bytes a symbol (2 or 4); int64 document ids; uint64 ids a document; uint32 symbols a
-document; uint32 left and right sides of the rules; uint64 expansion lengths; symbols.
+Layout of a block, little-endian: magic ``RPR2``; uint32 documents, rules, symbols, terminals,
+bytes a symbol (2 or 4); int64 document ids; uint64 ids a document; uint32 symbols a document;
+uint32 ids of the terminals, which are the first symbols; left and right sides of the rules, as
+symbols; uint32 expansion lengths; symbols.
 
 Blocks are written as rows of a Parquet table in the shared folder, in any store that Spark
 writes to, under Spark's commit protocol; a lost executor's blocks are written anew.
@@ -43,7 +45,7 @@ from pyspark.sql.window import Window
 from . import words
 from .store import written
 
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
 BLOCKS = "part int, seq int, n_docs int, n_tokens long, block binary"
 NO_ID = -(1 << 63)  # stands for a null document id within a block
 
@@ -53,25 +55,31 @@ class Settings:
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 1
     block_tokens: int = 1 << 20
-    share: float = 1 / 64
-    min_count: int = 24
+    share: float = 1 / 4
+    min_count: int = 5  # the fewest at which a rule of 8 bytes saves more than that, 2 bytes a pair
     max_rounds: int | None = None
     table_bits: int = 22  # of a worker's table of pieces
 
 
 class PieceTable:
-    """Ids by the 64-bit hash of a piece: open addressing in arrays, emptied when it fills up."""
+    """Ids by the 64-bit hash of a piece: open addressing in arrays, emptied when it fills up, and
+    larger for a document with more pieces than it holds."""
 
     def __init__(self, bits: int):
-        self.bits = bits
-        self.keys = np.zeros(1 << bits, dtype=np.uint64)
-        self.first = np.zeros(1 << bits, dtype=np.int64)
-        self.count = np.zeros(1 << bits, dtype=np.int32)
+        self.least_bits = bits
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys[:] = 0
+        self.make_room(0)
+
+    def holds(self, more: int) -> bool:
+        """Whether so many more pieces leave a quarter of the slots free."""
+        return 4 * (self.used + more) <= 3 << self.bits
+
+    def make_room(self, n: int) -> None:
+        """Empties the table; it is as large as asked for, or as n pieces need."""
+        self.bits = max(self.least_bits, (4 * n // 3 + 1).bit_length())
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.first = np.zeros(1 << self.bits, dtype=np.int64)
+        self.count = np.zeros(1 << self.bits, dtype=np.int32)
         self.used = self.n_pool = 0
 
     def slots(self, h: np.ndarray) -> np.ndarray:
@@ -137,6 +145,7 @@ class Encoder:
         # Pieces must end at white space, and letters at the signs behind them, for this tokenizer;
         # with another one every text is encoded whole.
         same = all(self.whole(x + y) == self.whole(x) + self.whole(y) for x, y in (("to", " be"), ("to", "."), ("ab", "##"), ("a", "|")))
+        same = same and self.whole("Hello World and NASA, ÉCOLE") == self.whole("hello world and nasa, école")
         self.splits = same and len(self.separator) == 1
 
     def _ids(self, text: str) -> np.ndarray:
@@ -175,8 +184,6 @@ class Encoder:
 
     def _block(self, b: words.Block) -> list[bytes]:
         """Of texts without special tokens."""
-        if self.table.used > 6 << (self.table.bits - 4):
-            self.table.clear()
         h = np.maximum(b.h, words.U(1))
         long = np.flatnonzero(b.ends - b.starts > self.LONGEST)
         h[long] = words.U(1)  # they are encoded apart
@@ -184,6 +191,10 @@ class Encoder:
         missing = np.flatnonzero(slot < 0)
         if len(missing):
             new, who = np.unique(h[missing], return_index=True)
+            if not self.table.holds(len(new)):
+                new, who = np.unique(h, return_index=True)
+                self.table.make_room(len(new))
+                missing = np.arange(len(h))
             where = missing[who]
             self._learn(new, [b"" if k == 1 else b.data[s:e] for k, s, e in zip(new.tolist(), b.starts[where].tolist(), b.ends[where].tolist(), strict=True)])
             slot[missing] = self.table.slots(h[missing])
@@ -217,74 +228,84 @@ class Encoder:
         return out
 
 
-def _places(some: np.ndarray, values: np.ndarray, bits: int = 18) -> np.ndarray:
-    """Index in ``some`` (distinct) of every value, or -1: by hash tables, the next one for what
-    lost its place in the one before."""
-    out = np.full(len(values), -1, dtype=np.int32)
-    left = np.arange(len(some), dtype=np.int32)
-    factor = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
-    while len(left):
-        table = np.zeros(1 << bits, dtype=np.int32)
-        slot = (some[left].astype(np.uint64) * factor >> words.U(64 - bits)).astype(np.int64)
-        table[slot] = left
-        found = table[(values.astype(np.uint64) * factor >> words.U(64 - bits)).astype(np.int64)]
-        hit = some[found] == values
-        out[hit] = found[hit]
-        left = left[table[slot] != left]
-        factor = factor * words.U(0xD6E8FEB86659FD93) | words.U(1)
-    return out
+def _every_second(p: np.ndarray, seq: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which of these positions of pairs (x, x) lie at an odd place of a run of x."""
+    follows = np.zeros(len(p), dtype=bool)
+    follows[1:] = (after[p[:-1]] == p[1:]) & (seq[p[:-1]] == seq[p[1:]])
+    begin = np.flatnonzero(~follows)
+    return (np.arange(len(p)) - np.repeat(begin, np.diff(np.append(begin, len(p))))) % 2 == 1
 
 
 def compress(ids: np.ndarray, last: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, their ``last`` marks, rules (n, 2) and the first nonterminal.  ``last`` marks the
-    ids that end a document."""
-    base = int(ids.max()) + 1 if len(ids) else 1
-    seq, rules, n_rules = ids.astype(np.uint32), [], 0
+    ids that end a document.
+
+    Symbols are a linked list.  A pair's count is never larger than right after the younger of its
+    symbols came to be, so a position whose pair is rare then is not looked at again until one of
+    its two symbols is replaced."""
+    base, n_rules, rules = int(ids.max()) + 1 if len(ids) else 1, 0, []
+    n = len(ids)
+    seq = ids.astype(np.uint64)
+    after = np.arange(1, n + 1)
+    after[last] = -1
+    after[-1:] = -1
+    before = np.full(n, -1)
+    before[after[after >= 0]] = np.flatnonzero(after >= 0)
+    live = after >= 0  # positions whose pair may be frequent
+    kept = np.ones(n, dtype=bool)
+    free = np.int32(np.iinfo(np.int32).max)
+    rank = np.full(n + 1, free)  # one more: before the first and behind the last
     rounds = 0
     while s.max_rounds is None or rounds < s.max_rounds:
         rounds += 1
-        if len(seq) < 2:
-            break
-        left, right = seq[:-1], seq[1:]
-        bits, kind = (16, np.uint32) if base + n_rules < 1 << 16 else (32, np.uint64)
-        pair = left.astype(kind)
-        pair <<= kind(bits)
-        pair |= right.astype(kind)
-        pair[last[:-1]] = none = kind(np.iinfo(kind).max)  # no pair of symbols has this code
-        ordered = np.sort(pair)
-        ordered = ordered[: np.searchsorted(ordered, none)]
-        if not len(ordered):
+        pos = np.flatnonzero(live)
+        left, right = seq[pos], seq[after[pos]]
+        same = np.flatnonzero(left == right)
+        if len(same):  # pairs that overlap with their likes count once
+            taken = np.ones(len(pos), dtype=bool)
+            taken[same[_every_second(pos[same], seq, after)]] = False
+            pos, left, right = pos[taken], left[taken], right[taken]
+        if base + n_rules <= 1 << 16 and n <= 1 << 32:
+            number = np.sort(left << words.U(48) | right << words.U(32) | pos.astype(np.uint64))
+            code, pos = number >> words.U(32), (number & words.U(0xFFFFFFFF)).astype(np.int64)
+            half = 16
+        else:
+            code, half = left << words.U(32) | right, 32
+            order = np.argsort(code, kind="stable")
+            code, pos = code[order], pos[order]
+        if not len(code):
             break
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.append(edge, len(ordered)))
-        chosen = np.flatnonzero(count >= max(s.min_count, s.share * count.max()))
-        if not len(chosen):
+        edge = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        count = np.diff(np.append(edge, len(code)))
+        live[pos[np.repeat(count < s.min_count, count)]] = False
+        chosen = count >= max(s.min_count, s.share * count.max())
+        if not chosen.any():
             break
-        some, times = ordered[edge[chosen]], count[chosen]
-        rank_of = np.empty(len(some), dtype=np.int32)
-        rank_of[np.lexsort((some, -times))] = np.arange(len(some), dtype=np.int32)
-        begins, ends = np.zeros((2, int(seq.max()) + 1), dtype=bool)
-        begins[(some >> kind(bits)).astype(np.int64)] = True
-        ends[(some & kind((1 << bits) - 1)).astype(np.int64)] = True
-        pos = np.flatnonzero(begins[left] & ends[right])
-        at = _places(some, pair[pos])
-        hit = at >= 0
-        at, pos = at[hit], pos[hit]
-        free = np.int32(len(some))
-        rank = np.full(len(seq) + 1, free, dtype=np.int32)  # one more at the end, before the first
-        rank[pos] = rank_of[at]
-        own = rank[pos]
-        take = (own < rank[pos - 1]) & (own <= rank[pos + 1])
-        where, at = pos[take], at[take]
-        used, symbol = np.unique(at, return_inverse=True)
-        rules.append(np.stack([some[used] >> kind(bits), some[used] & kind((1 << bits) - 1)], axis=1).astype(np.uint32))
-        seq[where] = (base + n_rules + symbol).astype(np.uint32)
-        last[where] = last[where + 1]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[where + 1] = False
-        seq, last = seq[keep], last[keep]
-        n_rules += len(used)
-    return seq, last, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32), base
+        pos, times, code = pos[np.repeat(chosen, count)], count[chosen], code[edge[chosen]]
+        by = np.lexsort((code, -times))  # the more frequent first
+        place = np.empty(len(by), dtype=np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        own = np.repeat(place, times)
+        rank[pos] = own
+        take = (own < rank[before[pos]]) & (own < rank[after[pos]])
+        rank[pos] = free
+        pos, own = pos[take], own[take]
+        pays = np.bincount(own, minlength=len(by)) >= s.min_count  # the most frequent pair's always do
+        take = pays[own]
+        pos, own = pos[take], own[take]
+        new = code[by][pays]
+        rules.append(np.stack([new >> words.U(half), new & words.U((1 << half) - 1)], axis=1).astype(np.uint32))
+        gone = after[pos]
+        behind = after[gone]
+        seq[pos] = (base + n_rules + np.cumsum(pays) - 1)[own].astype(np.uint64)
+        after[pos] = behind
+        before[behind[behind >= 0]] = pos[behind >= 0]
+        kept[gone] = live[gone] = False
+        live[pos] = behind >= 0
+        ahead = before[pos]
+        live[ahead[ahead >= 0]] = True
+        n_rules += len(new)
+    return seq[kept].astype(np.uint32), after[kept] < 0, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32), base
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -310,7 +331,10 @@ def pack(doc_ids: list[int | None], encoded: list[bytes], s: Settings = Settings
     n_ids = np.array([len(e) // 4 for e in encoded], dtype=np.uint64)
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum(n_ids).astype(np.int64) - 1] = True  # each document ends with the end id
-    seq, last, rules, base = compress(ids.copy(), last, s)
+    some = np.zeros(int(ids.max()) + 1, dtype=bool)
+    some[ids] = True
+    terminals = np.flatnonzero(some)
+    seq, last, rules, base = compress((np.cumsum(some) - 1)[ids], last, s)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     per_doc = np.diff(np.append(-1, np.flatnonzero(last)))
     return b"".join((
@@ -319,8 +343,9 @@ def pack(doc_ids: list[int | None], encoded: list[bytes], s: Settings = Settings
         np.array([NO_ID if d is None else d for d in doc_ids], dtype="<i8").tobytes(),
         n_ids.astype("<u8").tobytes(),
         per_doc.astype("<u4").tobytes(),
-        rules.astype("<u4").tobytes(),
-        expansion_lengths(rules, base).astype("<u8").tobytes(),
+        terminals.astype("<u4").tobytes(),
+        rules.astype(f"<u{width}").tobytes(),
+        expansion_lengths(rules, base).astype("<u4").tobytes(),
         seq.astype(f"<u{width}").tobytes(),
     ))
 
@@ -343,8 +368,9 @@ class Reader:
         self.doc_ids = [None if d == NO_ID else d for d in array("<i8", n).tolist()]
         self.n_ids = array("<u8", n)
         self.first = np.append(0, np.cumsum(array("<u4", n), dtype=np.int64))
-        self.rules = array("<u4", 2 * n_rules).reshape(-1, 2)
-        self.lengths = array("<u8", n_rules)
+        self.terminals = array("<u4", self.base)
+        self.rules = array(f"<u{width}", 2 * n_rules).reshape(-1, 2).astype(np.uint32)
+        self.lengths = array("<u4", n_rules).astype(np.uint64)
         self.symbols = array(f"<u{width}", n_symbols)
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -358,7 +384,7 @@ class Reader:
         while True:
             rule = out >= self.base
             if not rule.any():
-                return out
+                return self.terminals[out]
             size = np.where(rule, 2, 1)
             end = np.cumsum(size)
             wide = np.empty(int(end[-1]), dtype=np.uint32)
@@ -376,7 +402,7 @@ class Reader:
     def decode(self) -> np.ndarray:
         """The ids of all documents, in order."""
         if not len(self.rules):
-            return self.symbols.astype(np.uint32)
+            return self.terminals[self.symbols]
         first, flat = self._table()
         size = self._sizes(self.symbols)
         end = np.cumsum(size)
@@ -384,7 +410,7 @@ class Reader:
         # a table of the rules' ids with the symbols' own ids behind it
         source = np.where(rule, first[np.where(rule, self.symbols.astype(np.int64) - self.base, 0)], len(flat) + np.arange(len(rule)))
         at = np.repeat(source - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
-        return np.concatenate([flat, self.symbols.astype(np.uint32)])[at]
+        return np.concatenate([flat, self.terminals[np.where(rule, 0, self.symbols)]])[at]
 
     def decode_range(self, doc: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the block's document number ``doc``; only symbols that

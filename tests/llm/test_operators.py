@@ -91,6 +91,46 @@ def test_pieces_have_the_ids_of_the_whole_text():
         assert np.frombuffer(ids, dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_any_text_has_the_ids_of_the_whole_text():
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    e = repair_tokens.Encoder(path, 10)
+    every = [chr(c) for c in range(0x20, 0x3000) if chr(c).isprintable()] + list("\t\n\x0b\x0c\r\x1c\x85\xa0\u200b\u3000\ufeff\u200d\u0300\u0307\U0001f600")
+    marked = [chr(c) for c in range(0x3000) if chr(c).isalpha() and not unicodedata.normalize("NFC", chr(c)).lower().isalpha()]
+    assert "\u0130" in marked and "\u0958" in marked
+    texts = [m + x for m in marked for x in [*e.TAIL, " .", ". x"]]
+    rng = random.Random(11)
+    for _ in range(20_000):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts += ["".join(rng.choice(rng.choice([every, "abcdeABC", marked])) for _ in range(rng.randint(1, 4))), rng.choice(["", " ", "'s", "0", "\n", *e.TAIL])]
+        texts.append("".join(parts))
+    for lo in range(0, len(texts), 500):
+        some = texts[lo : lo + 500]
+        for x, ids in zip(some, e.encode([x.encode() for x in some]), strict=True):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_a_document_with_more_pieces_than_the_table_holds():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    e = repair_tokens.Encoder(path, 8)
+    for text in (" ".join(f"w{i}" for i in range(10_000)), "a b c", " ".join(f"x{i}" for i in range(250)), "w1 w2 x3"):
+        assert np.frombuffer(e.encode([text.encode()])[0], dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    cased = public_tokenizers.path("byte_bpe_50k.json")
+    assert not repair_tokens.Encoder(cased, 8).splits
+    t = Tokenizer.from_file(cased)
+    assert np.frombuffer(repair_tokens.Encoder(cased, 8).encode([b"Hello World and NASA"])[0], dtype="<u4").tolist() == t.encode("Hello World and NASA", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_re_pair_expands_to_what_it_compressed(seed):
     rng = np.random.default_rng(seed)
