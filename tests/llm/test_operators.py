@@ -201,6 +201,127 @@ def test_verbatim_copies_of_items_dense_in_slots_are_found():
     assert got == [(0, 1, True), (1, 2, True), (2, 3, True)]
 
 
+RED = "Anna has 5 red apples at home. Anna buys 3 more at the shop. Anna eats 2 of them. How many apples does Anna have now?"
+
+
+@pytest.mark.parametrize(
+    "item, text",
+    [
+        (RED, RED.replace("Anna", "Peter").replace("5", "9").replace("3", "4")),
+        (RED, RED.replace("Anna", "Maria Lopez").replace("2", "7")),
+        (RED.replace("Anna", "Maria Lopez"), RED.replace("Anna", "Jo")),
+        ("вчера Анна купила 12 яблок и отдала Ивану 3 яблока а потом Анна съела одно яблоко дома", "вчера Ольга купила 7 яблок и отдала Петру 2 яблока а потом Ольга съела одно яблоко дома"),
+        ("yesterday Élodie sold 12 old books to Øystein and kept 3 new books for her own shelf", "yesterday Zoë sold 5 old books to Łukasz and kept 4 new books for her own shelf"),
+        ("in İzmir Anna paid 12 coins for the old boat that Bernd had built in the long winter", "in İzmir Carla paid 7 coins for the old boat that Dora had built in the long winter"),
+    ],
+)
+def test_other_names_and_numbers_are_found(item, text):
+    s = decontaminate.Settings()
+    x = decontaminate.Index.build(["a"], [item], s)
+    around = "Some words before it. " + text + " And some more words after it."
+    assert any(r[-1] for r in decontaminate.occurrences([around.encode()], x, s))
+    other = "A shop sells red apples and many more people eat them at home now than before the long winter came"
+    assert not any(r[-1] for r in decontaminate.occurrences([other.encode()], x, s))
+
+
+def naive_forms(text):
+    """Tokens (canonical, is slot, value) of both forms, character by character."""
+    found = []
+    for m in WORD.finditer(text):
+        w = m.group()
+        lo, hi = m.start(), m.end()
+        while lo < hi and text[lo] < "\x7f" and not text[lo].isalnum() and text[lo] > " ":
+            lo += 1
+        while hi > lo and text[hi - 1] < "\x7f" and not text[hi - 1].isalnum() and text[hi - 1] > " ":
+            hi -= 1
+        if lo < hi:
+            found.append((lo, text[lo:hi]))
+    numbers, units = set(decontaminate.NUMBERS.split()), set(decontaminate.UNITS.split())
+    out = []
+    for second in (False, True):
+        tokens, was_number, was_name = [], False, False
+        for i, (at, w) in enumerate(found):
+            low = w.lower()
+            number = w[0] in "0123456789" or low in numbers
+            unit = was_number and not number and low in units
+            capital = not number and not unit and w[0] != w[0].lower() and len(w) > 1 and w[1] == w[1].lower()
+            gap = text[at - 1 :: -1] if at else ""
+            opens = i == 0
+            for c in gap[:3]:
+                if c in ".!?:\n":
+                    opens = True
+                if not (c in " \t\n\x0b\x0c\r" or (c < "\x7f" and not c.isalnum())):
+                    break
+            name = capital and (second or not opens)
+            if name and was_name:
+                tokens[-1] = ("<name>", True, (*tokens[-1][2], low))
+            else:
+                tokens.append(("<number>" if number else "<unit>" if unit else "<name>" if name else low, number or unit or name, (low,)))
+            was_number, was_name = number, name
+        out.append(tokens)
+    return out
+
+
+def naive_contaminated(text, item, s):
+    for doc, ref in zip(naive_forms(text), naive_forms(item), strict=True):
+        k = s.window if len(ref) >= s.window else len(ref)
+        if k < s.min_literal:
+            continue
+
+        def key(tokens, i):
+            own = tokens[i : i + k]
+            plain = sum(not t[1] for t in own) >= s.min_literal
+            return (plain, *(t[0] if plain else t[2] for t in own))
+
+        shifts = {}
+        for i in range(len(doc) - k + 1):
+            for j in range(len(ref) - k + 1):
+                if key(doc, i) == key(ref, j):
+                    shifts.setdefault(i - j, set()).update(range(i, i + k))
+        for shift, covered in shifts.items():
+            run = longest = 0
+            for i in range(len(doc)):
+                run = run + 1 if i in covered else 0
+                longest = max(longest, run)
+            pairs = Counter((ref[i - shift][2], doc[i][2]) for i in covered if ref[i - shift][1])
+            best = {}
+            for (a, _), n in pairs.items():
+                best[a] = max(n, best.get(a, 0))
+            share = sum(best.values()) / sum(pairs.values()) if pairs else 1.0
+            if (longest >= s.min_words or len(covered) >= s.min_share * len(ref)) and share >= s.min_consistent:
+                return True
+    return False
+
+
+def test_contamination_equals_brute_force(spark):
+    rng = random.Random(5)
+    names = "Anna Bernd Carla Dora Maria-Lopez Ольга Éva NASA".split()
+
+    def sentence():
+        out = [rng.choice([*names, "The", "How", "so"])]
+        for _ in range(rng.randrange(4, 10)):
+            out.append(rng.choice([rng.choice(names), str(rng.randrange(30)), "kg", "seven", "dollars", *"buys sells old red boats the of many at home now".split()]))
+        return " ".join(out) + rng.choice([".", "?", "!", ":", ""])
+
+    items = [(str(i), " ".join(sentence() for _ in range(rng.randrange(1, 4)))) for i in range(40)] + [("none", None), ("empty", "")]
+    docs = []
+    for i in range(160):
+        _, item = items[rng.randrange(40)]
+        w = item.split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            j = rng.randrange(len(w))
+            w[j] = rng.choice([*names, "Jo Smith", str(rng.randrange(30)), "other", w[j].lower()])
+        docs.append((i, " ".join([sentence() if rng.random() < 0.7 else "", " ".join(w), sentence()])))
+    s = decontaminate.Settings(window=5, min_literal=2, min_words=8)
+    want = {(d, i) for d, t in docs for i, item in items if naive_contaminated(t, item or "", s)}
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for blocks in (1_000_000, 200):
+        x = decontaminate.Settings(window=5, min_literal=2, min_words=8, max_index_words=blocks, filter_bits=12)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.query(a, b, x).collect()} == want
+        assert {r.doc_id for r in decontaminate.clean(a, b, x).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert 60 < len({d for d, _ in want}) < 160
+
+
 def test_benchmark_blocks_give_the_same(spark, docs):
     items = spark.createDataFrame([(i, awkward.prose(3, 400)[i * 40 : i * 40 + 300]) for i in range(20)], "item_id long, text string")
     a = decontaminate.query(docs, items).collect()
