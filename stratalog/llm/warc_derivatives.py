@@ -13,7 +13,9 @@ second run, or a task that is run again, gives the same records.
 
 Defined cases: a null URL is an empty target URI; null or empty HTML is an empty payload and gives
 an empty conversion; markup that is never closed ends with the text; repeated rows give repeated
-records with equal identifiers; an empty table gives no records; other columns are ignored.
+records with equal identifiers; an empty table gives no records; other columns are ignored.  Markup
+is read in one pass whose time grows with its length, whatever is left open.  In files, header names
+may be in any case and values may go on over lines; bytes that are no record are reported as rows.
 """
 
 from __future__ import annotations
@@ -26,42 +28,118 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .words import small_batches
 
 DATE = "2024-01-01T00:00:00Z"  # of responses that are built from rows without a date
 
+# Elements that begin and end a line, and elements whose text is not shown.
 _BREAKING = "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th title tr ul".split()
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?[a-zA-Z][a-zA-Z0-9]*)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-    r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-_BREAKS = {f"{s}{t}" for t in _BREAKING for s in ("", "/")}
-_BLANKS = re.compile(r"[ \t\r\f\v ]+")
+_HIDDEN = "script style template noscript".split()
+
+_BREAKS = frozenset(_BREAKING)
+_BEGIN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)|[/!?])")
+_PLAIN_TAG = re.compile(r"[^>\"']*+>")
+_SPECIAL = re.compile(r"[>\"']")
+_CLOSING = {t: re.compile(rf"</{t}\s*+>", re.I) for t in (*_HIDDEN, "title")}
+_BLANKS = re.compile(r"[ \t\r\f\v ]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
-
-
-def plain_text(markup: str) -> str:
-    """Visible text: one line a block element, blanks collapsed, entities decoded."""
-
-    def instead(m: re.Match) -> str:
-        name = m[2]
-        return "\n" if name and name.lower() in _BREAKS else " " if m[1] else ""
-
-    text = _MARKUP.sub(instead, markup.replace("\n", " "))
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z0-9-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*+=", re.I)
+
+
+class _Tags:
+    """Ends of the tags of one text.  Quoted values may hold ``>``; a tag with a quote that is never
+    closed ends at its first ``>``, or with the text.  A quote from which no end was found is
+    remembered, so all tags together read the text a bounded number of times."""
+
+    def __init__(self, markup: str):
+        self.markup = markup
+        self.hopeless: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Behind the tag whose name ends at ``at``."""
+        if m := _PLAIN_TAG.match(self.markup, at):
+            return m.end()
+        path, here = [], at
+        while m := _SPECIAL.search(self.markup, here):
+            if m[0] == ">":
+                return m.end()
+            if m.start() in self.hopeless:
+                break
+            path.append(m.start())
+            close = self.markup.find(m[0], m.end())
+            if close < 0:
+                break
+            here = close + 1
+        self.hopeless.update(path)
+        first = self.markup.find(">", at)
+        return first + 1 if first >= 0 else len(self.markup)
+
+
+@dataclass
+class Page:
+    """What one pass over a page's markup finds."""
+
+    text: str
+    title: str
+    language: str
+    links: int
+
+
+def read_page(markup: str) -> Page:
+    """Visible text (one line a block element, blanks collapsed, entities decoded), text of the first
+    title, language of the ``html`` element, and number of ``a`` elements with ``href``."""
+    markup = markup.replace("\n", " ")
+    tags = _Tags(markup)
+    out: list[str] = []
+    title, language, links = None, "", 0
+    at, n = 0, len(markup)
+    while m := _BEGIN.search(markup, at):
+        out.append(markup[at : m.start()])
+        if m[1]:
+            end = markup.find("-->", m.end())
+            at = end + 3 if end >= 0 else n
+            continue
+        name = (m[3] or "").lower()
+        if name in _HIDDEN and not m[2]:
+            end = markup.find(">", m.end())
+            close = _CLOSING[name].search(markup, end) if end >= 0 else None
+            at = close.end() if close else n
+            out.append(" ")
+            continue
+        at = tags.end(m.end()) if name else (markup.find(">", m.end()) + 1 or n)
+        if name in _BREAKS:
+            out.append("\n")
+        if m[2]:
+            continue
+        if name == "a":
+            links += _HREF.search(markup, m.end(), at) is not None
+        elif name == "html" and not language:
+            found = _LANG.search(markup, m.end(), at)
+            language = found[1] if found else ""
+        elif name == "title" and title is None:
+            close = _CLOSING["title"].search(markup, at)
+            title = read_page(markup[at : close.start()]).text if close else ""
+    out.append(markup[at:])
+    return Page(_shown("".join(out)), title or "", language, links)
+
+
+def _shown(text: str) -> str:
     if "&" in text:
         text = entities.unescape(text)
     return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip(" \n")
 
 
+def plain_text(markup: str) -> str:
+    """Visible text of a page."""
+    return read_page(markup).text
+
+
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
@@ -83,18 +161,69 @@ def _one_line(value: str) -> str:
     return value.replace("\r", " ").replace("\n", " ")
 
 
-def parse(data: bytes) -> Iterator[Record]:
-    """Records of uncompressed WARC bytes."""
+class Broken(NamedTuple):
+    """What cannot be read as a record."""
+
+    at: int
+    reason: str
+
+
+#: Names of the headers that are read here, whatever their case in a file.
+_NAMES = {x.lower(): x for x in "WARC-Type WARC-Record-ID WARC-Target-URI WARC-Date WARC-Payload-Digest WARC-Block-Digest WARC-Refers-To Content-Type Content-Length".split()}
+
+
+def _headers(lines: list[str]) -> dict[str, str]:
+    out: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last is not None:  # goes on the line before
+            out[last] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if colon:
+            last = _NAMES.get(name.strip().lower(), name.strip())
+            out[last] = value.strip()
+    return out
+
+
+def records(data: bytes) -> Iterator[Record | Broken]:
+    """Records of uncompressed WARC bytes; after bytes that are none, the next one that follows an
+    empty line."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        n = int(headers.pop("Content-Length"))
-        yield Record(headers.pop("WARC-Type"), headers.pop("WARC-Record-ID"), headers, data[end + 4 : end + 4 + n])
-        at = end + 4 + n + 4
+        if data[at : at + 2] == b"\r\n":
+            at += 2
+            continue
+        reason, end = None, data.find(b"\r\n\r\n", at)
+        if not data.startswith(b"WARC/", at):
+            reason = "no record"
+        elif end < 0:
+            reason = "headers without end"
+        else:
+            headers = _headers(data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+            size = headers.pop("Content-Length", "")
+            kind, record_id = headers.pop("WARC-Type", ""), headers.pop("WARC-Record-ID", "")
+            if not (size.isascii() and size.isdigit()):
+                reason = "no content length"
+            elif not kind or not record_id:
+                reason = "no type or identifier"
+            elif end + 4 + int(size) > len(data):
+                reason = "cut off"
+        if reason is None:
+            yield Record(kind, record_id, headers, data[end + 4 : end + 4 + int(size)])
+            at = end + 4 + int(size)
+            continue
+        yield Broken(at, reason)
+        after = data.find(b"\r\n\r\nWARC/", at)
+        at = after + 4 if after >= 0 else len(data)
+
+
+def parse(data: bytes) -> Iterator[Record]:
+    """Records of uncompressed WARC bytes that have no others."""
+    for r in records(data):
+        if isinstance(r, Broken):
+            raise ValueError(f"{r.reason} at byte {r.at}")
+        yield r
 
 
 def _urn(name: str) -> str:
@@ -120,20 +249,19 @@ def derivatives(source: Record) -> tuple[Record, Record]:
     head, _, payload = source.block.partition(b"\r\n\r\n")
     status, *http = head.decode("latin-1").split("\r\n")
     markup = payload.decode("utf-8", "replace")
-    text = plain_text(markup)
+    page = read_page(markup)
     linked = {"WARC-Refers-To": source.record_id} | {k: source.headers[k] for k in ("WARC-Target-URI", "WARC-Date") if k in source.headers}
     linked = linked | {f"WARC-Refers-To-{k[5:]}": v for k, v in linked.items() if k in ("WARC-Target-URI", "WARC-Date")}
 
     def record(kind: str, block: bytes, content_type: str) -> Record:
         return Record(kind, _urn(f"{source.record_id} {kind}"), linked | {"WARC-Block-Digest": digest(block), "Content-Type": content_type}, block)
 
-    conversion = record("conversion", text.encode(), "text/plain; charset=utf-8")
-    title, lang = _TITLE.search(markup), _LANG.search(markup)
+    conversion = record("conversion", page.text.encode(), "text/plain; charset=utf-8")
     fields = [
-        ("title", plain_text(title[1]) if title else ""),
-        ("language", lang[1] if lang else ""),
-        ("text-characters", str(len(text))),
-        ("links", str(len(_LINK.findall(markup)))),
+        ("title", page.title),
+        ("language", page.language),
+        ("text-characters", str(len(page.text))),
+        ("links", str(page.links)),
         ("conversion-id", conversion.record_id),
         ("conversion-digest", conversion.headers["WARC-Block-Digest"]),
         ("source-payload-digest", source.headers.get("WARC-Payload-Digest") or digest(payload)),
@@ -202,28 +330,56 @@ def derive_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
 
 
-def derive_files(spark: SparkSession, path: str) -> DataFrame:
-    """Two records of every response in WARC files (plain, or gzip with any number of members).
-    ``page_id`` is null."""
+def _broken_row(b: Broken) -> dict:
+    return dict.fromkeys(x.split()[0] for x in SCHEMA.split(", ")) | {"warc_type": "broken", "block": b.reason, "content_length": b.at, "record": b""}
+
+
+def derive_files(spark: SparkSession, path: str, by_record: bool = False) -> DataFrame:
+    """Two records of every response in WARC files (plain, or gzip with any number of members), and a
+    row of type ``broken`` for what cannot be read: its place and the reason.  ``page_id`` is null.
+
+    A file is held whole, unless ``by_record``: then files of any size are read a record at a time
+    (plain ones by many tasks), and a payload that itself holds an empty line and a record's first
+    line counts as cut off there."""
     small_batches(spark, 500)
+    if by_record:
+        read = spark.read.option("lineSep", "\r\n\r\nWARC/").text(path).select(F.col("value").cast("binary").alias("content"))
+    else:
+        read = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches):
         def rows():
             for b in batches:
                 for data in b.column(0).to_pylist():
-                    for r in parse(_unzipped(data)):
-                        if r.kind == "response":
+                    if by_record and data.strip():
+                        # An empty block's end may have gone with the separator; more bytes do no harm.
+                        data = (data if data.startswith(b"WARC/") else b"WARC/" + data) + b"\r\n\r\n"
+                    for r in records(data if by_record else _unzipped(data)):
+                        if isinstance(r, Broken):
+                            yield _broken_row(r)
+                        elif r.kind == "response":
                             yield from _rows(None, r)
 
         yield from _batched(rows())
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+    return read.mapInArrow(run, SCHEMA)
 
 
 def _unzipped(data: bytes) -> bytes:
-    import gzip
-
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    """The bytes of all gzip members up to the first that cannot be read."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out += [member.decompress(data), member.flush()]
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
 
 
 def query(pages: DataFrame) -> DataFrame:

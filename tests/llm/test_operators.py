@@ -560,6 +560,72 @@ def test_records_round_trip(spark):
     assert warc_derivatives.query(awkward.empty(spark, df)).count() == 0
 
 
+def naive_text(markup):
+    """Visible text by one backtracking pattern."""
+    hidden = r"<(script|style|template|noscript)(?![a-zA-Z0-9])[^>]*>.*?(?:</\1\s*>|\Z)"
+    unfinished = r"<(?:script|style|template|noscript)(?![a-zA-Z0-9])[^>]*\Z"
+    tag = r"<(/?[a-zA-Z][a-zA-Z0-9]*)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    other = r"<(/?[a-zA-Z][a-zA-Z0-9]*|[/!?])[^>]*(?:>|\Z)"
+
+    def instead(m):
+        if m[0].startswith("<!--"):
+            return ""
+        name = (m[2] or m[3] or "").lower()
+        return "\n" if name.removeprefix("/") in warc_derivatives._BREAKS and not name.startswith("//") else " " if m[1] or re.match(unfinished, m[0], re.I | re.S) else ""
+
+    import html
+
+    text = re.sub(f"<!--.*?(?:-->|\\Z)|{hidden}|{unfinished}|{tag}|{other}", instead, markup.replace("\n", " "), flags=re.S | re.I)
+    return re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f\v ]+", " ", html.unescape(text))).strip(" \n")
+
+
+def test_page_text_equals_brute_force():
+    rng = random.Random(3)
+    parts = ["<p>", "</p>", "<a href='x'>", "<a href=\"y>z\">", "<br/>", "<script>", "</script>", "</SCRIPT >", "<style a>", "</style>", "<!--", "-->", "<", ">", "'", '"', " ", "\n", "&amp;", "a < b", "word", "é", "<title>", "</title>", "<!DOCTYPE html>", "<html lang=de>", "</", "<?x", "<h1 class='", "<div data=\""]
+    for _ in range(6000):
+        markup = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        assert warc_derivatives.plain_text(markup) == naive_text(markup), markup
+
+
+def test_open_markup_is_read_in_linear_time():
+    import time
+
+    for unit in ("<a ", '<a " ', "<a '>'", "<title>", "<html", "<script>", "<!-- ", "<a href ", "<a '>'<a \">\"", "&", "</", "<a 'x\"'>\"<b"):
+        began = time.perf_counter()
+        warc_derivatives.read_page(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - began < 5, unit
+    page = warc_derivatives.read_page("<HTML dir=ltr LANG='de-AT'><title>One &amp; <b>two</b></title><title>no</title><a name=x>1</a><a href=y>2</a><a\nhref = z>3")
+    assert (page.title, page.language, page.links, page.text) == ("One & two", "de-AT", 2, "One & two\nno\n123")
+
+
+def test_broken_files_are_reported(spark, tmp_path):
+    import gzip
+
+    good = [warc_derivatives.response(i, f"http://x/{i}", f"<p>page {i}</p>").serialize() for i in range(4)]
+    lower = good[1].replace(b"Content-Length: ", b"content-length:", 1).replace(b"WARC-Type: ", b"warc-type:  ")
+    no_length = good[2].replace(b"Content-Length:", b"Length:", 1)
+    no_colon = good[3].replace(b"\r\nWARC-Date", b"\r\nno colon here\r\nX-Long: a\r\n b\r\nWARC-Date", 1)
+    data = good[0] + lower + no_length + no_colon + good[0][:-30]
+    found = list(warc_derivatives.records(data))
+    assert [type(r).__name__ for r in found] == ["Record", "Record", "Broken", "Record", "Broken"]
+    assert [r.reason for r in found if isinstance(r, warc_derivatives.Broken)] == ["no content length", "cut off"]
+    assert found[1].block == next(warc_derivatives.parse(good[1])).block and found[3].headers["X-Long"] == "a b"
+    assert [type(r).__name__ for r in warc_derivatives.records(b"rubbish\r\n\r\n" + good[0])] == ["Broken", "Record"]
+    assert list(warc_derivatives.records(b"")) == [] and len(list(warc_derivatives.records(b"WARC/1.0"))) == 1
+    with pytest.raises(ValueError):
+        list(warc_derivatives.parse(data))
+    (tmp_path / "a.warc").write_bytes(data)
+    packed = gzip.compress(b"".join(good))
+    (tmp_path / "b.warc.gz").write_bytes(packed + packed[:40])
+    got = warc_derivatives.derive_files(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.block for r in got if r.warc_type == "conversion") == sorted(f"page {i}" for i in (0, 1, 3, 0, 1, 2, 3))
+    assert sorted(r.block for r in got if r.warc_type == "broken") == ["cut off", "no content length"]
+    (tmp_path / "b.warc.gz").unlink()
+    got = warc_derivatives.derive_files(spark, f"file://{tmp_path}", by_record=True).collect()
+    assert sorted(r.block for r in got if r.warc_type == "conversion") == [f"page {i}" for i in (0, 1, 3)]
+    assert sorted(r.block for r in got if r.warc_type == "broken") == ["cut off", "no content length"]
+
+
 def test_files_give_the_same_records(spark, tmp_path):
     import gzip
 
