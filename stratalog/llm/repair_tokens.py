@@ -55,7 +55,7 @@ class Settings:
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 1
     block_tokens: int = 1 << 20
-    share: float = 1 / 4
+    share: float = 1 / 64
     min_count: int = 5  # the fewest at which a rule of 8 bytes saves more than that, 2 bytes a pair
     max_rounds: int | None = None
     table_bits: int = 22  # of a worker's table of pieces
@@ -173,14 +173,25 @@ class Encoder:
 
     def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
         """Pieces of letters with signs behind them share what is encoded for the letters."""
-        parts = []
-        for p in (x.decode("utf-8", "replace") for x in pieces):
-            core = p.rstrip(self.TAIL)
-            # Signs stand apart only from what is letters as the tokenizer sees it.
-            letters = len(core) < len(p) and core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha()
-            parts.append((core, p[len(core) :]) if letters else (p, ""))
-        known = self._encode_pieces(list({x for pair in parts for x in pair if x})) | {"": np.empty(0, dtype=np.uint32)}
-        self.table.add(h, [np.concatenate([known[core], known[tail]]) if tail else known[core] for core, tail in parts])
+        texts = [x.decode("utf-8", "replace") for x in pieces]
+        cores = [t.rstrip(self.TAIL) for t in texts]
+        # Signs stand apart only from what is letters as the tokenizer sees it.
+        tails = [
+            t[len(c) :] if len(c) < len(t) and c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c).lower().isalpha()) else ""
+            for c, t in zip(cores, texts, strict=True)
+        ]
+        heads = [c if tail else t for c, t, tail in zip(cores, texts, tails, strict=True)]
+        known = {"": np.empty(0, dtype=np.uint32)}
+        some = list({c for c, tail in zip(heads, tails, strict=True) if tail})
+        if some:  # letters that have been met without signs
+            data = " ".join(some).encode()
+            if len(some) == len(own := words.word_hashes(data, fold=False)[0]):
+                slot = self.table.slots(np.maximum(own, words.U(1)))
+                found = np.flatnonzero(slot >= 0)
+                ids, count = self.table.gather(slot[found])
+                known |= zip([some[i] for i in found.tolist()], np.split(ids, np.cumsum(count)[:-1]), strict=False)
+        known |= self._encode_pieces(list({x for pair in (heads, tails) for x in pair if x not in known}))
+        self.table.add(h, [np.concatenate([known[c], known[tail]]) if tail else known[c] for c, tail in zip(heads, tails, strict=True)])
 
     def _block(self, b: words.Block) -> list[bytes]:
         """Of texts without special tokens."""
@@ -245,11 +256,12 @@ def compress(ids: np.ndarray, last: np.ndarray, s: Settings = Settings()) -> tup
     its two symbols is replaced."""
     base, n_rules, rules = int(ids.max()) + 1 if len(ids) else 1, 0, []
     n = len(ids)
-    seq = ids.astype(np.uint64)
-    after = np.arange(1, n + 1)
+    seq = ids.astype(np.uint32)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    after = np.arange(1, n + 1, dtype=kind)
     after[last] = -1
     after[-1:] = -1
-    before = np.full(n, -1)
+    before = np.full(n, -1, dtype=kind)
     before[after[after >= 0]] = np.flatnonzero(after >= 0)
     live = after >= 0  # positions whose pair may be frequent
     kept = np.ones(n, dtype=bool)
@@ -259,7 +271,7 @@ def compress(ids: np.ndarray, last: np.ndarray, s: Settings = Settings()) -> tup
     while s.max_rounds is None or rounds < s.max_rounds:
         rounds += 1
         pos = np.flatnonzero(live)
-        left, right = seq[pos], seq[after[pos]]
+        left, right = seq[pos].astype(np.uint64), seq[after[pos]].astype(np.uint64)
         same = np.flatnonzero(left == right)
         if len(same):  # pairs that overlap with their likes count once
             taken = np.ones(len(pos), dtype=bool)
@@ -297,7 +309,7 @@ def compress(ids: np.ndarray, last: np.ndarray, s: Settings = Settings()) -> tup
         rules.append(np.stack([new >> words.U(half), new & words.U((1 << half) - 1)], axis=1).astype(np.uint32))
         gone = after[pos]
         behind = after[gone]
-        seq[pos] = (base + n_rules + np.cumsum(pays) - 1)[own].astype(np.uint64)
+        seq[pos] = (base + n_rules + np.cumsum(pays) - 1).astype(np.uint32)[own]
         after[pos] = behind
         before[behind[behind >= 0]] = pos[behind >= 0]
         kept[gone] = live[gone] = False
@@ -305,7 +317,7 @@ def compress(ids: np.ndarray, last: np.ndarray, s: Settings = Settings()) -> tup
         ahead = before[pos]
         live[ahead[ahead >= 0]] = True
         n_rules += len(new)
-    return seq[kept].astype(np.uint32), after[kept] < 0, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32), base
+    return seq[kept], after[kept] < 0, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32), base
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
