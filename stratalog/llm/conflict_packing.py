@@ -135,29 +135,17 @@ def pack(items: DataFrame, s: Settings = Settings()) -> DataFrame:
     return own.groupBy("pack_group").applyInArrow(run, PACKED)
 
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def measured(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
-    """``doc_id, size, source, cluster``: words of the whole text, and as cluster that of ``near``
-    (``k1, k2, cluster``: all rows with words by the key of id and text; the others share one), or
-    else the digest of the text with case and white space evened out, so exact copies but for these
-    share one."""
+def measured(docs: DataFrame) -> DataFrame:
+    """``doc_id, size, source, cluster``: words of the whole text, and as cluster the digest of the text
+    with case and white space evened out, so exact copies but for these share one."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), "source", "text")
-    if near is None:
-        even = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
-        return own.select("doc_id", "size", "source", F.md5(even).alias("cluster"))
-    own = own.select("doc_id", "size", "source", partenum_join.key("1").alias("k1"), partenum_join.key("2").alias("k2"))
-    return own.join(near, ["k1", "k2"], "left").select("doc_id", "size", "source", F.coalesce("cluster", F.lit("none")).alias("cluster"))
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``k1, k2, cluster`` of the documents with words.  A cluster is named by the smallest digest
-    of its sets of shingles, which no order of rows changes."""
-    c = partenum_join.clusters(docs, partenum_join.NEAR).where(F.col("component").isNotNull())
-    return written(c.select("k1", "k2", F.col("component").cast("string").alias("cluster")).distinct(), "near-copies")
+    even = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
+    words = F.when(even == "", 0).otherwise(F.char_length(even) - F.char_length(F.replace(even, F.lit(" "), F.lit(""))) + 1)
+    return docs.select("doc_id", words.cast("long").alias("size"), "source", F.md5(even).alias("cluster"))
 
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    return pack(measured(docs, near_copies(docs)), s)
+    """Bins of all documents, with near copies as clusters; texts without words are one cluster."""
+    own = partenum_join.sized_clusters(docs, partenum_join.NEAR)
+    own = own.withColumn("cluster", F.coalesce(F.col("cluster").cast("string"), F.lit("none")))
+    return pack(written(own, "sized-documents"), s)

@@ -279,21 +279,23 @@ def _some(h: np.ndarray, cut: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray,
     return h[own], np.append(0, np.cumsum(size))
 
 
-ROWS = "doc_id long, k1 long, k2 long, n_shingles long, class long, check long, n_sigs long, sketch binary"
+ROWS = "doc_id long, k1 long, k2 long, n_words long, n_shingles long, class long, check long, n_sigs long, sketch binary"
 
 
-def _rows(docs: DataFrame, s: Settings, seed: int) -> DataFrame:
-    """``ROWS`` of every document: the row's key, set size, two digests of the set, and, where the
-    task sees the set for the first time, how many signatures it has at most and its sketch."""
+def _rows(docs: DataFrame, s: Settings, seed: int, source: bool) -> DataFrame:
+    """``ROWS`` of every document (and its source): the row's key, numbers of words and shingles, two
+    digests of the set, and, where the task sees the set for the first time, how many signatures it
+    has at most and its sketch."""
     words.small_batches(docs.sparkSession)
-    own = docs.select("doc_id", "text").select("doc_id", key("1").alias("k1"), key("2").alias("k2"), "text")
+    more = ["source"] if source else []
+    own = docs.select("doc_id", "text", *more).select("doc_id", key("1").alias("k1"), key("2").alias("k2"), "text", *more)
 
     def run(batches):
         import pyarrow as pa
 
         first = _Fresh()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for b in words.blocks(words.column_bytes(batch, "text")):
                 h, cut = shingle_sets(b, s.words)
                 size = np.diff(cut)
@@ -304,13 +306,14 @@ def _rows(docs: DataFrame, s: Settings, seed: int) -> DataFrame:
                 sketch: list[bytes | None] = [None] * len(size)
                 for i, x in zip(fresh.tolist(), sketches(*_some(h, cut, fresh)), strict=True):
                     sketch[i] = x
-                for held, x in zip(out, (size, digest.view(np.int64), _digests(h, cut, 2 * seed + 1).view(np.int64), n_sigs), strict=False):
+                for held, x in zip(out, (b.n_words, size, digest.view(np.int64), _digests(h, cut, 2 * seed + 1).view(np.int64), n_sigs), strict=False):
                     held.append(x)
-                out[4] += sketch
-            columns = [pa.array(np.concatenate(x), pa.int64()) for x in out[:4]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(out[4], pa.binary())], names=["doc_id", "k1", "k2", "n_shingles", "class", "check", "n_sigs", "sketch"])
+                out[5] += sketch
+            columns = [pa.array(np.concatenate(x), pa.int64()) for x in out[:5]]
+            names = ["doc_id", "k1", "k2", "n_words", "n_shingles", "class", "check", "n_sigs", "sketch", *more]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(out[5], pa.binary()), *batch.columns[4:]], names=names)
 
-    return own.mapInArrow(run, ROWS)
+    return own.mapInArrow(run, ROWS + (", source string" if source else ""))
 
 
 class Short(NamedTuple):
@@ -737,33 +740,33 @@ def _forest(placed: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
 
 class Resolved(NamedTuple):
-    rows: DataFrame  # of ROWS but the signatures and sketches
+    rows: DataFrame  # doc_id, k1, k2, n_words, n_shingles, class[, source]
     classes: DataFrame  # class, n_shingles, least, docs, best, component[, links]
     members: DataFrame  # class, n_shingles, docs, component of the candidates
     sets: DataFrame  # class, elements of the candidates
     tables: Tables
 
 
-def _classed(docs: DataFrame, s: Settings, tables: Tables) -> tuple[DataFrame, DataFrame, int]:
+def _classed(docs: DataFrame, s: Settings, tables: Tables, source: bool) -> tuple[DataFrame, DataFrame, int]:
     """Rows and classes, with a seed of the digests that tells all sets apart."""
     seed = 0
     while True:
-        rows = tables.written(_rows(docs, s, seed), "documents")
+        rows = tables.written(_rows(docs, s, seed, source), "documents")
         best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best")
         size = F.max("n_shingles").alias("n_shingles")
         other = ((F.min("check") != F.max("check")) | (F.min("n_shingles") != F.max("n_shingles"))).alias("mixed")
         classes = rows.where("n_shingles > 0").groupBy("class").agg(size, F.min("doc_id").alias("least"), F.count("*").alias("docs"), F.max("n_sigs").alias("n_sigs"), best, F.max("sketch").alias("sketch"), other)
         classes = tables.written(classes, "classes")
         if classes.where("mixed").isEmpty():
-            return rows.select("doc_id", "k1", "k2", "n_shingles", "class"), classes, seed
+            return rows.drop("check", "n_sigs", "sketch"), classes, seed
         tables.drop(rows, classes)
         seed += 1
 
 
-def _resolve(docs: DataFrame, s: Settings, every: bool = False) -> Resolved:
+def _resolve(docs: DataFrame, s: Settings, every: bool = False, source: bool = False) -> Resolved:
     """Components of all classes of equal sets, and the links of each if ``every`` is set."""
     tables = Tables(docs.sparkSession)
-    rows, classes, seed = _classed(docs, s, tables)
+    rows, classes, seed = _classed(docs, s, tables, source)
     n_classes, n_sigs = classes.agg(F.count("*"), F.coalesce(F.sum("n_sigs"), F.lit(0))).collect()[0]
     short = Short(max(32, n_classes.bit_length() + 8), max(1, -(-n_sigs // s.bucket)))
     classes = classes.withColumn("id", F.col("class").bitwiseAND(F.lit((1 << short.bits) - 1)))
@@ -835,6 +838,16 @@ def clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return _documents(r)
 
 
+def sized_clusters(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``doc_id, size, source, cluster`` of every document: its words, and the number of its component
+    (null for an empty set), which is the smallest digest of a set there and no order of rows changes."""
+    r = _resolve(docs, s, source=True)
+    r.tables.drop(r.sets, r.members)
+    of = F.when(F.col("n_shingles") > 0, F.col("class"))
+    out = r.rows.withColumn("class", of).join(r.classes.select("class", F.col("component").alias("cluster")), "class", "left")
+    return out.select("doc_id", F.col("n_words").alias("size"), "source", "cluster")
+
+
 def join(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """All links between classes of equal sets: ``a, b, n_a, n_b, n_both`` (a < b, set sizes and
     intersection), and the class of every document: ``doc_id, n_shingles, class, k1, k2`` (null for
