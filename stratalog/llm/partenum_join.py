@@ -77,7 +77,7 @@ class Settings:
     bucket: int = 1 << 20  # signatures of a bucket
     flush: int = 1 << 21  # signatures that a task holds before it hands them on
     longest: int = 1 << 14  # classes of a list
-    bin: int = 1 << 14  # places in lists that are compared by sketch at once
+    bin: int = 1 << 12  # places in lists that are compared by sketch at once
     block: int = 1024  # classes that are compared with one another at once
     elements: int = 1 << 20  # of a block
     hubs: int = 16  # of a component of several blocks, about
