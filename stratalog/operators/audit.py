@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ordered
+
 
 def leaders_per_term(trace: DataFrame) -> DataFrame:
     """Terms of a group with more than one leader."""
@@ -15,9 +17,8 @@ def leaders_per_term(trace: DataFrame) -> DataFrame:
 
 def term_regressions(trace: DataFrame) -> DataFrame:
     """Events at which a node's term is lower than at its event before."""
-    order = Window.partitionBy("grp", "node").orderBy("event_no")
-    own = trace.select("grp", "node", "event_no", F.lag("term").over(order).alias("term_before"), "term")
-    return own.where(F.col("term") < F.col("term_before"))
+    own = ordered.previous(trace.select("grp", "node", "event_no", "term"), ["grp", "node"], "event_no", {"term_before": "term"})
+    return own.where(F.col("term") < F.col("term_before")).select("grp", "node", "event_no", "term_before", "term")
 
 
 def disagreements(entries: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def disagreements(entries: DataFrame) -> DataFrame:
 def apply_gaps(applied: DataFrame, entries: DataFrame, no_op: int = 1) -> DataFrame:
     """Applied entries ``grp, node, event_no, idx`` out of order, or behind a skipped entry that is
     not a no-op.  ``entries``: ``grp, node, idx, entry_type``, those above the node's snapshot."""
-    order = Window.partitionBy("grp", "node").orderBy("event_no")
-    own = applied.withColumn("idx_before", F.coalesce(F.lag("idx").over(order), F.lit(0)))
+    own = ordered.previous(applied, ["grp", "node"], "event_no", {"_before": "idx"})
+    own = own.withColumn("idx_before", F.coalesce("_before", F.lit(0)))
     backwards = own.where(F.col("idx") <= F.col("idx_before")).select("grp", "node", "event_no", "idx", F.lit("order").alias("reason"))
     # An entry is skipped if its node applied a higher index but never this one.
     done = applied.select("grp", "node", "idx").distinct()
@@ -51,8 +52,8 @@ def lost_commits(restarts: DataFrame, commits: DataFrame) -> DataFrame:
 def quorum_commit(matches: DataFrame, log_terms: DataFrame, current: DataFrame) -> DataFrame:
     """``grp, commit``: the highest index that a majority of ``grp, node, match_idx`` has reached,
     if its entry is of the leader's own term (``log_terms``: grp, idx, term; ``current``: grp, term)."""
-    ordered = matches.groupBy("grp").agg(F.sort_array(F.collect_list("match_idx"), asc=False).alias("m"))
-    at = ordered.select("grp", F.element_at("m", (F.floor(F.size("m") / 2) + 1).cast("int")).alias("commit"))
+    descending = matches.groupBy("grp").agg(F.sort_array(F.collect_list("match_idx"), asc=False).alias("m"))
+    at = descending.select("grp", F.element_at("m", (F.floor(F.size("m") / 2) + 1).cast("int")).alias("commit"))
     own = at.join(log_terms.select("grp", F.col("idx").alias("commit"), F.col("term").alias("entry_term")), ["grp", "commit"]).join(current, "grp")
     return own.where(F.col("entry_term") == F.col("term")).select("grp", "commit")
 
@@ -66,24 +67,22 @@ def votes_won(votes: DataFrame) -> DataFrame:
 def truncated(appends: DataFrame) -> DataFrame:
     """Entries ``grp, pos, idx, ...`` of an append journal that survive: a later append at an index
     voids what was at and above it."""
-    later = Window.partitionBy("grp").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    own = appends.withColumn("_next", F.min("idx").over(later))
+    own = ordered.least_behind(appends, ["grp"], "pos", "idx", "_next")
     return own.where(F.col("_next").isNull() | (F.col("_next") > F.col("idx"))).drop("_next")
 
 
 def term_runs(entries: DataFrame) -> DataFrame:
     """``grp, term, first_idx, last_idx`` of every run of entries of one term, with no index
     missing."""
-    order = Window.partitionBy("grp").orderBy("idx")
-    new = (F.lag("term").over(order) != F.col("term")) | (F.lag("idx").over(order) != F.col("idx") - 1)
-    own = entries.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    own = ordered.previous(entries, ["grp"], "idx", {"_term": "term", "_idx": "idx"})
+    new = F.coalesce((F.col("_term") != F.col("term")) | (F.col("_idx") != F.col("idx") - 1), F.lit(True)).cast("int")
+    own = ordered.running_sum(own, ["grp"], "idx", new, "_run")
     return own.groupBy("grp", "_run").agg(F.first("term").alias("term"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")).drop("_run")
 
 
 def leader_changes(trace: DataFrame) -> DataFrame:
     """``grp, changes``: transitions to another leader; 0 is none."""
-    order = Window.partitionBy("grp", "node").orderBy("event_no")
-    own = trace.where(F.col("leader") != 0).withColumn("_before", F.lag("leader").over(order))
+    own = ordered.previous(trace.where(F.col("leader") != 0), ["grp", "node"], "event_no", {"_before": "leader"})
     return own.groupBy("grp", "node").agg(F.count_if(F.coalesce(F.col("_before") != F.col("leader"), F.lit(True))).alias("changes"))
 
 
@@ -116,7 +115,7 @@ def linearizable(history: DataFrame, most_states: int = 200_000) -> DataFrame:
     as unknown, never as ok.
     """
     names = ["key", *(c for c in history.columns if c != "key")]
-    ordered = history.select(*names).repartition("key").sortWithinPartitions("key", "call_ns", "return_ns")
+    sorted_ = history.select(*names).repartition("key").sortWithinPartitions("key", "call_ns", "return_ns")
 
     def run(batches):
         import pyarrow as pa
@@ -136,7 +135,7 @@ def linearizable(history: DataFrame, most_states: int = 200_000) -> DataFrame:
         if one is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (one.key, one.operations, one.verdict()), strict=True))], schema=schema)
 
-    return ordered.mapInArrow(run, "key string, operations long, verdict string")
+    return sorted_.mapInArrow(run, "key string, operations long, verdict string")
 
 
 class _Search:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import ordered
 
 # Buckets of the request and fsync histograms.
 FIRST_BUCKET, REQUEST_BUCKETS, FSYNC_BUCKETS = 0.0001, 16, 12
@@ -26,8 +27,9 @@ def latency(samples: DataFrame, by: str, value: str) -> DataFrame:
     partial aggregation, and a window over the counts finds where the running count passes each
     rank."""
     counts = samples.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    own = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(by)))
+    own = ordered.running_sum(counts, [by], "_v", F.col("_n"), "_upto")
+    totals = counts.groupBy(F.col(by).alias("_by")).agg(F.sum("_n").alias("_all"))
+    own = own.join(totals, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     picks = [F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * a / b), F.col("_v"))).alias(name) for name, (a, b) in RANKS.items()]
     return own.groupBy(by).agg(F.max("_all").alias("ops"), *picks)
 
@@ -41,7 +43,7 @@ def throughput(samples: DataFrame, by: str, start: Column, end: Column) -> DataF
 def longest_gap(successes: DataFrame, by: str, t: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """Longest time between consecutive successes of each group, among gaps that meet the window
     from ``since`` to ``until``."""
-    own = successes.withColumn("_before", F.lag(t).over(Window.partitionBy(by).orderBy(t)))
+    own = ordered.previous(successes, [by], t, {"_before": t})
     if since is not None:
         own = own.where(F.col(t) >= since)
     if until is not None:

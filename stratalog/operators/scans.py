@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import versions as V
@@ -69,28 +70,77 @@ def scan_commands(scans: DataFrame, versions: DataFrame) -> DataFrame:
     scan_max_bytes``, each over the state just before its index.
 
     A version is visible from its sequence number until the key's next; a scan sees those that
-    are visible at its index and in its range.  The scans are a stated query set, broadcast in
-    blocks of ``SCAN_BLOCK``.
+    are visible at its index and in its range.  Keys are cut into ranges of about ``SCAN_KEYS`` keys
+    and indexes into ranges too, so versions and scans meet by equal ranges.  A scan starts in the
+    range of its first key; one that its bounds have not filled goes on to twice as many ranges as
+    before, so a scan with a small limit reads few keys, and the rounds are as many as the logarithm
+    of the number of ranges.
     """
     from ..schema import PUT
 
     life = Window.partitionBy("key").orderBy("seq")
     v = versions.select("key", "value", "kind", "seq", F.lead("seq").over(life).alias("until")).where(F.col("kind") == PUT)
-    n = scans.count()
-    blocks = max(1, -(-n // SCAN_BLOCK))
+    n_keys, top = versions.agg(F.approx_count_distinct("key"), F.coalesce(F.max("seq"), F.lit(0))).collect()[0]
+    edges = _edges(versions, min(MOST_RANGES, n_keys // SCAN_KEYS))
+    width = F.lit(max(1, int(top) // TIMES))
+    last = F.lit(int(top) + 1)
+    spans = F.sequence(F.floor(F.col("seq") / width), F.floor(F.coalesce(F.col("until"), last) / width))
+    v = _ranged(v, "key", edges).select("key", "value", "seq", "until", F.col("_r").alias("_vr"), F.explode(spans).alias("_vt"))
+
+    limit, most = F.coalesce("scan_limit", F.lit(0)), F.coalesce("scan_max_bytes", F.lit(0))
+    ends = F.when(F.col("scan_end").isNull() | (F.length("scan_end") == 0), F.lit(None)).otherwise(F.col("scan_end"))
+    todo = scans.select("idx", F.coalesce("scan_start", F.lit("")).alias("lo"), ends.alias("hi"), limit.alias("left"), most.alias("bytes"), (limit > 0).alias("few"), (most > 0).alias("small"))
+    # Without bounds all ranges are read at once.
+    todo = _ranged(todo, "lo", edges).withColumns({"_t": F.floor(F.least(F.col("idx"), last) / width), "step": F.when(F.col("few") | F.col("small"), 1).otherwise(len(edges) + 1)})
     out = None
-    for i in range(blocks):
-        own = scans if blocks == 1 else scans.where(F.pmod(F.xxhash64("idx"), F.lit(blocks)) == i)
-        bound = F.col("scan_end").isNull() | (F.length("scan_end") == 0) | (F.col("key") < F.col("scan_end"))
+    while True:
+        each = todo.withColumn("_at", F.explode(F.sequence("_r", F.least(F.col("_r") + F.col("step") - 1, F.lit(len(edges))))))
         sees = (F.col("seq") < F.col("idx")) & (F.col("until").isNull() | (F.col("until") >= F.col("idx")))
-        start = F.col("scan_start").isNull() | (F.col("key") >= F.col("scan_start"))
-        hit = v.join(F.broadcast(own.select("idx", "scan_start", "scan_end", "scan_limit", "scan_max_bytes")), sees & start & bound)
+        inside = (F.col("key") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("key") < F.col("hi")))
+        hit = each.join(v, (F.col("_at") == F.col("_vr")) & (F.col("_t") == F.col("_vt")) & sees & inside)
         order = Window.partitionBy("idx").orderBy("key")
         hit = hit.withColumn("_n", F.row_number().over(order)).withColumn("_before", F.coalesce(F.sum(pair_bytes()).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        limit, most = F.coalesce("scan_limit", F.lit(0)), F.coalesce("scan_max_bytes", F.lit(0))
-        hit = hit.where(((limit <= 0) | (F.col("_n") <= limit)) & ((most <= 0) | (F.col("_before") < most))).select("idx", "key", "value")
+        hit = hit.where((~F.col("few") | (F.col("_n") <= F.col("left"))) & (~F.col("small") | (F.col("_before") < F.col("bytes"))))
+        hit = hit.select("idx", "key", "value").persist()
         out = hit if out is None else out.unionByName(hit)
-    return out
+        done = hit.groupBy("idx").agg(F.count("*").alias("_got"), F.sum(pair_bytes()).alias("_size"))
+        todo = todo.join(done, "idx", "left").withColumns({"left": F.col("left") - F.coalesce("_got", F.lit(0)), "bytes": F.col("bytes") - F.coalesce("_size", F.lit(0)), "_r": F.col("_r") + F.col("step"), "step": F.col("step") * 2}).drop("_got", "_size")
+        beyond = (F.col("_r") <= len(edges)) & (~F.col("few") | (F.col("left") > 0)) & (~F.col("small") | (F.col("bytes") > 0))
+        todo = todo.where(beyond).persist()
+        if todo.isEmpty():
+            return out
 
 
-SCAN_BLOCK = 10_000
+SCAN_KEYS = 64  # of a range of keys, about
+MOST_RANGES = 4096
+TIMES = 64  # ranges of indexes
+
+
+def _edges(versions: DataFrame, ranges: int) -> list[str]:
+    """First keys of all ranges but the first, from a bounded sample; they decide how rows are dealt,
+    never what is found."""
+    if ranges <= 1:
+        return []
+    sample = versions.groupBy("key").agg(F.lit(1).alias("_")).orderBy(F.xxhash64("key")).select("key").limit(16 * MOST_RANGES)
+    keys = sorted(r.key for r in sample.collect())
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+
+
+def _ranged(rows: DataFrame, column: str, edges: list[str]) -> DataFrame:
+    """The rows with ``_r``, the number of edges that are not above the column."""
+    if not edges:
+        return rows.withColumn("_r", F.lit(0))
+    names = rows.columns
+    kinds = rows.schema
+
+    def run(batches):
+        import bisect
+
+        import pyarrow as pa
+
+        at = names.index(column)
+        for b in batches:
+            place = [bisect.bisect_right(edges, x) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int32())], names=[*names, "_r"])
+
+    return rows.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("_r", T.IntegerType())]))

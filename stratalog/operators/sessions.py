@@ -57,7 +57,7 @@ def replies(log: DataFrame, results: DataFrame, columns: tuple[str, ...] = ("fou
     """
     order = Window.partitionBy(*_groups(log), "_client", "_epoch").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     own = _with_session(log).select(*_groups(log), "idx", "dup", "_client", "_epoch")
-    own = own.join(results.select("idx", F.struct(*columns).alias("_r")), "idx", "left")
+    own = own.join(results.select(*_groups(log), "idx", F.struct(*columns).alias("_r")), [*_groups(log), "idx"], "left")
     latest = F.last(F.when(~F.col("dup"), F.col("_r")), ignorenulls=True).over(order)
     at = [*_groups(log), "idx", "dup"]
     return own.select(*at, latest.alias("_r")).select(*at, *(F.col(f"_r.{c}").alias(c) for c in columns))

@@ -11,7 +11,8 @@ from ..schema import FROZEN, GONE, OPEN, SHARDS
 from . import fold, sessions
 
 ADMIN = ("freeze", "import", "purge")
-SMALL = 200_000  # rows of an admin timeline that may be broadcast
+SMALL = 64  # marks that are not cut by ranges of indexes in an as-of join
+RANGES = 4096  # of indexes, at most
 
 
 def default_map(spark: SparkSession, groups: list[int]) -> DataFrame:
@@ -67,20 +68,18 @@ def timeline(admin: DataFrame) -> DataFrame:
 def _as_of(rows: DataFrame, marks: DataFrame, column: str) -> DataFrame:
     """``rows`` with ``column`` of the last mark ``grp, shard, idx`` before each row's index.
 
-    A few marks are broadcast as intervals of indexes; many are merged with the rows and carried
-    forward by a window."""
+    Marks are spans of indexes; spans and rows meet by shard and by range of indexes, so a row is
+    compared with the few spans of its range, and a shard with a third of all rows is many keys."""
     life = Window.partitionBy("grp", "shard").orderBy("idx")
-    spans = marks.select("grp", "shard", F.col("idx").alias("_from"), F.lead("idx").over(life).alias("_to"), column)
-    if marks.limit(SMALL + 1).count() <= SMALL:
-        s = F.broadcast(spans.select(F.col("grp").alias("_g"), F.col("shard").alias("_s"), "_from", "_to", column))
-        on = (F.col("grp") == F.col("_g")) & (F.col("shard") == F.col("_s")) & (F.col("idx") > F.col("_from")) & (F.col("_to").isNull() | (F.col("idx") <= F.col("_to")))
-        return rows.join(s, on, "left").drop("_g", "_s", "_from", "_to")
-    kind = dict(marks.dtypes)[column]
-    both = rows.withColumn("_row", F.lit(True)).withColumn(column, F.lit(None).cast(kind))
-    both = both.unionByName(marks.select("grp", "shard", "idx", column).withColumn("_row", F.lit(False)), allowMissingColumns=True)
-    before = Window.partitionBy("grp", "shard").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.last(F.when(~F.col("_row"), F.struct(F.col(column).alias("x"))), ignorenulls=True).over(before)
-    return both.withColumn(column, carried["x"]).where("_row").drop("_row")
+    n, top = marks.agg(F.count("*"), F.coalesce(F.max("idx"), F.lit(0))).collect()[0]
+    width = F.lit(max(1, int(top) // (min(n, RANGES) if n > SMALL else 1)))
+    last = F.lit(int(top))
+    spans = marks.select(F.col("grp").alias("_g"), F.col("shard").alias("_s"), F.col("idx").alias("_from"), F.lead("idx").over(life).alias("_to"), column)
+    # Ranges end with the last mark: rows beyond it are all of the last range.
+    spans = spans.withColumn("_r", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.coalesce("_to", last) / width))))
+    own = rows.withColumn("_range", F.floor(F.least("idx", last) / width))
+    on = (F.col("grp") == F.col("_g")) & (F.col("shard") == F.col("_s")) & (F.col("_range") == F.col("_r")) & (F.col("idx") > F.col("_from")) & (F.col("_to").isNull() | (F.col("idx") <= F.col("_to")))
+    return own.join(spans, on, "left").drop("_g", "_s", "_r", "_range", "_from", "_to")
 
 
 def with_state(rows: DataFrame, line: DataFrame) -> DataFrame:
@@ -105,8 +104,8 @@ def visible_after_purges(versions: DataFrame, purges: DataFrame) -> DataFrame:
 
 
 def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(state, replies) of a whole log of one or more groups, in index order; an index is used
-    once in the log.
+    """(state, replies) of a whole log of one or more groups, in index order; each group has indexes
+    of its own.
 
     ``log``: ``grp, idx, client_id, req_seq, op, key, value, expected, shard, kvs, last``.
     State: ``grp, key, value``.  Replies: ``grp, idx, dup, found, value, success, client_id,
@@ -129,16 +128,20 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     imported = admin.where(F.col("op") == "import").join(taken, ["grp", "idx"], "left_semi").select("grp", "idx", F.explode("kvs").alias("p"))
     imported = imported.select("grp", "idx", F.lit("put").alias("op"), F.col("p.key").alias("key"), F.col("p.value").alias("value"), F.lit(None).cast(kind).alias("expected"))
     commands = keyed.where(~F.col("moving")).select("grp", "idx", "op", "key", "value", "expected").unionByName(imported)
-    # A purge deletes every key of its shard that had a command before it.
-    keys = commands.groupBy("grp", "key").agg(F.min("idx").alias("since")).withColumn("shard", shard_of(F.col("key")))
-    purges = admin.where(F.col("op") == "purge").select("grp", "shard", F.col("idx").alias("at"))
-    purged = keys.join(purges, ["grp", "shard"]).where(F.col("at") > F.col("since"))
+    # A purge deletes the keys of its shard.  Between two commands of a key, and behind its last one,
+    # only the latest purge matters.
+    purges = admin.where(F.col("op") == "purge").select("grp", "shard", "idx", F.col("idx").alias("at"))
+    placed = commands.select("grp", "idx", "key", shard_of(F.col("key")).alias("shard"))
+    placed = placed.withColumn("since", F.lag("idx").over(Window.partitionBy("grp", "key").orderBy("idx")))
+    between = _as_of(placed, purges, "at").where(F.col("at") > F.col("since")).select("grp", "key", "at")
+    behind = purges.groupBy("grp", "shard").agg(F.max("at").alias("at"))
+    ends = placed.groupBy("grp", "key", "shard").agg(F.max("idx").alias("idx")).join(behind, ["grp", "shard"]).where(F.col("at") > F.col("idx"))
+    purged = between.unionByName(ends.select("grp", "key", "at"))
     purged = purged.select("grp", F.col("at").alias("idx"), F.lit("purge").alias("op"), "key", F.lit(None).cast(kind).alias("value"), F.lit(None).cast(kind).alias("expected"))
     everything = commands.unionByName(purged)
-    by_group = everything.select(F.struct("grp", "key").alias("key"), "idx", "op", "value", "expected")
 
-    state = fold.state(by_group).select("key.grp", "key.key", "value")
-    own = keyed.select("grp", "idx", "moving").join(fold.results(by_group), "idx", "left")
+    state = fold.state(everything).select("grp", "key", "value")
+    own = keyed.select("grp", "idx", "moving").join(fold.results(everything), ["grp", "idx"], "left")
     none, no_value = F.lit(False), F.lit(None).cast(kind)
     done = own.select(
         "grp", "idx", F.coalesce("found", none).alias("found"), F.when(~F.col("moving"), F.col("value")).alias("value"), F.coalesce(F.col("success") & ~F.col("moving"), none).alias("success"),
