@@ -18,6 +18,7 @@ from .operators import audit, benchstats, compaction, fold, scans, sessions, sha
 from .operators import versions as V
 from .plans import access
 from .sources.events_log import command_log, table, versions
+from .sources.segments import Store
 from .streaming import apply, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,9 +91,15 @@ def get_latest(spark, sf_dir):
     return V.get(_versions(spark, sf_dir), "user7")
 
 
-@query(f"WITH {VERSIONS} SELECT key, value, seq FROM (SELECT * FROM versions WHERE key = 'user7' AND seq <= 400 ORDER BY seq DESC LIMIT 1) WHERE kind = 1")
+@query(
+    f"""WITH {VERSIONS}, opening AS (SELECT key, seq FROM versions WHERE kind = 1 ORDER BY seq LIMIT 1),
+found AS (SELECT v.* FROM versions v, opening f WHERE v.key = f.key AND v.seq <= f.seq + 5 ORDER BY v.seq DESC LIMIT 1) SELECT key, value, seq FROM found WHERE kind = 1"""
+)
 def get_as_of(spark, sf_dir):
-    return V.get(_versions(spark, sf_dir), "user7", 400)
+    """The key that is put first, five commands later."""
+    v = _versions(spark, sf_dir)
+    first = v.where("kind = 1").orderBy("seq").select("key", "seq").limit(1).collect()[0]
+    return V.get(v, first.key, first.seq + 5)
 
 
 @query(f"WITH {NEWEST} SELECT * FROM live")
@@ -160,13 +167,14 @@ def scan_merged_group_bounds(spark, sf_dir):
 
 @query(
     f"""WITH {VERSIONS}, life AS (SELECT *, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS until FROM versions),
-scans AS (SELECT idx, key AS lo FROM log WHERE idx % 97 = 0),
+scans AS (SELECT idx, key AS lo FROM log WHERE op = 'get'),
 hit AS (SELECT s.idx, l.key, l.value FROM scans s JOIN life l ON l.kind = 1 AND l.key >= s.lo AND l.seq < s.idx AND (l.until IS NULL OR l.until >= s.idx))
 SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY idx ORDER BY key) <= 5"""
 )
 def scan_commands(spark, sf_dir):
+    """Every get of the log as a scan from its key on."""
     log = command_log(spark, sf_dir)
-    own = log.where(F.col("idx") % 97 == 0).select("idx", F.col("key").alias("scan_start"), F.lit(None).cast("string").alias("scan_end"), F.lit(5).alias("scan_limit"), F.lit(0).alias("scan_max_bytes"))
+    own = log.where(F.col("op") == "get").select("idx", F.col("key").alias("scan_start"), F.lit(None).cast("string").alias("scan_end"), F.lit(5).alias("scan_limit"), F.lit(0).alias("scan_max_bytes"))
     return scans.scan_commands(own, versions(log))
 
 
@@ -286,7 +294,19 @@ def shard_move(spark, sf_dir):
     return shards.move(_grouped(spark, sf_dir), shards.default_map(spark, [2, 3, 4]), 5, 4)[0]
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {NEWEST}"
+    + HASH.format(source="SELECT key FROM live")
+    + """, pairs AS (
+  SELECT 2 + shard % 3 AS part, key, value, strlen(key) + strlen(value) AS size, row_number() OVER (PARTITION BY 2 + shard % 3 ORDER BY key) AS n FROM live JOIN sharded USING (key)),
+cut AS (
+  SELECT part, key, value, n, size AS bytes, 1 AS rows, 0::BIGINT AS chunk FROM pairs WHERE n = 1
+  UNION ALL
+  SELECT p.part, p.key, p.value, p.n, CASE WHEN c.rows >= 7 OR c.bytes + p.size > 60 THEN p.size ELSE c.bytes + p.size END,
+    CASE WHEN c.rows >= 7 OR c.bytes + p.size > 60 THEN 1 ELSE c.rows + 1 END, c.chunk + CASE WHEN c.rows >= 7 OR c.bytes + p.size > 60 THEN 1 ELSE 0 END
+  FROM cut c JOIN pairs p ON p.part = c.part AND p.n = c.n + 1)
+SELECT part, key, value, chunk FROM cut"""
+)
 def import_chunks(spark, sf_dir):
     pairs = _grouped(spark, sf_dir).select(F.col("grp").alias("part"), "key", "value")
     return shards.import_chunks(pairs, 7, 60)
@@ -301,24 +321,79 @@ def request_sizes(spark, sf_dir):
 
 
 def _replay(spark, sf_dir):
-    """The log of one group with a freeze, a purge or an import of one pair now and then."""
+    """Logs of two groups, whose indexes are the same, with a freeze, a purge or an import of one
+    pair now and then."""
     log = command_log(spark, sf_dir)
-    admin = F.when(F.col("idx") % 53 == 0, "freeze").when(F.col("idx") % 59 == 0, "purge").when(F.col("idx") % 61 == 0, "import")
+    i = F.col("idx")
+    admin = F.when(i % 53 == 0, "freeze").when(i % 59 == 0, "purge").when(i % 61 == 0, "import")
     pair = F.array(F.struct("key", "value"))
     return shards.replay(
         log.select(
-            F.lit(1).cast("long").alias("grp"), "idx", F.when(admin.isNull(), F.col("client_id")).otherwise(0).alias("client_id"), "req_seq", F.coalesce(admin, "op").alias("op"), "key", "value", "expected",
-            shard_of(F.col("key")).alias("shard"), pair.alias("kvs"), (F.col("idx") % 2 == 1).alias("last"),
+            (i % 2 + 1).alias("grp"), F.floor(i / 2).alias("idx"), F.when(admin.isNull(), F.col("client_id")).otherwise(0).alias("client_id"), "req_seq", F.coalesce(admin, "op").alias("op"), "key", "value", "expected",
+            shard_of(F.col("key")).alias("shard"), pair.alias("kvs"), (i % 4 >= 2).alias("last"),
         )
     )
 
 
-@query()
+_REPLAY = (
+    f"WITH RECURSIVE {LOG}"
+    + HASH.format(source="SELECT DISTINCT key FROM log")
+    + """, logs AS (
+  SELECT idx % 2 + 1 AS grp, idx // 2 AS idx, CASE WHEN idx % 53 = 0 THEN 'freeze' WHEN idx % 59 = 0 THEN 'purge' WHEN idx % 61 = 0 THEN 'import' END AS admin,
+    client_id, req_seq, op, key, value, expected, shard, idx % 4 >= 2 AS last FROM log JOIN sharded USING (key)),
+marked AS (SELECT * EXCLUDE (op, admin, client_id), coalesce(admin, op) AS op, CASE WHEN admin IS NOT NULL OR client_id = 0 THEN -idx ELSE client_id END AS client FROM logs),
+dups AS (
+  SELECT *, coalesce(req_seq <= max(req_seq) OVER (PARTITION BY grp, client ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS dup FROM marked),
+fresh AS (SELECT * FROM dups WHERE NOT dup),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY grp, shard ORDER BY idx) AS n FROM fresh WHERE op IN ('freeze', 'purge', 'import')),
+line AS (
+  SELECT grp, shard, idx, op, n, true AS accepted, CASE WHEN op = 'purge' THEN 2 WHEN op = 'freeze' THEN 1 WHEN last THEN 0 END AS state FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT a.grp, a.shard, a.idx, a.op, a.n, a.op <> 'import' OR coalesce(l.state = 2, true),
+    CASE WHEN a.op = 'purge' THEN 2 WHEN a.op = 'freeze' THEN CASE WHEN l.state = 2 THEN 2 ELSE 1 END
+      WHEN coalesce(l.state = 2, true) AND a.last THEN 0 ELSE l.state END
+  FROM line l JOIN numbered a ON a.grp = l.grp AND a.shard = l.shard AND a.n = l.n + 1),
+known AS (SELECT grp, shard, idx, state FROM line WHERE state IS NOT NULL),
+keyed AS (SELECT a.*, k.state FROM (SELECT * FROM fresh WHERE op IN ('put', 'delete', 'cas', 'get')) a ASOF LEFT JOIN known k ON a.grp = k.grp AND a.shard = k.shard AND a.idx > k.idx),
+judged AS (SELECT *, CASE WHEN op = 'get' THEN coalesce(state, 0) = 2 ELSE coalesce(state, 0) <> 0 END AS moving FROM keyed),
+commands AS (
+  SELECT grp, idx, op, key, shard, value, expected FROM judged WHERE NOT moving
+  UNION ALL
+  SELECT f.grp, f.idx, 'put', f.key, f.shard, f.value, NULL FROM fresh f JOIN line i ON i.grp = f.grp AND i.idx = f.idx WHERE i.op = 'import' AND i.accepted),
+everything AS (
+  SELECT * FROM commands
+  UNION ALL
+  SELECT p.grp, p.idx, 'purge', k.key, k.shard, NULL, NULL FROM fresh p JOIN (SELECT DISTINCT grp, key, shard FROM commands) k ON k.grp = p.grp AND k.shard = p.shard WHERE p.op = 'purge'),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY grp, key ORDER BY idx) AS n FROM everything),
+folded AS (
+  SELECT grp, key, n, idx, op, NULL::VARCHAR AS before, CASE WHEN op = 'put' OR (op = 'cas' AND expected IS NULL) THEN value END AS after, op = 'cas' AND expected IS NULL AS ok
+  FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.grp, o.key, o.n, o.idx, o.op, f.after,
+    CASE WHEN o.op = 'put' OR (o.op = 'cas' AND f.after IS NOT DISTINCT FROM o.expected) THEN o.value WHEN o.op IN ('delete', 'purge') THEN NULL ELSE f.after END,
+    o.op = 'cas' AND f.after IS NOT DISTINCT FROM o.expected
+  FROM folded f JOIN ordered o ON o.grp = f.grp AND o.key = f.key AND o.n = f.n + 1),
+results AS (
+  SELECT j.grp, j.idx, struct_pack(found := coalesce(j.op IN ('cas', 'get') AND f.before IS NOT NULL, false), value := CASE WHEN j.op IN ('cas', 'get') THEN f.before END,
+    success := coalesce(NOT j.moving AND (j.op IN ('put', 'delete') OR f.ok), false), client_id := 0::BIGINT, moving := j.moving) AS r
+  FROM judged j LEFT JOIN folded f ON f.grp = j.grp AND f.idx = j.idx AND f.op <> 'purge'
+  UNION ALL
+  SELECT grp, idx, struct_pack(found := false, value := NULL::VARCHAR, success := accepted, client_id := 0::BIGINT, moving := false) FROM line)
+"""
+)
+
+
+@query(_REPLAY + "SELECT grp, key, after AS value FROM (SELECT * FROM folded QUALIFY row_number() OVER (PARTITION BY grp, key ORDER BY n DESC) = 1) WHERE after IS NOT NULL")
 def replay_state(spark, sf_dir):
     return _replay(spark, sf_dir)[0]
 
 
-@query()
+@query(
+    _REPLAY
+    + """, got AS (SELECT grp, idx, dup, last_value(CASE WHEN NOT dup THEN r END IGNORE NULLS) OVER (PARTITION BY grp, client ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
+  FROM dups LEFT JOIN results USING (grp, idx))
+SELECT grp, idx, dup, r.found AS found, r.value AS value, r.success AS success, r.client_id AS client_id, r.moving AS moving FROM got"""
+)
 def replay_replies(spark, sf_dir):
     return _replay(spark, sf_dir)[1]
 
@@ -375,6 +450,67 @@ def state_difference(spark, sf_dir):
     return V.equal(V.newest(v).select("key", "value"), V.newest(v, 600).select("key", "value"))
 
 
+_STORED = VERSIONS + """, stored AS (SELECT key, row_number() OVER (ORDER BY seq) AS seq, kind, value FROM versions)"""
+
+
+def _stored(spark, sf_dir, batches: int = 5) -> Store:
+    """A store with the log's puts and deletes, committed in batches."""
+    store = Store(spark, f"{_scratch(spark)}/table")
+    v = _versions(spark, sf_dir).select(F.col("seq").alias("pos"), "key", "value")
+    top = v.agg(F.max("pos")).collect()[0][0]
+    for i in range(batches):
+        store.write(v.where((F.col("pos") > top * i // batches) & (F.col("pos") <= top * (i + 1) // batches)))
+    return store
+
+
+@query(f"WITH {_STORED} SELECT key, value, seq FROM (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE kind = 1")
+def store_scan(spark, sf_dir):
+    return _stored(spark, sf_dir).scan()
+
+
+@query(f"WITH {_STORED} SELECT key, value, seq FROM (SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE kind = 1 AND key >= 'user3' AND key < 'user7'")
+def store_compacted(spark, sf_dir):
+    """A range after a merge of segments and the removal of those that it replaced."""
+    store = _stored(spark, sf_dir)
+    store.compact()
+    store.vacuum()
+    return store.scan("user3", "user7")
+
+
+@query(
+    f"""WITH {_STORED}, half AS (SELECT max(seq) // 2 AS upto FROM stored),
+old AS (SELECT key, value, seq FROM (SELECT * FROM stored WHERE seq <= (SELECT upto FROM half) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE kind = 1),
+gone AS (SELECT min(key) AS key, max(seq) AS top FROM old)
+SELECT old.* FROM old, gone WHERE old.key <> gone.key UNION ALL SELECT 'new', 'one', top + 1 FROM gone"""
+)
+def store_export_restore(spark, sf_dir):
+    """Contents as of half the log, exported, restored elsewhere, then a put and a delete."""
+    store = _stored(spark, sf_dir)
+    at = _scratch(spark)
+    store.export(f"{at}/export", store.manifest().max_seq // 2)
+    other = Store(spark, f"{at}/table")
+    other.put("old", "gone with the restore")
+    other.restore(f"{at}/export")
+    other.put("new", "one")
+    other.delete(other.scan().agg(F.min(F.when(F.col("key") != "new", F.col("key")))).collect()[0][0])
+    return other.scan()
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, true, NULL::VARCHAR), (2, false, '1'), (3, false, '1'), (4, true, '1'), (5, true, '2')) t(step, success, found)")
+def store_cas(spark, sf_dir):
+    """Compare-and-swap on one key: absent, present, wrong, right, and again with the new value."""
+    store = Store(spark, f"{_scratch(spark)}/table")
+    steps = [("1", None), ("x", None), ("x", "2"), ("2", "1"), ("3", "2")]
+    rows = [(i + 1, *store.cas("k", value, expected)) for i, (value, expected) in enumerate(steps)]
+    return spark.createDataFrame(rows, "step long, success boolean, found string")
+
+
+@query(f"WITH {VERSIONS} SELECT count(*) AS entries, count(*) AS max_seq, 5::BIGINT AS commits, 5::BIGINT AS segments FROM versions")
+def store_stats(spark, sf_dir):
+    s = _stored(spark, sf_dir).stats()
+    return spark.createDataFrame([(s["entries"], s["max_seq"], s["commits"], s["segments"])], "entries long, max_seq long, commits long, segments long")
+
+
 # -- audits --------------------------------------------------------------------------------------
 
 
@@ -406,13 +542,13 @@ def _entries(spark, sf_dir):
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select(
         (F.col("user_id") % 3).alias("grp"), (F.col("user_id") % 5).alias("node"), F.floor(e / 5).alias("idx"), F.floor(e / 40).alias("term"),
-        F.when(F.col("event_type") == "view", 1).otherwise(0).alias("entry_type"), F.when(e % 7 == 0, e).otherwise(0).alias("data_hash"), e.alias("event_no"),
+        F.when(F.col("event_type") == "view", 1).otherwise(0).alias("entry_type"), F.when(e % 7 == 0, e).otherwise(0).alias("data_hash"), e.alias("event_no"), F.col("event_type").alias("kind"),
     )
 
 
 _ENTRIES = """entries AS (
   SELECT user_id % 3 AS grp, user_id % 5 AS node, event_id // 5 AS idx, event_id // 40 AS term,
-    CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS entry_type, CASE WHEN event_id % 7 = 0 THEN event_id ELSE 0 END AS data_hash, event_id AS event_no FROM events)"""
+    CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS entry_type, CASE WHEN event_id % 7 = 0 THEN event_id ELSE 0 END AS data_hash, event_id AS event_no, event_type AS kind FROM events)"""
 
 
 @query(f"WITH {_ENTRIES} SELECT grp, idx, count(DISTINCT (term, data_hash)) AS variants FROM entries GROUP BY 1, 2 HAVING count(DISTINCT (term, data_hash)) > 1")
@@ -421,7 +557,7 @@ def audit_commit_agreement(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_ENTRIES}, applied AS (SELECT grp, node, event_no, idx FROM entries WHERE event_no % 11 <> 0),
+    f"""WITH {_ENTRIES}, applied AS (SELECT grp, node, event_no, idx FROM entries WHERE kind <> 'signup'),
 o AS (SELECT *, coalesce(lag(idx) OVER (PARTITION BY grp, node ORDER BY event_no), 0) AS before FROM applied),
 top AS (SELECT grp, node, max(idx) AS top FROM applied GROUP BY 1, 2)
 SELECT grp, node, event_no, idx, 'order' AS reason FROM o WHERE idx <= before
@@ -430,8 +566,9 @@ SELECT e.grp, e.node, NULL AS event_no, e.idx, 'skipped' AS reason FROM entries
 WHERE entry_type <> 1 AND e.idx < top AND NOT EXISTS (SELECT 1 FROM applied a WHERE a.grp = e.grp AND a.node = e.node AND a.idx = e.idx)"""
 )
 def audit_apply_gaps(spark, sf_dir):
+    """Entries of signups were never applied."""
     e = _entries(spark, sf_dir)
-    return audit.apply_gaps(e.where(F.col("event_no") % 11 != 0).select("grp", "node", "event_no", "idx"), e)
+    return audit.apply_gaps(e.where(F.col("kind") != "signup").select("grp", "node", "event_no", "idx"), e)
 
 
 @query(
@@ -511,15 +648,16 @@ def log_truncation(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT 0::BIGINT AS grp, event_id AS idx, event_id // 40 + CASE WHEN event_id % 100 > 90 THEN 5 ELSE 0 END AS term FROM events WHERE event_id % 50 <> 7),
+    """WITH e AS (SELECT 0::BIGINT AS grp, event_id + event_id // 50 AS idx, event_id // 40 + CASE WHEN event_id % 100 > 90 THEN 5 ELSE 0 END AS term FROM events),
 w AS (SELECT *, CASE WHEN coalesce(lag(term) OVER (ORDER BY idx) <> term OR lag(idx) OVER (ORDER BY idx) <> idx - 1, true) THEN 1 ELSE 0 END AS new FROM e),
 r AS (SELECT *, sum(new) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM w)
 SELECT grp, any_value(term) AS term, min(idx) AS first_idx, max(idx) AS last_idx FROM r GROUP BY grp, run"""
 )
 def term_runs(spark, sf_dir):
+    """All events, with an index left out after every 50."""
     e = F.col("event_id")
-    own = table(spark, sf_dir, "events").where(e % 50 != 7)
-    return audit.term_runs(own.select(F.lit(0).cast("long").alias("grp"), e.alias("idx"), (F.floor(e / 40) + F.when(e % 100 > 90, 5).otherwise(0)).alias("term")))
+    own = table(spark, sf_dir, "events")
+    return audit.term_runs(own.select(F.lit(0).cast("long").alias("grp"), (e + F.floor(e / 50)).alias("idx"), (F.floor(e / 40) + F.when(e % 100 > 90, 5).otherwise(0)).alias("term")))
 
 
 @query(
@@ -573,19 +711,23 @@ def throughput(spark, sf_dir):
 
 @query(
     f"""WITH {_SAMPLES}, w AS (SELECT method, t, lag(t) OVER (PARTITION BY method ORDER BY t) AS before FROM samples)
-SELECT method, max(t - before) AS gap FROM w WHERE t >= 100000000 AND (before IS NULL OR before <= 900000000) GROUP BY 1"""
+SELECT method, max(t - before) AS gap FROM w WHERE t >= (SELECT min(t) FROM samples) AND (before IS NULL OR before <= (SELECT max(t) FROM samples)) GROUP BY 1"""
 )
 def longest_gap(spark, sf_dir):
-    return benchstats.longest_gap(_samples(spark, sf_dir), "method", "t", F.lit(100000000), F.lit(900000000))
+    """Over the whole time that the samples take."""
+    s = _samples(spark, sf_dir)
+    since, until = s.agg(F.min("t"), F.max("t")).collect()[0]
+    return benchstats.longest_gap(s, "method", "t", F.lit(since), F.lit(until))
 
 
 @query(
-    f"""WITH {_SAMPLES}, c AS (SELECT t // 100000000 AS bucket, count(*) AS n FROM samples WHERE method <> 'view' OR t % 7 = 0 GROUP BY 1)
-SELECT i AS bucket, coalesce(n, 0) AS n FROM range(20000000000 // 100000000 + 1) r(i) LEFT JOIN c ON c.bucket = i"""
+    f"""WITH {_SAMPLES}, c AS (SELECT t // 1000000 AS bucket, count(*) AS n FROM samples GROUP BY 1)
+SELECT i AS bucket, coalesce(n, 0) AS n FROM range((SELECT max(t) FROM samples) // 1000000 + 1) r(i) LEFT JOIN c ON c.bucket = i"""
 )
 def timeline_buckets(spark, sf_dir):
-    s = _samples(spark, sf_dir).where((F.col("method") != "view") | (F.col("t") % 7 == 0))
-    return benchstats.buckets(s, "t", 100000000, 20000000000)
+    """All samples, in buckets of a millisecond, shorter than the time between most of them."""
+    s = _samples(spark, sf_dir)
+    return benchstats.buckets(s, "t", 1000000, s.agg(F.max("t")).collect()[0][0])
 
 
 @query(
@@ -626,15 +768,24 @@ def short_numbers(spark, sf_dir):
 def _scratch(spark: SparkSession) -> str:
     import tempfile
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp()
     return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query(ORACLES["fold_cas_state"])
 def stream_state(spark, sf_dir):
+    """In several micro-batches, each of a part of the log, so state is carried from one to the next."""
     at = _scratch(spark)
-    command_log(spark, sf_dir).select(*apply.LOG.names).repartitionByRange(4, "idx").sortWithinPartitions("idx").write.parquet(f"{at}/log")
-    return apply.last_states(apply.run_available(apply.results(apply.read_log(spark, f"{at}/log", 4)), f"{at}/out", f"{at}/checkpoint"))
+    log = command_log(spark, sf_dir).select(*apply.LOG.names)
+    top = log.agg(F.max("idx")).collect()[0][0]
+    for i in range(4):
+        own = log.where((F.col("idx") > top * i // 4) & (F.col("idx") <= top * (i + 1) // 4))
+        own.coalesce(1).sortWithinPartitions("idx").write.mode("append").parquet(f"{at}/log")
+    return apply.last_states(apply.run_available(apply.results(apply.read_log(spark, f"{at}/log", 1)), f"{at}/out", f"{at}/checkpoint"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events WHERE ts < (SELECT time_bucket(INTERVAL '1 hour', max(ts)) FROM events) GROUP BY 1")
@@ -649,11 +800,13 @@ def stream_timeline(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT user_id AS transfer, (event_id % 12) * 10 AS offs FROM events WHERE event_id % 17 <> 3),
+    """WITH c AS (SELECT DISTINCT user_id AS transfer, (event_id % 12 + event_id % 12 // (user_id % 7 + 5)) * 10 AS offs FROM events),
 w AS (SELECT *, (row_number() OVER (PARTITION BY transfer ORDER BY offs) - 1) * 10 AS expected FROM c)
 SELECT transfer, offs AS "offset", 10::BIGINT AS size FROM w WHERE offs = expected"""
 )
 def snapshot_chunks(spark, sf_dir):
-    e = F.col("event_id")
-    own = table(spark, sf_dir, "events").where(e % 17 != 3)
-    return timeline.contiguous_chunks(own.select(F.col("user_id").alias("transfer"), ((e % 12) * 10).alias("offset"), F.lit(10).cast("long").alias("size")))
+    """Of each user 12 chunks, with a hole behind the first few."""
+    e = F.col("event_id") % 12
+    hole = F.floor(e / (F.col("user_id") % 7 + 5))
+    own = table(spark, sf_dir, "events")
+    return timeline.contiguous_chunks(own.select(F.col("user_id").alias("transfer"), ((e + hole) * 10).alias("offset"), F.lit(10).cast("long").alias("size")))

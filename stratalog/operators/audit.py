@@ -106,7 +106,8 @@ def event_counts(trace: DataFrame) -> DataFrame:
 
 def linearizable(history: DataFrame, most_states: int = 200_000) -> DataFrame:
     """``key, operations, verdict`` (ok, violation or unknown) of a history of put, delete, get and
-    cas operations: whether some order that respects real time explains every reply.
+    cas operations: whether some order that respects real time explains every reply.  An empty value
+    stands for an absent key, so no operation may write one.
 
     A key's operations stream through in order of their calls and are decided in pieces, cut where
     no operation is pending; the states that a piece may end in are carried into the next, so a

@@ -39,22 +39,22 @@ def _beside(rows: DataFrame, by: list[str], value: Column, over: Column) -> Data
 def running_sum(rows: DataFrame, by: list[str], order: str, value: Column, name: str, size: int = CHUNK, then: tuple = ()) -> DataFrame:
     """``rows`` with the sum of ``value`` up to and including each row, in the order of ``order`` (and
     ``then``, among rows of equal order)."""
-    own = chunked(rows.withColumn("_v", value), order, size)
+    own = chunked(rows.withColumn("__v", value), order, size)
     before = F.sum("_value").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    own = _beside(own, by, F.sum("_v"), before)
-    within = F.sum("_v").over(Window.partitionBy(*by, "_chunk").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn(name, F.coalesce("_beside", F.lit(0)) + within).drop("_v", "_chunk", "_beside")
+    own = _beside(own, by, F.sum("__v"), before)
+    within = F.sum("__v").over(Window.partitionBy(*by, "_chunk").orderBy(order, *then).rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn(name, F.coalesce("_beside", F.lit(0)) + within).drop("__v", "_chunk", "_beside")
 
 
 def previous(rows: DataFrame, by: list[str], order: str, values: dict[str, str], size: int = CHUNK) -> DataFrame:
     """``rows`` with values of the row before, under new names (``values``: name -> column)."""
     s = F.struct(*(F.col(c).alias(n) for n, c in values.items()))
-    own = chunked(rows.withColumn("_v", s), order, size)
+    own = chunked(rows.withColumn("__v", s), order, size)
     before = F.last("_value", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    own = _beside(own, by, F.max_by("_v", F.col(order)), before)
-    near = F.lag("_v").over(Window.partitionBy(*by, "_chunk").orderBy(order))
-    own = own.withColumn("_v", F.coalesce(near, F.col("_beside")))
-    return own.withColumns({n: F.col(f"_v.{n}") for n in values}).drop("_v", "_chunk", "_beside")
+    own = _beside(own, by, F.max_by("__v", F.col(order)), before)
+    near = F.lag("__v").over(Window.partitionBy(*by, "_chunk").orderBy(order))
+    own = own.withColumn("__v", F.coalesce(near, F.col("_beside")))
+    return own.withColumns({n: F.col(f"__v.{n}") for n in values}).drop("__v", "_chunk", "_beside")
 
 
 def least_behind(rows: DataFrame, by: list[str], order: str, value: str, name: str, size: int = CHUNK) -> DataFrame:

@@ -117,7 +117,7 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = sessions.mark_duplicates(log)
     live = marked.where(~F.col("dup"))
     admin = live.where(F.col("op").isin(*ADMIN))
-    line = timeline(admin.select("grp", "shard", "idx", "op", "last"))
+    line = timeline(admin.select("grp", "shard", "idx", "op", "last")).persist()  # it is read four times
     keyed = live.where(F.col("op").isin("put", "delete", "cas", "get")).withColumn("shard", shard_of(F.col("key")))
     keyed = with_state(keyed.select("grp", "idx", "op", "key", "value", "expected", "shard"), line)
     moving = F.when(F.col("op") == "get", ~readable(F.col("state"))).otherwise(~writable(F.col("state")))
@@ -138,7 +138,7 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = placed.groupBy("grp", "key", "shard").agg(F.max("idx").alias("idx")).join(behind, ["grp", "shard"]).where(F.col("at") > F.col("idx"))
     purged = between.unionByName(ends.select("grp", "key", "at"))
     purged = purged.select("grp", F.col("at").alias("idx"), F.lit("purge").alias("op"), "key", F.lit(None).cast(kind).alias("value"), F.lit(None).cast(kind).alias("expected"))
-    everything = commands.unionByName(purged)
+    everything = commands.unionByName(purged).persist()
 
     state = fold.state(everything).select("grp", "key", "value")
     own = keyed.select("grp", "idx", "moving").join(fold.results(everything), ["grp", "idx"], "left")

@@ -52,11 +52,12 @@ def table_statistics(versions: DataFrame) -> DataFrame:
 def put(versions: DataFrame, rows: DataFrame, seq: int) -> DataFrame:
     """Versions with a batch of ``key, value`` (null value deletes) added behind ``seq``, numbered
     in the order of ``pos``."""
-    from pyspark.sql.window import Window
+    from .ordered import running_sum
 
     bad = F.col("key").isNull() | (F.length("key") == 0)
     key = F.when(bad, F.raise_error(F.lit("empty key")).cast(dict(rows.dtypes)["key"])).otherwise(F.col("key"))
-    numbered = rows.select(key.alias("key"), (F.row_number().over(Window.orderBy("pos")) + seq).cast("long").alias("seq"), F.col("value").isNotNull().cast("int").alias("kind"), "value")
+    rows = running_sum(rows.select("pos", "key", "value"), [], "pos", F.lit(1), "_n")
+    numbered = rows.select(key.alias("key"), (F.col("_n") + seq).cast("long").alias("seq"), F.col("value").isNotNull().cast("int").alias("kind"), "value")
     return versions.unionByName(numbered)
 
 

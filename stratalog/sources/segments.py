@@ -24,6 +24,7 @@ from ..functions.hashing import shard_of
 from ..operators import compaction, versions
 from ..operators.compaction import Segment
 from ..plans.access import keyed
+from ..schema import SHARDS
 
 SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("shard", T.IntegerType())])
 
@@ -85,7 +86,11 @@ class Store:
     def _segment(self, num: int, rows: DataFrame) -> Segment:
         name = f"{self.path}/segment-{num:06d}"
         rows = rows.select("key", F.col("seq").cast("long").alias("seq"), F.col("kind").cast("int").alias("kind"), "value").withColumn("shard", shard_of(F.col("key")))
-        rows.repartition("shard").sortWithinPartitions("shard", "key", F.desc("seq")).write.partitionBy("shard").parquet(name)
+        # Ranges of shard and key, so a hot shard is many files; a keyed read skips row groups by their
+        # key statistics and bloom filters.
+        ordered = rows.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key", F.desc("seq"))
+        keys = rows.count() // SHARDS + 16  # of a file, about
+        ordered.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(keys)).partitionBy("shard").parquet(name)
         facts = self.spark.read.schema(SCHEMA).parquet(name).agg(F.count("*"), F.min("key"), F.max("key")).collect()[0]
         size = self._fs.getContentSummary(self._jpath(name)).getLength()
         return Segment(num, size, facts[0], facts[1], facts[2])
