@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .functions.hashing import shard_of
-from .operators import audit, benchstats, compaction, fold, scans, sessions, shards
+from .operators import audit, benchstats, compaction, fold, moves, scans, sessions, shards
 from .operators import versions as V
 from .plans import access
 from .sources.events_log import command_log, table, versions
@@ -685,6 +685,115 @@ def linearizability(spark, sf_dir):
     return audit.linearizable(history)
 
 
+def _journal(spark, sf_dir):
+    e = F.col("event_id")
+    kind = F.when(F.col("event_type") == "signup", "state").when((F.col("event_type") == "error") & (e % 40 == 0), "snapshot").otherwise("entry")
+    idx = F.floor(e / 2) - F.when(F.col("event_type") == "click", e % 9).otherwise(0)
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("grp"), e.alias("pos"), kind.alias("kind"), idx.alias("idx"), F.floor(e / 40).alias("term"))
+
+
+_JOURNAL = """journal AS (
+  SELECT user_id % 3 AS grp, event_id AS pos, CASE WHEN event_type = 'signup' THEN 'state' WHEN event_type = 'error' AND event_id % 40 = 0 THEN 'snapshot' ELSE 'entry' END AS kind,
+    event_id // 2 - CASE WHEN event_type = 'click' THEN event_id % 9 ELSE 0 END AS idx, event_id // 40 AS term FROM events)"""
+
+
+@query(
+    f"""WITH {_JOURNAL}, e AS (SELECT grp, pos, idx, term, min(idx) OVER (PARTITION BY grp ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM journal WHERE kind = 'entry'),
+s AS (SELECT grp, max(idx) AS snap FROM journal WHERE kind = 'snapshot' GROUP BY 1)
+SELECT e.grp, pos, idx, term FROM e LEFT JOIN s USING (grp) WHERE (next IS NULL OR next > idx) AND (snap IS NULL OR idx > snap)"""
+)
+def log_repair(spark, sf_dir):
+    return audit.repaired(_journal(spark, sf_dir))
+
+
+@query(f"WITH {_JOURNAL} SELECT grp, term, pos FROM journal WHERE kind = 'state' QUALIFY row_number() OVER (PARTITION BY grp ORDER BY pos DESC) = 1")
+def hard_state(spark, sf_dir):
+    return audit.hard_state(_journal(spark, sf_dir))
+
+
+@query(
+    """WITH p AS (SELECT user_id % 3 AS grp, event_id AS idx, event_id // 40 AS term FROM events),
+e AS (SELECT grp, idx, term + CASE WHEN idx % 11 = 0 THEN 1 ELSE 0 END AS term FROM p WHERE idx <= (SELECT max(idx) * 9 // 10 FROM p))
+SELECT p.grp, p.idx, p.term, CASE WHEN e.term IS NULL THEN 'pending' WHEN e.term = p.term THEN 'committed' ELSE 'rejected' END AS outcome FROM p LEFT JOIN e ON e.grp = p.grp AND e.idx = p.idx"""
+)
+def proposals_settled(spark, sf_dir):
+    """Proposals at every index; the last tenth has no entry yet."""
+    i = F.col("event_id")
+    p = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("grp"), i.alias("idx"), F.floor(i / 40).alias("term"))
+    known = p.agg(F.floor(F.max("idx") * 9 / 10)).collect()[0][0]
+    return audit.settled(p, p.where(F.col("idx") <= known).withColumn("term", F.col("term") + (F.col("idx") % 11 == 0).cast("long")))
+
+
+@query(f"WITH {_TRACE}, w AS (SELECT *, row_number() OVER (PARTITION BY grp, node ORDER BY event_no DESC) AS n, count(*) OVER (PARTITION BY grp, node) AS events FROM trace) SELECT grp, node, term, commit, leader, events FROM w WHERE n = 1")
+def group_metrics(spark, sf_dir):
+    return audit.group_metrics(_trace(spark, sf_dir))
+
+
+@query("SELECT event_id // 3 * 10 AS at, event_id AS seq FROM events")
+def event_order(spark, sf_dir):
+    e = F.col("event_id")
+    return audit.in_time_order(table(spark, sf_dir, "events").select((F.floor(e / 3) * 10).alias("at"), e.alias("seq")))
+
+
+@query(f"WITH {_ENTRIES} SELECT grp, idx, count(DISTINCT (term, data_hash)) AS prints FROM entries GROUP BY 1, 2")
+def entry_fingerprints(spark, sf_dir):
+    e = _entries(spark, sf_dir).withColumn("print", scalars.fingerprint(F.col("term"), F.col("data_hash")))
+    return e.groupBy("grp", "idx").agg(F.countDistinct("print").alias("prints"))
+
+
+@query(f"WITH {VERSIONS} SELECT key, seq, kind, row_number() OVER (ORDER BY key, seq DESC) AS place FROM versions")
+def internal_key_order(spark, sf_dir):
+    """Versions in the order of their sort keys, which is split again into key, number and kind."""
+    from .operators.ordered import running_sum
+
+    v = _versions(spark, sf_dir).select(scalars.internal_key(F.col("key"), F.col("seq"), F.col("kind")).alias("k"))
+    ranked = v.orderBy("k").select("k", F.monotonically_increasing_id().alias("at"))
+    placed = running_sum(ranked, [], "at", F.lit(1), "place")
+    return placed.select("k.key", (-F.col("k.newest_first")).alias("seq"), "k.kind", "place")
+
+
+@query(f"WITH {NEWEST} SELECT * FROM live WHERE key IN (SELECT 'user' || c_custkey FROM customer)")
+def get_many(spark, sf_dir):
+    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("user"), "c_custkey").alias("key"))
+    return V.get_many(_versions(spark, sf_dir), keys)
+
+
+@query(
+    f"""WITH {VERSIONS}, opening AS (SELECT key, seq FROM versions WHERE kind = 1 ORDER BY seq LIMIT 1),
+found AS (SELECT v.* FROM versions v, opening f WHERE v.key = f.key AND v.seq <= f.seq + 5 ORDER BY v.seq DESC LIMIT 1)
+SELECT mode, key, value FROM found, (VALUES ('log'), ('index')) m(mode) WHERE kind = 1"""
+)
+def read_modes(spark, sf_dir):
+    """The key that is put first, five commands later, by both modes."""
+    log = command_log(spark, sf_dir).where(F.col("op").isin("put", "delete"))
+    first = log.where("op = 'put'").orderBy("idx").select("key", "idx").limit(1).collect()[0]
+    both = [access.read(log, first.key, mode, first.idx + 5).select(F.lit(mode).alias("mode"), "key", "value") for mode in ("log", "index")]
+    return both[0].unionByName(both[1])
+
+
+@query(f"WITH {LOG} SELECT client_id, idx, row_number() OVER (PARTITION BY client_id ORDER BY idx) AS req_seq FROM log")
+def session_sequence(spark, sf_dir):
+    return sessions.number_requests(command_log(spark, sf_dir).select("client_id", "idx"))
+
+
+@query(_GROUPED + " SELECT CASE WHEN shard = 5 THEN 4 ELSE grp END AS grp, key, value FROM grouped JOIN sharded USING (key)")
+def shard_move_resumed(spark, sf_dir):
+    """A move that is stopped before each of its steps and run again; what the owning groups hold then."""
+    groups = moves.Groups(spark, _scratch(spark))
+    groups.create_map([2, 3, 4])
+    none = F.lit(None).cast("string")
+    live = shards.route(V.newest(_versions(spark, sf_dir)), groups.map_rows())
+    groups.append(
+        live.select(
+            "grp", F.col("seq").alias("idx"), F.lit(0).cast("long").alias("client_id"), F.lit(0).cast("long").alias("req_seq"), F.lit("put").alias("op"), "key", "value", none.alias("expected"), "shard",
+            F.lit(None).cast("array<struct<key:string,value:string>>").alias("kvs"), F.lit(False).alias("last"),
+        )
+    )
+    for step in ("freeze", "import", "purge", "flip", None):
+        groups.move(5, 4, max_rows=3, stop_before=step)
+    return shards.owned(groups.pairs(), groups.map_rows()).select("grp", "key", "value")
+
+
 # -- benchmark statistics ------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import scans, shards
+from .operators import moves, scans, shards
 from .sources.segments import Store
 
 
@@ -15,7 +15,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stratalog")
     p.add_argument("table", help="path of the table, in any store that Spark reaches")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"get": ["key"], "put": ["key", "value"], "delete": ["key"], "cas": ["key", "value"], "scan": [], "shards": [], "compact": [], "vacuum": [], "stats": [], "export": ["path"], "restore": ["path"]}.items():
+    for name, args in {"get": ["key"], "put": ["key", "value"], "delete": ["key"], "cas": ["key", "value"], "scan": [], "shards": [], "compact": [], "vacuum": [], "stats": [], "export": ["path"], "restore": ["path"], "map": [], "move": ["shard", "group"]}.items():
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a)
@@ -33,6 +33,11 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     """Lines of output."""
+    if args.command in ("map", "move"):  # of the logs of several groups
+        groups = moves.Groups(spark, args.table)
+        if args.command == "move":
+            return groups.move(int(args.shard), int(args.group))
+        return [f"{s}\t{g}" + (f"\tmoving to {to}" if to else "") for s, (g, to) in sorted(groups.map().items())]
     store = Store(spark, args.table)
     if args.command == "get":
         return [r.value for r in store.get(args.key, args.as_of).collect()] or ["not found"]

@@ -71,6 +71,40 @@ def truncated(appends: DataFrame) -> DataFrame:
     return own.where(F.col("_next").isNull() | (F.col("_next") > F.col("idx"))).drop("_next")
 
 
+def repaired(records: DataFrame) -> DataFrame:
+    """``grp, pos, idx, term`` of the entries that a journal of records ``grp, pos, kind, idx, term``
+    (kind: entry, state or snapshot) leaves: those that no later entry at or below their index voids
+    and that lie above the last snapshot."""
+    entries = truncated(records.where(F.col("kind") == "entry").select("grp", "pos", "idx", "term"))
+    snapshots = records.where(F.col("kind") == "snapshot").groupBy("grp").agg(F.max("idx").alias("_snap"))
+    return entries.join(snapshots, "grp", "left").where(F.col("_snap").isNull() | (F.col("idx") > F.col("_snap"))).drop("_snap")
+
+
+def hard_state(records: DataFrame) -> DataFrame:
+    """``grp, term, pos`` of the newest state record of each group's journal."""
+    states = records.where(F.col("kind") == "state")
+    return states.groupBy("grp").agg(F.max_by("term", "pos").alias("term"), F.max("pos").alias("pos"))
+
+
+def settled(proposals: DataFrame, entries: DataFrame) -> DataFrame:
+    """Proposals ``grp, idx, term`` with ``outcome``: committed if the entry ``grp, idx, term`` that came
+    to stand at their index is of their term, rejected if it is of another, else pending."""
+    own = proposals.join(entries.select("grp", "idx", F.col("term").alias("_term")), ["grp", "idx"], "left")
+    outcome = F.when(F.col("_term").isNull(), "pending").when(F.col("_term") == F.col("term"), "committed").otherwise("rejected")
+    return own.select("grp", "idx", "term", outcome.alias("outcome"))
+
+
+def group_metrics(trace: DataFrame) -> DataFrame:
+    """Gauges and counters of each node: its newest term, commit and leader, and its events."""
+    newest = F.max_by(F.struct("term", "commit", "leader"), "event_no").alias("s")
+    return trace.groupBy("grp", "node").agg(newest, F.count("*").alias("events")).select("grp", "node", "s.term", "s.commit", "s.leader", "events")
+
+
+def in_time_order(events: DataFrame) -> DataFrame:
+    """Events ``at, seq`` by time, and by their number where times are equal."""
+    return events.orderBy("at", "seq")
+
+
 def term_runs(entries: DataFrame) -> DataFrame:
     """``grp, term, first_idx, last_idx`` of every run of entries of one term, with no index
     missing."""

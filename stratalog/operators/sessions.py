@@ -42,6 +42,12 @@ def mark_duplicates(log: DataFrame) -> DataFrame:
     return own.withColumn("dup", dup).drop("_client", "_epoch", "_seq")
 
 
+def number_requests(requests: DataFrame) -> DataFrame:
+    """Requests ``client_id, idx`` with ``req_seq``: 1, 2, ... of each client, reads too."""
+    order = Window.partitionBy("client_id").orderBy("idx")
+    return requests.withColumn("req_seq", F.row_number().over(order).cast("long"))
+
+
 def sessions(log: DataFrame) -> DataFrame:
     """``client_id, seq`` of every session after the log."""
     seq = F.when(F.col("op") == "register", F.lit(0)).otherwise(F.col("req_seq"))

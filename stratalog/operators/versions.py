@@ -28,6 +28,11 @@ def get(versions: DataFrame, key, as_of: int | None = None) -> DataFrame:
     return newest(versions.where(F.col("key") == F.lit(key)), as_of)
 
 
+def get_many(versions: DataFrame, keys: DataFrame, as_of: int | None = None) -> DataFrame:
+    """Newest rows of the keys of another table; only their versions are aggregated."""
+    return newest(versions.join(keys.select("key").distinct(), "key", "left_semi"), as_of)
+
+
 def in_range(start=None, end=None, column: str = "key") -> Column:
     """``start <= key < end`` in byte order; a null bound is none."""
     out = F.lit(True)

@@ -26,3 +26,15 @@ def state(log: DataFrame, ordered: bool | None = None) -> DataFrame:
     put = F.col("op") == "put"
     v = log.where(F.col("op").isin("put", "delete")).select("key", F.col("idx").alias("seq"), put.cast("int").alias("kind"), F.when(put, F.col("value")).alias("value"))
     return versions.newest(v).select("key", "value")
+
+
+def read(log: DataFrame, key: str, mode: str, at: int) -> DataFrame:
+    """``key, value`` at an index of the log, of at most one row.  Mode ``log`` orders the read among the
+    commands and folds them up to there; ``index`` reads a state that has applied at least that much,
+    here by versions.  Both give the same, as long as the log has no compare-and-swap."""
+    own = log.where((F.col("key") == F.lit(key)) & (F.col("idx") <= at))
+    if mode == "log":
+        return fold.state(own).select("key", "value")
+    if mode == "index":
+        return state(own, ordered=False)
+    raise ValueError(f"no read mode {mode}")
