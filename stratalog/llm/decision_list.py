@@ -48,11 +48,8 @@ FEATURES = ("n_words", "chars_per_word", "symbols_per_word", "capitals_per_word"
 @dataclass(frozen=True)
 class Settings:
     max_train: int = 6000  # bound of the labelled sample
-    max_rules: int = 12
-    max_conditions: int = 4
     min_precision: float = 0.8  # of a rule, on the part that it was not grown on
     min_cover: int = 3
-    thresholds: int = 64  # candidates a feature, at even steps of the sorted values
 
 
 @dataclass(frozen=True)
@@ -161,28 +158,25 @@ def _gain(p0: int, n0: int, p: int, n: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def _best(rows: list[dict], s: Settings) -> tuple[float, Condition | None]:
+def _best(rows: list[dict]) -> Condition | None:
+    """The condition with the highest gain, among all cuts between two values of a feature."""
     p0 = sum(r["bad"] for r in rows)
     n0 = len(rows) - p0
-    best: tuple[float, Condition | None] = (1e-9, None)
+    best, out = 1e-9, None
     for f in FEATURES:
         ordered = sorted((r[f], r["bad"]) for r in rows)
-        bad = [0]
-        for _, y in ordered:
-            bad.append(bad[-1] + y)
-        step = max(1, len(ordered) // s.thresholds)
-        for i in range(step, len(ordered), step):
-            while i < len(ordered) and ordered[i][0] == ordered[i - 1][0]:
-                i += 1
-            if i == len(ordered):
-                break
-            cut = (ordered[i][0] + ordered[i - 1][0]) / 2
-            cut = cut if cut > ordered[i - 1][0] else ordered[i][0]
-            for at_least, p, k in ((False, bad[i], i), (True, p0 - bad[i], len(ordered) - i)):
+        bad = 0
+        for i in range(1, len(ordered)):
+            value, y = ordered[i - 1]
+            bad += y
+            if ordered[i][0] == value:
+                continue
+            for at_least, p, k in ((False, bad, i), (True, p0 - bad, len(ordered) - i)):
                 g = _gain(p0, n0, p, k - p)
-                if g > best[0]:
-                    best = (g, Condition(f, at_least, cut))
-    return best
+                if g > best:
+                    cut = (ordered[i][0] + value) / 2
+                    best, out = g, Condition(f, at_least, cut if cut > value else ordered[i][0])
+    return out
 
 
 def _covers(rule: Rule, rows: list[dict]) -> list[dict]:
@@ -200,11 +194,11 @@ def learn(rows: list[dict], s: Settings = Settings()) -> list[Rule]:
     rules are grown on the rows whose part is not 0 and pruned on the others."""
     grow, check = [r for r in rows if r["part"]], [r for r in rows if not r["part"]]
     rules: list[Rule] = []
-    while len(rules) < s.max_rules and any(r["bad"] for r in grow):
+    while any(r["bad"] for r in grow):
         rule: Rule = ()
         own = grow
-        while len(rule) < s.max_conditions and any(not r["bad"] for r in own):
-            c = _best(own, s)[1]
+        while any(not r["bad"] for r in own):
+            c = _best(own)
             if c is None:
                 break
             rule, own = (*rule, c), _covers((c,), own)
