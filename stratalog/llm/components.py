@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import Tables
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,14 +16,18 @@ def components(links: DataFrame) -> DataFrame:
     long chains need few rounds.  A node with very many links costs one row a task, as minima are
     taken before rows are shuffled.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    tables = Tables(links.sparkSession)
+    both = tables.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = tables.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        taken = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "m").alias("new"))
-        up = labels.select(F.col("node").alias("new"), F.col("component").alias("above"))
+        now = labels.select("node", "component")
+        near = both.join(now, both.b == now.node).groupBy("a").agg(F.min("component").alias("m"))
+        taken = now.join(near, now.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "m").alias("new"))
+        up = now.select(F.col("node").alias("new"), F.col("component").alias("above"))
         moved = taken.join(up, "new", "left").select("node", "old", F.least("new", "above").alias("component"))
-        moved = written(moved, "labels")
-        labels = moved.select("node", "component")
+        moved = tables.written(moved, "labels")
+        tables.drop(labels)
+        labels = moved
         if moved.where(F.col("old") != F.col("component")).isEmpty():
-            return labels
+            tables.drop(both)
+            return moved.select("node", "component")

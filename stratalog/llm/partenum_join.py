@@ -597,7 +597,9 @@ def _candidates(lists: DataFrame, classes: DataFrame, s: Settings, tables: Table
     # Classes with one short id are one in the lists.
     same = classes.groupBy("id").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").select("id", "a")
     clash = classes.join(same, "id").select("a", F.col("class").alias("b")).where("a != b")
-    return tables.written(found.unionByName(clash), "candidates")
+    out = tables.written(found.unionByName(clash), "candidates")
+    tables.drop(own)
+    return out
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
@@ -776,7 +778,7 @@ def _resolve(docs: DataFrame, s: Settings, every: bool = False, source: bool = F
     labels = components(edges)
     of = classes.join(labels, classes["class"] == labels.node)
     members = tables.written(of.select("class", "n_shingles", "docs", "component", "best.k1", "best.k2"), "candidate-classes")
-    tables.drop(lists)
+    tables.drop(lists, edges)
     sets = tables.written(_elements(docs, members.select("class", "k1", "k2"), s), "sets")
     sized = _sized(members.select("class", "n_shingles", "docs", "component"), s)
     placed = _placed(sized, s, every)
@@ -792,6 +794,7 @@ def _resolve(docs: DataFrame, s: Settings, every: bool = False, source: bool = F
         counts = found.groupBy("class").agg(F.sum("links").alias("links"))
         classes = classes.join(counts, "class", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     classes = tables.written(classes.drop("sketch", "mixed", "n_sigs", "id"), "components")
+    tables.drop(found)
     return Resolved(rows, classes, members, sets, tables)
 
 

@@ -675,6 +675,51 @@ def test_windows_cover_every_text():
         assert set().union(*(range(a, z) for a, z in own)) == set(range(k))
 
 
+def naive_toxicity(text, p, s):
+    """The highest window's score, a word and a unit at a time."""
+    found = []
+    for w in WORD.findall(text):
+        w = w.strip("".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()))
+        if w:
+            (b,) = words.blocks([w.encode()], strip=True)
+            slot, grams, _ = toxicity_rnn.word_inputs(b, s)
+            found.append(p["E_word"][slot[0]].astype(float) + sum(p["E_char"][g].astype(float) for g in grams) / np.sqrt(len(grams)))
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def states(xs, d):
+        h, out = np.zeros(s.hidden), []
+        for x in xs:
+            a = x @ p["W" + d] + p["c" + d]
+            z, r = (sigmoid(a[k * s.hidden : (k + 1) * s.hidden] + h @ p["U" + d][:, k * s.hidden : (k + 1) * s.hidden]) for k in (0, 1))
+            n = np.tanh(a[2 * s.hidden :] + (r * h) @ p["U" + d][:, 2 * s.hidden :])
+            h = z * h + (1 - z) * n
+            out.append(h)
+        return out
+
+    best = -np.inf
+    for lo, hi in toxicity_rnn.spans(len(found), s):
+        own = found[lo:hi]
+        both = [np.concatenate(x) for x in zip(states(own, "f"), reversed(states(own[::-1], "b")), strict=True)]
+        pooled = np.zeros(2 * s.hidden)
+        if both:
+            e = np.exp([float(h @ p["a"]) for h in both])
+            pooled = sum(w * h for w, h in zip(e / e.sum(), both, strict=True))
+        best = max(best, float(pooled @ p["o"] + p["bias"][0]))
+    return sigmoid(best)
+
+
+def test_scores_equal_a_naive_network_over_all_windows():
+    s = toxicity_rnn.Settings(window=12, stride=7)
+    rng = np.random.default_rng(4)
+    p = {k: (v + rng.normal(size=v.shape) * 0.4).astype(np.float32) for k, v in toxicity_rnn.initial(s).items()}
+    texts = ["", " \n", "one", "One, two!", awkward.prose(1, 12), awkward.prose(2, 13), awkward.prose(3, 90), "### !! naïve É 日本 x" * 3, "word " * 40]
+    got = toxicity_rnn.scores([t.encode() for t in texts], p, s)
+    want = [naive_toxicity(t, p, s) for t in texts]
+    assert np.allclose(got, want, atol=1e-4) and len(set(np.round(want, 3))) > 5
+
+
 def test_a_toxic_word_anywhere_in_a_long_text_is_found():
     rng = random.Random(0)
     bad = ["vequra", "vequlo", "zotta"]
