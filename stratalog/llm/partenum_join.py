@@ -312,10 +312,14 @@ def _rows(docs: DataFrame, s: Settings, seed: int, source: bool) -> DataFrame:
             columns = [pa.array(np.concatenate(x), pa.int64()) for x in out[:5]]
             names = ["doc_id", "k1", "k2", "n_words", "n_shingles", "class", "check", "n_sigs", "sketch", *more]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(out[5], pa.binary()), *batch.columns[4:]], names=names)
+        words.release()
 
     return own.mapInArrow(run, ROWS + (", source string" if source else ""))
 
 
+HANDED = 1 << 22  # bytes of signatures in a batch that a task hands on
+
+
 class Short(NamedTuple):
     """Short ids of classes, and the numbers that hold such an id and a part of a signature."""
 
@@ -337,17 +341,17 @@ def _buckets(docs: DataFrame, s: Settings, seed: int, short: Short) -> DataFrame
         n = 0
 
         def flush():
+            # No more than three arrays of all numbers at once, and none copied to be handed on.
             numbers, bucket = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            held.clear()
             order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
+            numbers, bucket = numbers[order].astype("<u8", copy=False), bucket[order]
+            del order
             edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            data = np.ascontiguousarray(numbers[order]).astype("<u8").tobytes()
-            for lo in range(0, len(edge), 1 << 12):
-                some = edge[lo : lo + (1 << 12)]
-                end = edge[lo + len(some)] if lo + len(some) < len(edge) else len(order)
-                at = (np.append(some, end) - some[0]) * 8
-                payload = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data[some[0] * 8 : end * 8])])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[some].astype(np.int64)), payload], names=["bucket", "payload"])
+            at = np.append(edge, len(numbers)) * 8
+            for lo, hi in _spans(np.diff(at), HANDED):
+                payload = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((at[lo : hi + 1] - at[lo]).astype(np.int32)), pa.py_buffer(numbers[at[lo] // 8 : at[hi] // 8])])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[lo:hi]].astype(np.int64)), payload], names=["bucket", "payload"])
 
         for batch in batches:
             for b in words.blocks(words.column_bytes(batch, "text")):
@@ -358,11 +362,13 @@ def _buckets(docs: DataFrame, s: Settings, seed: int, short: Short) -> DataFrame
                 bucket = (sig >> U(32)) * U(short.buckets) >> U(32)
                 held.append(((sig << U(short.bits)) | short.ids(digest[fresh])[owner], bucket.astype(np.uint16 if short.buckets <= 1 << 16 else np.uint32)))
                 n += len(sig)
+                del sig, owner, bucket
                 if n >= s.flush:
                     yield from flush()
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from flush()
+        words.release()
 
     return docs.select("text").mapInArrow(run, "bucket long, payload binary")
 
@@ -457,6 +463,9 @@ class _Forest:
         self.edges += zip(nodes[moved].tolist(), nodes[label[moved]].tolist(), strict=True)
 
 
+GATHERED = 1 << 18  # words of the sketches of pairs that are compared at once, on each side
+
+
 class _Sketches:
     """Lower bounds of the differences of numbered classes."""
 
@@ -487,8 +496,8 @@ class _Sketches:
             x, y = c >> 32, c & 0xFFFFFFFF
             w = min(x, y)
             at = live[code == c]
-            for lo in range(0, len(at), 1 + (1 << 22) // w):
-                some = at[lo : lo + 1 + (1 << 22) // w]
+            for lo in range(0, len(at), 1 + GATHERED // w):
+                some = at[lo : lo + 1 + GATHERED // w]
                 p, q = (self._folded(self.rows[v][self.place[z[some]]], w) for v, z in ((x, a), (y, b)))
                 out[some] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) * (100 + self.percent) <= most[some]
         return out
@@ -625,6 +634,7 @@ def _elements(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
                 flat, at = _some(h, cut, new)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(cls[b.lo + new], pa.int64()), lists], names=["class", "elements"])
+        words.release()
 
     return own.mapInArrow(run, "class long, elements array<long>")
 

@@ -191,6 +191,19 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def release() -> None:
+    """Hands free memory that a worker's allocators hold back to the system, at a task's end: workers
+    wait for further tasks, and an executor's share is that of all its workers."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(spark, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows in this session, so that long texts fit a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,9 +1,12 @@
+import functools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratalog.llm import chat_collapse, conflict_packing, contiguous_shards, decision_list, decontaminate, partenum_join, quality_ftrl, repair_tokens, toxicity_rnn, warc_derivatives, words
@@ -445,6 +448,65 @@ def test_linked_sets_share_a_signature():
     assert linked > 200
 
 
+def test_a_task_holds_few_copies_of_its_signatures(monkeypatch):
+    """What is handed on is every signature in its bucket; at no time are there five arrays of them."""
+    released = []
+    monkeypatch.setattr(words, "release", lambda: released.append(1), raising=False)
+    monkeypatch.setattr(words, "blocks", functools.partial(words.blocks, target=1 << 16))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, row)) for row in rng.integers(0, 10**6, (6000, 200)).tolist()]
+    s, short = partenum_join.Settings(flush=1 << 19), partenum_join.Short(32, 50)
+    batches = [pa.record_batch({"text": texts[lo : lo + 1000]}) for lo in range(0, len(texts), 1000)]
+    want = {}
+    for b in words.blocks([t.encode() for t in texts]):
+        h, cut = partenum_join.shingle_sets(b, s.words)
+        sig, owner = partenum_join.owned_signatures(h, cut, s)
+        number = (sig << np.uint64(32)) | short.ids(partenum_join._digests(h, cut, 0))[owner]
+        for k, x in zip(((sig >> np.uint64(32)) * np.uint64(50) >> np.uint64(32)).tolist(), number.tolist(), strict=True):
+            n, total = want.get(k, (0, 0))
+            want[k] = n + 1, (total + x) % (1 << 64)
+    assert sum(n for n, _ in want.values()) > s.flush
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    got = {}
+    tracemalloc.start()
+    for out in partenum_join._buckets(Docs(), s, 0, short)(iter(batches)):
+        assert out.nbytes < 1 << 23
+        for k, data in zip(out.column(0).to_pylist(), out.column(1), strict=True):
+            x = np.frombuffer(data.as_buffer(), dtype="<u8")
+            n, total = got.get(k, (0, 0))
+            got[k] = n + len(x), (total + int(x.sum(dtype=np.uint64))) % (1 << 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and released
+    assert peak < 5 * 8 * s.flush
+
+
+def test_sketches_of_many_pairs_are_compared_in_little_memory():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)) for _ in range(200)]
+    sets += [np.unique(np.concatenate([x[: 1000 - 5 * i], rng.integers(0, 1 << 63, 5 * i, dtype=np.uint64)])) for i, x in enumerate(sets[:40])]
+    cut = np.append(0, np.cumsum([len(x) for x in sets]))
+    data = partenum_join.sketches(np.concatenate(sets), cut)
+    a, b = np.triu_indices(len(sets), 1)
+    a, b = np.tile(a, 4), np.tile(b, 4)
+    sketch = partenum_join._Sketches(np.diff(cut), data, 80)
+    tracemalloc.start()
+    got = sketch.may_link(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = [int.from_bytes(x, "little") for x in data]
+    want = [(whole[i] ^ whole[j]).bit_count() * 180 <= 20 * (len(sets[i]) + len(sets[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+    assert peak < 1 << 25
+
+
 def test_deduplicate_keeps_one_of_each_group(spark, docs, rows):
     kept = partenum_join.deduplicate(docs)
     assert kept.columns == docs.columns
