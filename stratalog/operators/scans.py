@@ -69,51 +69,60 @@ def scan_commands(scans: DataFrame, versions: DataFrame) -> DataFrame:
     """``idx, key, value`` of scan commands ``idx, scan_start, scan_end, scan_limit,
     scan_max_bytes``, each over the state just before its index.
 
-    A version is visible from its sequence number until the key's next; a scan sees those that
-    are visible at its index and in its range.  Keys are cut into ranges of about ``SCAN_KEYS`` keys
-    and indexes into ranges too, so versions and scans meet by equal ranges.  A scan starts in the
-    range of its first key; one that its bounds have not filled goes on to twice as many ranges as
-    before, so a scan with a small limit reads few keys, and the rounds are as many as the logarithm
-    of the number of ranges.
+    Keys are cut into ranges of about ``SCAN_KEYS`` keys.  A range is a sweep over its versions and
+    scans in the order of their indexes, which holds the range's live keys and nothing else; a range of
+    more than ``SWEEP_ROWS`` rows is cut by its indexes too, and a version is copied to every part
+    that it lives into.  A scan starts in the range of its first key; one that its bounds have not
+    filled goes on to twice as many ranges as before, so a scan with a small limit reads few keys, and
+    the rounds are as many as the logarithm of the number of ranges.  What goes on is checkpointed, so
+    the plan of a round does not hold those before it.
     """
     from ..schema import PUT
 
-    life = Window.partitionBy("key").orderBy("seq")
-    v = versions.select("key", "value", "kind", "seq", F.lead("seq").over(life).alias("until")).where(F.col("kind") == PUT)
-    n_keys, top = versions.agg(F.approx_count_distinct("key"), F.coalesce(F.max("seq"), F.lit(0))).collect()[0]
+    n_keys = versions.agg(F.approx_count_distinct("key")).collect()[0][0]
     edges = _edges(versions, min(MOST_RANGES, n_keys // SCAN_KEYS))
-    width = F.lit(max(1, int(top) // TIMES))
-    last = F.lit(int(top) + 1)
-    spans = F.sequence(F.floor(F.col("seq") / width), F.floor(F.coalesce(F.col("until"), last) / width))
-    v = _ranged(v, "key", edges).select("key", "value", "seq", "until", F.col("_r").alias("_vr"), F.explode(spans).alias("_vt"))
-
-    limit, most = F.coalesce("scan_limit", F.lit(0)), F.coalesce("scan_max_bytes", F.lit(0))
-    ends = F.when(F.col("scan_end").isNull() | (F.length("scan_end") == 0), F.lit(None)).otherwise(F.col("scan_end"))
-    todo = scans.select("idx", F.coalesce("scan_start", F.lit("")).alias("lo"), ends.alias("hi"), limit.alias("left"), most.alias("bytes"), (limit > 0).alias("few"), (most > 0).alias("small"))
+    v = versions.where(F.col("key").isNotNull()).select("key", "value", (F.col("kind") == PUT).alias("put"), F.col("seq").cast("long").alias("at"))
+    v = _ranged(v, "key", edges).persist()
+
+    limit, most = F.coalesce("scan_limit", F.lit(0)).cast("long"), F.coalesce("scan_max_bytes", F.lit(0)).cast("long")
+    ends = F.when(F.length("scan_end") > 0, F.col("scan_end"))
+    todo = scans.select(F.col("idx").cast("long").alias("at"), F.coalesce("scan_start", F.lit("")).alias("key"), ends.alias("hi"), F.when(limit > 0, limit).alias("left"), F.when(most > 0, most).alias("bytes"))
+    todo = _ranged(_ranged(todo, "key", edges), "hi", edges, "_e").where(F.col("_r") <= F.col("_e"))
     # Without bounds all ranges are read at once.
-    todo = _ranged(todo, "lo", edges).withColumns({"_t": F.floor(F.least(F.col("idx"), last) / width), "step": F.when(F.col("few") | F.col("small"), 1).otherwise(len(edges) + 1)})
-    out = None
+    todo = todo.withColumn("_upto", F.when(F.col("left").isNull() & F.col("bytes").isNull(), F.col("_e")).otherwise(F.col("_r")))
+    todo = todo.withColumn("_r", F.explode(F.sequence("_r", "_upto"))).persist()
+
+    parts = _parts(v, todo)
+    dealt = _timed(v, parts, lives=True)
+    blank = {"hi": "string", "left": "long", "bytes": "long", "_e": "int", "_upto": "int"}
+    dealt = dealt.select("_r", "_t", "at", F.lit(1).alias("_v"), "key", "value", "put", *(F.lit(None).cast(t).alias(c) for c, t in blank.items()))
+    out, step, read = None, 1, [v, todo]
     while True:
-        each = todo.withColumn("_at", F.explode(F.sequence("_r", F.least(F.col("_r") + F.col("step") - 1, F.lit(len(edges))))))
-        sees = (F.col("seq") < F.col("idx")) & (F.col("until").isNull() | (F.col("until") >= F.col("idx")))
-        inside = (F.col("key") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("key") < F.col("hi")))
-        hit = each.join(v, (F.col("_at") == F.col("_vr")) & (F.col("_t") == F.col("_vt")) & sees & inside)
-        order = Window.partitionBy("idx").orderBy("key")
-        hit = hit.withColumn("_n", F.row_number().over(order)).withColumn("_before", F.coalesce(F.sum(pair_bytes()).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        hit = hit.where((~F.col("few") | (F.col("_n") <= F.col("left"))) & (~F.col("small") | (F.col("_before") < F.col("bytes"))))
-        hit = hit.select("idx", "key", "value").persist()
-        out = hit if out is None else out.unionByName(hit)
-        done = hit.groupBy("idx").agg(F.count("*").alias("_got"), F.sum(pair_bytes()).alias("_size"))
-        todo = todo.join(done, "idx", "left").withColumns({"left": F.col("left") - F.coalesce("_got", F.lit(0)), "bytes": F.col("bytes") - F.coalesce("_size", F.lit(0)), "_r": F.col("_r") + F.col("step"), "step": F.col("step") * 2}).drop("_got", "_size")
-        beyond = (F.col("_r") <= len(edges)) & (~F.col("few") | (F.col("left") > 0)) & (~F.col("small") | (F.col("bytes") > 0))
-        todo = todo.where(beyond).persist()
-        if todo.isEmpty():
+        own = _timed(todo, parts).select("_r", "_t", "at", F.lit(0).alias("_v"), "key", F.lit(None).cast("string").alias("value"), F.lit(False).alias("put"), *blank)
+        hit = _swept(dealt.unionByName(own), alone=step == 1)
+        if step > 1:
+            order = Window.partitionBy("idx").orderBy("_r", F.col("key").asc_nulls_last())
+            hit = hit.withColumn("_n", F.row_number().over(order) - 1).withColumn("_before", F.coalesce(F.sum(pair_bytes()).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            hit = hit.withColumns({"left": F.col("left") - F.col("_n"), "bytes": F.col("bytes") - F.col("_before")}).where((F.col("left").isNull() | (F.col("left") > 0)) & (F.col("bytes").isNull() | (F.col("bytes") > 0)))
+            hit = hit.drop("_n", "_before")
+        hit = hit.persist()
+        found = hit.where(F.col("key").isNotNull()).select("idx", "key", "value")
+        out = found if out is None else out.unionByName(found)
+        # Rows without a key are scans that go on behind the last range read.
+        step *= 2
+        more = _cut(hit.where(F.col("key").isNull()))
+        if more.isEmpty():
+            for x in read:
+                x.unpersist()
             return out
+        upto = F.least(F.col("_r") + F.lit(step), F.col("_e"))
+        todo = more.select(F.col("idx").alias("at"), F.lit("").alias("key"), F.col("value").alias("hi"), "left", "bytes", "_e", upto.alias("_upto"), F.explode(F.sequence(F.col("_r") + 1, upto)).alias("_r"))
 
 
-SCAN_KEYS = 64  # of a range of keys, about
+SCAN_KEYS = 1024  # of a range of keys, about
 MOST_RANGES = 4096
-TIMES = 64  # ranges of indexes
+SWEEP_ROWS = 250_000  # of a sweep, about
+TIMES = 1024  # parts of a range of keys, at most
 
 
 def _edges(versions: DataFrame, ranges: int) -> list[str]:
@@ -122,14 +131,14 @@ def _edges(versions: DataFrame, ranges: int) -> list[str]:
     if ranges <= 1:
         return []
     sample = versions.groupBy("key").agg(F.lit(1).alias("_")).orderBy(F.xxhash64("key")).select("key").limit(16 * MOST_RANGES)
-    keys = sorted(r.key for r in sample.collect())
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+    keys = sorted(r.key for r in sample.collect() if r.key is not None)
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
-def _ranged(rows: DataFrame, column: str, edges: list[str]) -> DataFrame:
-    """The rows with ``_r``, the number of edges that are not above the column."""
+def _ranged(rows: DataFrame, column: str, edges: list[str], name: str = "_r") -> DataFrame:
+    """The rows with the number of edges that are not above the column; null is above all."""
     if not edges:
-        return rows.withColumn("_r", F.lit(0))
+        return rows.withColumn(name, F.lit(0))
     names = rows.columns
     kinds = rows.schema
 
@@ -140,7 +149,99 @@ def _ranged(rows: DataFrame, column: str, edges: list[str]) -> DataFrame:
 
         at = names.index(column)
         for b in batches:
-            place = [bisect.bisect_right(edges, x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int32())], names=[*names, "_r"])
+            place = [len(edges) if x is None else bisect.bisect_right(edges, x) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int32())], names=[*names, name])
+
+    return rows.mapInArrow(run, T.StructType([*kinds.fields, T.StructField(name, T.IntegerType())]))
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows without their plan: an adaptive plan that holds a persisted one shows it twice, so
+    plans over persisted tables double with each."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+
+
+def _parts(versions: DataFrame, scans: DataFrame) -> DataFrame | None:
+    """``_r, _parts, _from, _width`` of the ranges that are cut by indexes; None if there are none."""
+    n = F.least(F.ceil(F.count("*") / F.lit(SWEEP_ROWS)), F.lit(TIMES)).cast("long")
+    sizes = versions.select("_r", "at").unionByName(scans.select("_r", "at")).groupBy("_r").agg(n.alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    cut = [(r._r, r.n, r.lo, -(-(r.hi - r.lo + 1) // r.n)) for r in sizes.where("n > 1 AND hi > lo").collect()]  # MOST_RANGES rows at most
+    return versions.sparkSession.createDataFrame(cut, "_r int, _parts long, _from long, _width long") if cut else None
+
+
+def _timed(rows: DataFrame, parts: DataFrame | None, lives: bool = False) -> DataFrame:
+    """The rows with ``_t``, their part; with ``lives``, each put in every part that it lives into."""
+    if parts is None:
+        return rows.withColumn("_t", F.lit(0).cast("long"))
+
+    def part(at: Column) -> Column:
+        t = F.floor((at - F.col("_from")) / F.col("_width"))
+        return F.least(F.greatest(t, F.lit(0).cast("long")), F.col("_parts") - 1)
+
+    whole = rows.join(F.broadcast(parts.select("_r")), "_r", "left_anti").withColumn("_t", F.lit(0).cast("long"))
+    own = rows.join(F.broadcast(parts), "_r")
+    if lives:
+        own = own.withColumn("_until", F.lead("at").over(Window.partitionBy("key").orderBy("at")))
+        last = F.when(~F.col("put"), part(F.col("at"))).when(F.col("_until").isNull(), F.col("_parts") - 1).otherwise(part(F.col("_until")))
+        own = own.withColumn("_t", F.explode(F.sequence(part(F.col("at")), last)))
+    else:
+        own = own.withColumn("_t", part(F.col("at")))
+    return whole.unionByName(own.select(*whole.columns))
 
-    return rows.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("_r", T.IntegerType())]))
+
+def _swept(rows: DataFrame, alone: bool) -> DataFrame:
+    """``idx, key, value`` of what the scans find in each range, within their bounds, and a row without
+    a key for every scan that goes on (its end as ``value``).  With ``alone`` a scan reads one range,
+    and ``left`` and ``bytes`` are what its bounds leave; else those that it came with."""
+
+    def run(batches):
+        from bisect import bisect_left, insort
+
+        import pyarrow as pa
+
+        kinds = pa.schema([("idx", pa.int64()), ("key", pa.string()), ("value", pa.string()), ("left", pa.int64()), ("bytes", pa.int64()), ("_r", pa.int32()), ("_e", pa.int32())])
+        here, keys, held, out = None, [], {}, []
+
+        def batch():
+            done = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+            out.clear()
+            return done
+
+        for b in batches:
+            for r, t, at, is_version, key, value, put, hi, left, most, end, upto in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (r, t) != here:
+                    here, keys, held = (r, t), [], {}
+                if is_version:
+                    if put:
+                        if key not in held:
+                            insort(keys, key)
+                        held[key] = value
+                    elif key in held:
+                        del held[key]
+                        del keys[bisect_left(keys, key)]
+                    continue
+                n = size = 0
+                i = bisect_left(keys, key)
+                while i < len(keys) and (left is None or n < left) and (most is None or size < most):
+                    k = keys[i]
+                    if hi is not None and k >= hi:
+                        break
+                    v = held[k]
+                    out.append((at, k, v, left, most, r, end))
+                    i, n = i + 1, n + 1
+                    if most is not None and v is not None:
+                        size += len(k.encode()) + len(v.encode())
+                    if len(out) >= 10_000:
+                        yield batch()
+                if r == upto < end:  # so its end is in no range read yet
+                    if not alone:
+                        out.append((at, None, hi, left, most, r, end))
+                    elif (left is None or n < left) and (most is None or size < most):
+                        out.append((at, None, hi, None if left is None else left - n, None if most is None else most - size, r, end))
+                if len(out) >= 10_000:
+                    yield batch()
+        if out:
+            yield batch()
+
+    ordered = rows.select("_r", "_t", "at", "_v", "key", "value", "put", "hi", "left", "bytes", "_e", "_upto").repartition("_r", "_t").sortWithinPartitions("_r", "_t", "at", "_v")
+    return ordered.mapInArrow(run, "idx long, key string, value string, left long, bytes long, _r int, _e int")

@@ -97,6 +97,31 @@ def test_scans_with_bounds_equal_the_model(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
 
 
+def test_scans_cut_by_indexes_over_many_ranges_equal_the_model(spark, monkeypatch):
+    monkeypatch.setattr(scans, "SCAN_KEYS", 2)
+    monkeypatch.setattr(scans, "SWEEP_ROWS", 9, raising=False)
+    rng = random.Random(5)
+    writes = [(f"k{rng.randrange(40):02d}" if rng.random() < 0.7 else "k07", i, int(rng.random() < 0.7)) for i in range(1, 600, 2)]
+    versions = spark.createDataFrame([(k, i, kind, f"v{i}" if kind else None) for k, i, kind in writes], "key string, seq long, kind int, value string")
+    asked = [(i, rng.choice([None, f"k{rng.randrange(40):02d}"]), rng.choice([None, None, "", f"k{rng.randrange(40):02d}"]), rng.choice([0, 1, 4, 30]), rng.choice([0, 0, 9, 200])) for i in range(2, 640, 8)]
+    got = scans.scan_commands(spark.createDataFrame(asked, "idx long, scan_start string, scan_end string, scan_limit int, scan_max_bytes int"), versions)
+    want = []
+    for idx, lo, hi, limit, most in asked:
+        state = {}
+        for k, i, kind in writes:
+            if i < idx:
+                state[k] = f"v{i}" if kind else None
+        n = size = 0
+        for k in sorted(k for k, v in state.items() if v is not None and k >= (lo or "") and (not hi or k < hi)):
+            if (limit and n >= limit) or (most and size >= most):
+                break
+            want.append((idx, k, state[k]))
+            n, size = n + 1, size + len(k) + len(state[k])
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+    # Plans double with every round where a plan holds those of the rounds before.
+    assert got._jdf.queryExecution().executedPlan().toString().count("\n") < 3000
+
+
 def test_a_move_goes_on_where_it_was_stopped(spark, tmp_path):
     groups = moves.Groups(spark, f"file://{tmp_path}")
     assert groups.create_map([2, 3]) == groups.create_map([4])  # the second finds the first one's
