@@ -30,6 +30,7 @@ def _beside(rows: DataFrame, by: list[str], value: Column, over: Column) -> Data
     per = per.withColumn("_beside", over).drop("_value")
     keys = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by] + [F.col("_chunk") == F.col("_k_chunk")]
     renamed = per.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col("_chunk").alias("_k_chunk"), "_beside")
+    renamed = renamed if by else F.broadcast(renamed)  # one row a chunk
     on = keys[0]
     for k in keys[1:]:
         on = on & k

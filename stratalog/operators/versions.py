@@ -54,14 +54,17 @@ def table_statistics(versions: DataFrame) -> DataFrame:
     return versions.agg(F.count("*").alias("entries"), F.min("key").alias("smallest"), F.max("key").alias("largest"), F.max("seq").alias("max_seq"))
 
 
-def put(versions: DataFrame, rows: DataFrame, seq: int) -> DataFrame:
+NUMBERED = 100_000  # rows that one task numbers, about
+
+
+def put(versions: DataFrame, rows: DataFrame, seq: int, checked: bool = True) -> DataFrame:
     """Versions with a batch of ``key, value`` (null value deletes) added behind ``seq``, numbered
-    in the order of ``pos``."""
+    in the order of ``pos``.  An empty key is an error, unless the caller looks for it (``checked``)."""
     from .ordered import running_sum
 
     bad = F.col("key").isNull() | (F.length("key") == 0)
-    key = F.when(bad, F.raise_error(F.lit("empty key")).cast(dict(rows.dtypes)["key"])).otherwise(F.col("key"))
-    rows = running_sum(rows.select("pos", "key", "value"), [], "pos", F.lit(1), "_n")
+    key = F.when(bad, F.raise_error(F.lit("empty key")).cast(dict(rows.dtypes)["key"])).otherwise(F.col("key")) if checked else F.col("key")
+    rows = running_sum(rows.select("pos", "key", "value"), [], "pos", F.lit(1), "_n", NUMBERED)
     numbered = rows.select(key.alias("key"), (F.col("_n") + seq).cast("long").alias("seq"), F.col("value").isNotNull().cast("int").alias("kind"), "value")
     return versions.unionByName(numbered)
 

@@ -83,17 +83,26 @@ class Store:
             raise Conflict(m.number)
         return m
 
-    def _segment(self, num: int, rows: DataFrame) -> Segment:
+    def _segment(self, num: int, rows: DataFrame, checked: bool = False) -> tuple[Segment, int]:
+        """The segment written from the rows, and their highest sequence number.  The rows are computed
+        once: facts, ranges and files come from a persisted copy.  With ``checked`` an empty key is an
+        error, before anything is written."""
         name = f"{self.path}/segment-{num:06d}"
-        rows = rows.select("key", F.col("seq").cast("long").alias("seq"), F.col("kind").cast("int").alias("kind"), "value").withColumn("shard", shard_of(F.col("key")))
-        # Ranges of shard and key, so a hot shard is many files; a keyed read skips row groups by their
-        # key statistics and bloom filters.
-        ordered = rows.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key", F.desc("seq"))
-        keys = rows.count() // SHARDS + 16  # of a file, about
-        ordered.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(keys)).partitionBy("shard").parquet(name)
-        facts = self.spark.read.schema(SCHEMA).parquet(name).agg(F.count("*"), F.min("key"), F.max("key")).collect()[0]
+        rows = rows.select("key", F.col("seq").cast("long").alias("seq"), F.col("kind").cast("int").alias("kind"), "value").withColumn("shard", shard_of(F.col("key"))).persist()
+        try:
+            bad = F.coalesce(F.max(F.col("key").isNull() | (F.length("key") == 0)), F.lit(False))
+            n, smallest, largest, top, empty = rows.agg(F.count("*"), F.min("key"), F.max("key"), F.coalesce(F.max("seq"), F.lit(0)), bad).collect()[0]
+            if checked and empty:
+                raise ValueError("empty key")
+            # Ranges of shard and key, so a hot shard is many files; a keyed read skips row groups by their
+            # key statistics and bloom filters.
+            ordered = rows.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key", F.desc("seq"))
+            keys = n // SHARDS + 16  # of a file, about
+            ordered.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(keys)).partitionBy("shard").parquet(name)
+        finally:
+            rows.unpersist()
         size = self._fs.getContentSummary(self._jpath(name)).getLength()
-        return Segment(num, size, facts[0], facts[1], facts[2])
+        return Segment(num, size, n, smallest, largest), top
 
     # -- reads -----------------------------------------------------------------------------
 
@@ -126,11 +135,7 @@ class Store:
         empty key fails the batch.  With ``base``, only directly behind that commit."""
         m = base or self.manifest()
         empty = self.spark.createDataFrame([], SCHEMA).drop("shard")
-        bad = batch.where(F.col("key").isNull() | (F.length("key") == 0)).limit(1).count()
-        if bad:
-            raise ValueError("empty key")
-        rows = versions.put(empty, batch, m.max_seq)
-        s = self._segment(m.next_segment, rows)
+        s, _ = self._segment(m.next_segment, versions.put(empty, batch, m.max_seq, checked=False), checked=True)
         if not s.entries:
             return m
         return self._commit(Manifest(m.number + 1, m.next_segment + 1, m.max_seq + s.entries, [s, *m.segments]))
@@ -156,8 +161,7 @@ class Store:
         """Commit versions ``key, seq, kind, value`` that have their sequence numbers already, as a
         log's replay gives them."""
         m = self.manifest()
-        s = self._segment(m.next_segment, rows)
-        top = rows.agg(F.max("seq").alias("s")).collect()[0].s or 0
+        s, top = self._segment(m.next_segment, rows)
         return self._commit(Manifest(m.number + 1, m.next_segment + 1, max(m.max_seq, top), [s, *m.segments]))
 
     # -- maintenance -----------------------------------------------------------------------
@@ -171,7 +175,7 @@ class Store:
         at = m.segments.index(run[0])
         bottom = at + len(run) == len(m.segments)
         merged = compaction.compact(self.versions(Manifest(segments=run)), bottom, keep_from)
-        s = self._segment(m.next_segment, merged)
+        s, _ = self._segment(m.next_segment, merged)
         kept = [*m.segments[:at], *([s] if s.entries else []), *m.segments[at + len(run) :]]
         return self._commit(Manifest(m.number + 1, m.next_segment + 1, m.max_seq, kept))
 
@@ -184,8 +188,7 @@ class Store:
         """Replace all contents by an exported table; numbering goes on behind its highest."""
         m = self.manifest()
         rows = self.spark.read.schema(T.StructType(SCHEMA.fields[:4])).parquet(path)
-        s = self._segment(m.next_segment, rows)
-        top = rows.agg(F.max("seq").alias("s")).collect()[0].s or 0
+        s, top = self._segment(m.next_segment, rows)
         return self._commit(Manifest(m.number + 1, m.next_segment + 1, top, [s] if s.entries else []))
 
     def vacuum(self, keep: int = 1) -> list[str]:

@@ -122,6 +122,32 @@ def test_scans_cut_by_indexes_over_many_ranges_equal_the_model(spark, monkeypatc
     assert got._jdf.queryExecution().executedPlan().toString().count("\n") < 3000
 
 
+def test_a_batch_of_a_store_is_numbered_in_parts_and_computed_once(spark, tmp_path, monkeypatch):
+    from stratalog.operators import versions as V
+    from stratalog.sources.segments import Store
+
+    monkeypatch.setattr(V, "NUMBERED", 10, raising=False)
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            computed.add(b.num_rows)
+            yield b
+
+    rows = [(i * 3 + 7, f"k{i % 40:02d}", None if i % 9 == 0 else str(i)) for i in range(200)]
+    random.Random(3).shuffle(rows)
+    schema = "pos long, key string, value string"
+    store = Store(spark, f"file://{tmp_path}/t")
+    store.write(spark.createDataFrame(rows, schema).mapInArrow(seen, schema))
+    # Size and range of the batch, sums of its parts, and the rows themselves.
+    assert computed.value <= 3 * len(rows)
+    got = [(r.seq, r.key, r.value) for r in store.versions().collect()]
+    assert sorted(got) == [(n + 1, k, v) for n, (_, k, v) in enumerate(sorted(rows))]
+    with pytest.raises(ValueError):
+        store.write(spark.createDataFrame([(1, "a", "1"), (2, "", "2")], schema))
+    assert store.stats()["entries"] == 200 and store.stats()["max_seq"] == 200
+
+
 def test_a_move_goes_on_where_it_was_stopped(spark, tmp_path):
     groups = moves.Groups(spark, f"file://{tmp_path}")
     assert groups.create_map([2, 3]) == groups.create_map([4])  # the second finds the first one's
