@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 from stratalog import cli
 from stratalog.operators import audit, fold, moves, ordered, scans, shards
 from stratalog.sources import log_files
+from stratalog.streaming import apply
 
 from . import models
 
@@ -148,6 +149,22 @@ def test_a_batch_of_a_store_is_numbered_in_parts_and_computed_once(spark, tmp_pa
     assert store.stats()["entries"] == 200 and store.stats()["max_seq"] == 200
 
 
+def test_a_stream_keeps_few_entries_for_many_keys(spark, tmp_path):
+    rng = random.Random(4)
+    data = [(i + 1, rng.choice(["put", "delete", "cas", "get"]), f"k{rng.randrange(3000)}", str(i), rng.choice([None, str(i - 1)])) for i in range(8000)]
+    at = f"file://{tmp_path}"
+    for part in range(2):
+        some = data[part * 4000 : part * 4000 + 4000]
+        rng.shuffle(some)
+        spark.createDataFrame(some, apply.LOG).repartition(3).write.mode("append").parquet(f"{at}/log")
+        out = apply.run_available(apply.results(apply.read_log(spark, f"{at}/log", 100)), f"{at}/out", f"{at}/ck")
+    assert spark.read.format("statestore").load(f"{at}/ck").count() <= 1024
+    whole = spark.createDataFrame(data, apply.LOG)
+    columns = ["idx", "found", "value", "success"]
+    assert sorted(map(tuple, out.select(columns).collect()), key=str) == sorted(map(tuple, fold.results(whole).select(columns).collect()), key=str)
+    assert sorted(map(tuple, apply.last_states(out).collect())) == sorted(map(tuple, fold.state(whole).collect()))
+
+
 def test_a_move_goes_on_where_it_was_stopped(spark, tmp_path):
     groups = moves.Groups(spark, f"file://{tmp_path}")
     assert groups.create_map([2, 3]) == groups.create_map([4])  # the second finds the first one's
