@@ -114,14 +114,15 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     purges as deletes of the keys that their shard holds.  A refused write is cached in its
     session as refused, so a retry of it is refused too.
     """
-    marked = sessions.mark_duplicates(log)
+    # Commands are marked once: sorting the few clients' rows is the longest step.  Pairs matter for imports only.
+    marked = sessions.mark_duplicates(log.withColumn("kvs", F.when(F.col("op") == "import", F.col("kvs")))).persist()
     live = marked.where(~F.col("dup"))
     admin = live.where(F.col("op").isin(*ADMIN))
     line = timeline(admin.select("grp", "shard", "idx", "op", "last")).persist()  # it is read four times
     keyed = live.where(F.col("op").isin("put", "delete", "cas", "get")).withColumn("shard", shard_of(F.col("key")))
     keyed = with_state(keyed.select("grp", "idx", "op", "key", "value", "expected", "shard"), line)
     moving = F.when(F.col("op") == "get", ~readable(F.col("state"))).otherwise(~writable(F.col("state")))
-    keyed = keyed.withColumn("moving", moving)
+    keyed = keyed.withColumn("moving", moving).persist()  # for commands and for replies
 
     taken = line.where((F.col("op") == "import") & F.col("accepted")).select("grp", "idx")
     kind = dict(log.dtypes)["value"]

@@ -165,6 +165,25 @@ def test_a_stream_keeps_few_entries_for_many_keys(spark, tmp_path):
     assert sorted(map(tuple, apply.last_states(out).collect())) == sorted(map(tuple, fold.state(whole).collect()))
 
 
+def test_a_replay_computes_its_log_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            computed.add(b.num_rows)
+            yield b
+
+    schema = "grp long, idx long, client_id long, req_seq long, op string, key string, value string, expected string, shard int, kvs array<struct<key:string,value:string>>, last boolean"
+    ops = ["put", "get", "cas", "freeze", "import", "purge", "delete"]
+    data = [(1, i, 0, 0, ops[i % 7], f"k{i % 5}", str(i), None, models.shard_number(f"k{i % 5}"), [(f"k{i % 5}", f"i{i}")], True) for i in range(1, 200)]
+    names = [x.split()[0] for x in schema.split(", ")]
+    state, replies = shards.replay(spark.createDataFrame(data, schema).mapInArrow(seen, schema))
+    want, want_replies = models.replay([dict(zip(names, row, strict=True)) for row in data])
+    assert sorted(map(tuple, state.select("key", "value").collect())) == sorted(want.items())
+    assert {r.idx: r.success for r in replies.collect()} == {i: x[2] for i, (_, x) in want_replies.items()}
+    assert computed.value == len(data)
+
+
 def test_a_move_goes_on_where_it_was_stopped(spark, tmp_path):
     groups = moves.Groups(spark, f"file://{tmp_path}")
     assert groups.create_map([2, 3]) == groups.create_map([4])  # the second finds the first one's
